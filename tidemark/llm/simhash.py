@@ -160,32 +160,31 @@ def links(fps: DataFrame, radius: int = RADIUS, run_rows: int = 2048) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, run_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, text_hash, class_id) of each row: class_id is the least id reachable over links of at most `radius` bits."""
+    """(id, fp, text_hash, class_fp, class_id) of each row: class_id is the least id reachable over links of at most `radius` bits."""
     own = stored(fingerprints(docs, shingle, SEED, id_col, text_col), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), radius, run_rows))
     classed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("class"))
     named = classed.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("class_id"))
-    by_fp = classed.join(named, F.col("class") == F.col("c")).select(F.col("fp").alias("f"), "class_id")
-    return own.join(by_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "text_hash", "class_id")
+    by_fp = classed.join(named, F.col("class") == F.col("c")).select(F.col("fp").alias("f"), F.col("class").alias("class_fp"), "class_id")
+    return own.join(by_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "text_hash", "class_fp", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """The documents without all but one (that of the least id) of each class; rows without an id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    found = stored(found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "text_hash", "class_id"), "classes")
-    heads = found.filter("id = class_id").groupBy(F.col("class_id").alias("c")).agg(F.min("text_hash").alias("head"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "text_hash", "class_fp", "class_id"), "classes")
+    heads = found.filter("id = class_id").groupBy(F.col("class_fp").alias("c")).agg(F.min("id").alias("head_id"), F.min("text_hash").alias("head"), F.count(F.lit(1)).alias("n"))
     repeated = stored(heads.filter("n > 1"), "repeated-heads")  # only where an id repeats
     gone = found.filter("id != class_id").select("id", "text_hash")
     some = repeated.limit(1).count() > 0
     if some:
-        others = found.filter("id = class_id").join(repeated, F.col("id") == F.col("c")).filter("text_hash != head")
+        others = found.filter("id = class_id").join(repeated, F.col("class_fp") == F.col("c")).filter("text_hash != head")
         gone = gone.union(others.select("id", "text_hash"))
     gone = stored(gone.distinct().select(F.col("id").alias("_gone"), F.col("text_hash").alias("_hash")), "gone")
-    hash_of = F.xxhash64(docs[text_col])
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    kept = docs.join(gone, (docs[id_col] == F.col("_gone")) & (hash_of == F.col("_hash")), "left_anti")
+    kept = docs.join(gone, (docs[id_col] == F.col("_gone")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
     if not some:
         return kept
-    twice = kept.join(repeated, kept[id_col] == F.col("c"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == F.col("c"), "left_anti").unionByName(twice)
+    head = (kept[id_col] == F.col("head_id")) & (F.xxhash64(kept[text_col]) == F.col("head"))
+    return kept.join(repeated, head, "left_anti").unionByName(kept.join(repeated, head, "left_semi").dropDuplicates([id_col, text_col]))
