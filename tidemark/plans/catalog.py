@@ -2,21 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import clocks, contents, feeds, merging, pushes, querying, replicas, rollups  # noqa: F401
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def feed_pull_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.orderBy("event_id").limit(20).select(F.col("event_id").alias("version"))
-
-
-QUERIES["feed_pull_page"] = feed_pull_page
-ORACLE_SQL["feed_pull_page"] = "SELECT event_id AS version FROM events ORDER BY event_id LIMIT 20"
+__all__ = ["ORACLE_SQL", "QUERIES"]
