@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import id_type, map_batches
+from tidemark.llm._common import id_type, map_batches, stored
 
 # The header's tables. Bit rates in kbit/s by index 1 to 14, rates in Hz by index 0 to 2.
 KBITS = {
@@ -214,47 +214,72 @@ def write_stream(payload: bytes) -> bytes:
     return b"ID3\x03\0\0" + bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + frame + table.ljust(_frame_bytes(48), b"\0") + audio
 
 
+#: Bytes of streams or payloads that a task holds before it hands them on.
+FLUSH_BYTES = 4 << 20
+
+
 def to_media(docs: DataFrame, unit: int = 192, fill: bytes = b" ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's bytes, filled up to a positive multiple of unit, as a stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"]]
-            media = [write_stream(t.ljust(max(unit, -(-len(t) // unit) * unit), fill)) for t in texts]
-            yield pd.DataFrame({"id": batch["id"], "n_bytes": [len(t) for t in texts], "media": media})
+            for i, t in zip(batch["id"], batch["text"], strict=True):
+                data = (t or "").encode()
+                media = write_stream(data.ljust(max(unit, -(-len(data) // unit) * unit), fill))
+                rows.append((i, len(data), media))
+                held += len(media)
+                if held >= FLUSH_BYTES:
+                    yield pd.DataFrame(rows, columns=["id", "n_bytes", "media"])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["id", "n_bytes", "media"])
 
     rows = map_batches(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), run, "id string, n_bytes long, media binary")
     return rows.select(F.col("id").cast(id_type(docs, id_col)).alias(id_col), "n_bytes", "media")
 
 
-def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The table with what the stored bytes hold.
+def store_media(docs: DataFrame, **options) -> DataFrame:
+    """to_media as a table in the shared folder."""
+    return stored(to_media(docs, **options), "media")
+
+
+FOUND = (
+    "payload binary, frames long, samples long, sample_rate long, duration_s double, crc_ok long, crc_bad long, skipped_bytes long, resyncs long, "
+    "table_frames long, table_bytes long, kbit_min long, kbit_max long, frame_offsets array<long>"
+)
+
+
+def _row(found: dict) -> tuple:
+    table, kbits, rate = found["table"] or {}, found["kbits"], found["rate"]
+    seconds = found["samples"] / rate if rate else 0.0
+    return (
+        found["payload"], found["frames"], found["samples"], rate, seconds, found["crc_ok"], found["crc_bad"], found["skipped"], found["resyncs"],
+        table.get("frames", -1), table.get("bytes", -1), min(kbits, default=0), max(kbits, default=0), found["offsets"],
+    )
+
+
+def read_media(media: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
+    """What the stored bytes of each row hold: id, the columns to keep, media, and the columns of FOUND.
 
-    Adds payload (binary), frames, samples, sample_rate, duration_s (samples over rate), crc_ok, crc_bad,
-    skipped_bytes, resyncs, table_frames, table_bytes (what the variable-bitrate table claims), kbit_min,
-    kbit_max and frame_offsets (array of long: where each audio frame starts).
+    duration_s is samples over rate; table_frames and table_bytes are what the variable-bitrate table claims (-1: no
+    table); frame_offsets is where each audio frame starts.
     """
-    keep = [c for c in media.columns if c not in (id_col, "media")]
-    kept = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
+    names = ["id", *keep, "media", *(c.split()[0] for c in FOUND.split(", "))]
+    kept = "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
-            found = [probe(m or b"") for m in batch["media"]]
-            out = batch[["id", *keep, "media"]].copy()
-            for name in ("payload", "frames", "samples", "crc_ok", "crc_bad", "resyncs"):
-                out[name] = [x[name] for x in found]
-            out["sample_rate"] = [x["rate"] for x in found]
-            out["duration_s"] = [x["samples"] / x["rate"] if x["rate"] else 0.0 for x in found]
-            out["skipped_bytes"] = [x["skipped"] for x in found]
-            out["table_frames"] = [(x["table"] or {}).get("frames", -1) for x in found]
-            out["table_bytes"] = [(x["table"] or {}).get("bytes", -1) for x in found]
-            out["kbit_min"], out["kbit_max"] = [min(x["kbits"], default=0) for x in found], [max(x["kbits"], default=0) for x in found]
-            out["frame_offsets"] = [x["offsets"] for x in found]
-            yield out
-
-    rows = media.select(F.col(id_col).cast("string").alias("id"), *keep, "media").mapInPandas(
-        run,
-        f"id string, {kept + ', ' if kept else ''}media binary, payload binary, frames long, samples long, crc_ok long, crc_bad long, resyncs long, sample_rate long, "
-        "duration_s double, skipped_bytes long, table_frames long, table_bytes long, kbit_min long, kbit_max long, frame_offsets array<long>",
-    )
+            for row in batch.itertuples(index=False, name=None):
+                found = probe(row[-1] or b"")
+                rows.append((*row, *_row(found)))
+                held += 2 * len(row[-1] or b"")
+                if held >= FLUSH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    rows = map_batches(media.select(F.col(id_col).cast("string").alias("id"), *keep, "media"), run, f"id string, {kept}media binary, {FOUND}")
     return rows.select(F.col("id").cast(id_type(media, id_col)).alias(id_col), *rows.columns[1:])

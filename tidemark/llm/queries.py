@@ -31,7 +31,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = mpeg_audio.read_media(mpeg_audio.to_media(table(spark, sf_dir, "documents")))
+    read = mpeg_audio.read_media(mpeg_audio.store_media(table(spark, sf_dir, "documents")))
     named = [F.concat(F.lit(f"{name}="), F.col(column).cast("string")) for name, column in (("frames", "frames"), ("samples", "samples"), ("rate", "sample_rate"), ("seconds", "duration_s"), ("crc_ok", "crc_ok"), ("crc_bad", "crc_bad"), ("skipped", "skipped_bytes"), ("table_frames", "table_frames"), ("kbit", "kbit_max"))]
     seek = F.concat(F.lit("seek="), F.crc32(F.array_join(F.col("frame_offsets").cast("array<string>"), ",").cast("binary")).cast("string"))
     return read.select(
