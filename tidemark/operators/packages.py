@@ -1,12 +1,12 @@
 """Packages of blobs: manifests with dependencies, what is missing, readiness and activation.
 
-Items: package, pos, id, sha256, size, required, dependencies (array of ids). A manifest has at most 256 items, so
-closures are bounded by that depth, and a package's items always fit one task.
+Items: package, pos, id, sha256, size, required, dependencies (array of ids). A manifest has at most 256 items, so a
+package's graph is a map in one row, and closures are expressions over it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ITEMS = 256
@@ -16,21 +16,39 @@ def edges(items: DataFrame) -> DataFrame:
     return items.select("package", "id", F.explode("dependencies").alias("needs"))
 
 
-def closure(spark: SparkSession, roots: DataFrame, links: DataFrame, depth: int = MOST_ITEMS) -> DataFrame:
-    """(package, id) reachable from the roots. Union removes repeats in each step, so cycles end."""
-    roots.select("package", "id").createOrReplaceTempView("_roots")
-    links.select("package", "id", "needs").createOrReplaceTempView("_links")
-    return spark.sql(
-        f"""WITH RECURSIVE reach(package, id, depth) AS (
-              SELECT DISTINCT package, id, 0 FROM _roots
-              UNION ALL
-              SELECT DISTINCT l.package, l.needs, r.depth + 1 FROM reach r JOIN _links l ON l.package = r.package AND l.id = r.id WHERE r.depth < {depth})
-            SELECT DISTINCT package, id FROM reach"""
-    )
+def reach(links: Column, seed: Column, steps: Column) -> Column:
+    """Ids reachable from the seed over a map of id to ids, the seed's own included only if it is reached.
 
+    Goes on from what each step found, so an edge is followed once and a cycle ends.
+    """
+    none = F.array().cast("array<string>")
 
-def required(spark: SparkSession, items: DataFrame, depth: int = MOST_ITEMS) -> DataFrame:
-    return closure(spark, items.filter("required"), edges(items), depth)
+    def step(s: Column, _: Column) -> Column:
+        beyond = F.flatten(F.transform(s["new"], lambda i: F.coalesce(F.try_element_at(links, i), none)))
+        new = F.array_except(beyond, s["seen"])
+        return F.struct(F.concat(s["seen"], new).alias("seen"), new.alias("new"))
+
+    start = F.struct(none.alias("seen"), seed.alias("new"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["seen"])
+
+
+def _graphs(links: DataFrame) -> DataFrame:
+    """package and its map of dependencies: at most MOST_ITEMS entries."""
+    by_id = links.groupBy("package", "id").agg(F.collect_set("needs").alias("needs"))
+    return by_id.groupBy("package").agg(F.map_from_entries(F.collect_list(F.struct("id", "needs"))).alias("links"))
+
+
+def closure(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(package, id) reachable from the roots, these included. Packages are independent, each a row."""
+    seeds = roots.groupBy("package").agg(F.collect_set("id").alias("seed"))
+    joined = seeds.join(_graphs(links), "package", "left")
+    known = F.coalesce("links", F.expr("map()").cast("map<string,array<string>>"))
+    found = F.array_union("seed", reach(known, F.col("seed"), F.size(known) + 1))
+    return joined.select("package", F.explode(found).alias("id"))
+
+
+def required(items: DataFrame) -> DataFrame:
+    return closure(items.filter("required"), edges(items))
 
 
 def faults(items: DataFrame) -> DataFrame:
@@ -47,18 +65,11 @@ def faults(items: DataFrame) -> DataFrame:
     return joined.select("package", fault.alias("fault"))
 
 
-def cyclic(spark: SparkSession, items: DataFrame, depth: int = MOST_ITEMS) -> DataFrame:
+def cyclic(items: DataFrame) -> DataFrame:
     """Packages in which some item reaches itself."""
-    links = edges(items)
-    links.createOrReplaceTempView("_cycle_links")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(package, start, id, depth) AS (
-              SELECT DISTINCT package, id, needs, 1 FROM _cycle_links
-              UNION ALL
-              SELECT DISTINCT w.package, w.start, l.needs, w.depth + 1 FROM walk w JOIN _cycle_links l ON l.package = w.package AND l.id = w.id
-              WHERE w.depth < {depth} AND w.id <> w.start)
-            SELECT DISTINCT package FROM walk WHERE id = start"""
-    )
+    graph = _graphs(edges(items))
+    loops = F.exists(F.map_keys("links"), lambda i: F.array_contains(reach(F.col("links"), F.array(i), F.size("links")), i))
+    return graph.filter(loops).select("package")
 
 
 def missing(items: DataFrame, needed: DataFrame, verified: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ exists, one ladder of conditions decides, windows over a group or a document set
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.functions.ids import id_valid, utf16_units
-from tidemark.operators.numbering import LOT, number_rows
+from tidemark.operators.numbering import lot_of, running_total
 
 MOST_SKEW_MS = 300_000
 
@@ -27,6 +27,15 @@ def fingerprint(op: DataFrame | None = None) -> Column:
     return F.upper(F.sha2(F.concat_ws("|", head, text("base_version"), text("group"), text("group_size"), text("payload")), 256))
 
 
+def members() -> WindowSpec:
+    """A group's operations; one without a group is alone, so that these don't all meet in one task."""
+    return Window.partitionBy("scope", "group", "solo")
+
+
+def solo() -> Column:
+    return F.when(F.col("group").isNull(), F.col("pos"))
+
+
 def malformed() -> Column:
     return (
         ~id_valid(F.col("operation_id")) | ~id_valid(F.col("document_id")) | F.col("payload").isNull() | ~F.col("body_id").eqNullSafe(F.col("document_id"))
@@ -41,26 +50,27 @@ def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: D
     expressions over the operation's columns and `current_version`, `current_payload`.
     """
     grouped = F.col("group").isNotNull()
-    in_group = Window.partitionBy("scope", "group")
-    first = F.when(grouped, F.min("pos").over(in_group)).otherwise(F.col("pos"))
+    first = F.when(grouped, F.min("pos").over(members())).otherwise(F.col("pos"))
     order = [grouped, "first_pos", "pos"]
-    bad = ops.withColumn("fingerprint", fingerprint()).withColumn("first_pos", first).withColumn("malformed", malformed())
-    # Documents are claimed in processing order by operations that are well formed.
-    claims = Window.partitionBy("scope", "document_id", "malformed").orderBy(*order)
+    alone = ops.select("*", solo().alias("solo"), fingerprint().alias("fingerprint"), malformed().alias("malformed"))
+    bad = alone.select("*", first.alias("first_pos"), F.count(F.lit(1)).over(members()).alias("_members"))
+    # Documents are claimed in processing order by operations that are well formed; these come first in the window. The
+    # window and the join with the documents share one exchange, as do the receipts' join and the window by operation id.
+    claims = Window.partitionBy("scope", "document_id").orderBy("malformed", *order)
+    d = documents.select(F.col("scope").alias("d_scope"), F.col("id").alias("d_id"), F.col("version").alias("current_version"), F.col("payload").alias("current_payload"))
     claimed = bad.withColumn("malformed", F.col("malformed") | (F.row_number().over(claims) > 1))
-    size_is_wrong = ~id_valid(F.col("group")) | ~F.col("group_size").eqNullSafe(F.count(F.lit(1)).over(in_group))
-    spoiled = F.bool_or(F.col("malformed") | size_is_wrong).over(in_group)
-    marked = claimed.withColumn("invalid", F.col("malformed") | (grouped & F.coalesce(spoiled, F.lit(False))))
-    # An operation id that an earlier unit of the request used stands for another document: its receipt differs.
-    marked = marked.withColumn("used_before", F.first(F.struct(grouped.alias("g"), F.col("first_pos").alias("p"))).over(Window.partitionBy("scope", "operation_id", "invalid").orderBy(grouped, "first_pos", "pos")) != F.struct(grouped.alias("g"), F.col("first_pos").alias("p")))
+    found = claimed.join(d, (F.col("scope") == F.col("d_scope")) & (F.col("document_id") == F.col("d_id")), "left")
+    size_is_wrong = ~id_valid(F.col("group")) | ~F.col("group_size").eqNullSafe(F.col("_members"))
+    spoiled = F.bool_or(F.col("malformed") | size_is_wrong).over(members())
+    marked = found.withColumn("invalid", F.col("malformed") | (grouped & F.coalesce(spoiled, F.lit(False))))
     r = receipts.select(F.col("operation_id").alias("r_id"), F.col("fingerprint").alias("r_print"), F.col("kind").alias("r_kind"), F.col("version").alias("r_version"), F.col("error_code").alias("r_code"))
-    d = documents.select(F.col("scope").alias("d_scope"), F.col("id").alias("d_id"), F.col("version").alias("current_version"), F.col("payload").alias("current_payload"))
+    replayed = marked.join(r, F.col("operation_id") == F.col("r_id"), "left")
+    # An operation id that an earlier unit of the request used stands for another document: its receipt differs.
+    unit = F.struct(grouped.alias("g"), F.col("first_pos").alias("p"))
+    uses = Window.partitionBy("operation_id", "scope").orderBy("invalid", *order)
+    used = replayed.withColumn("used_before", F.first(unit).over(uses) != unit)
     f = feeds.select(F.col("scope").alias("f_scope"), "head", "purged_through")
-    joined = (
-        marked.join(r, F.col("operation_id") == F.col("r_id"), "left")
-        .join(d, (F.col("scope") == F.col("d_scope")) & (F.col("document_id") == F.col("d_id")), "left")
-        .join(f, F.col("scope") == F.col("f_scope"), "left")
-    )
+    joined = used.join(f, F.col("scope") == F.col("f_scope"), "left")
     exists = F.col("d_id").isNotNull()
     same = F.col("r_print") == F.col("fingerprint")
     outcome = lambda kind, code=None: F.struct(F.lit(kind).alias("kind"), (F.lit(code) if code is None or isinstance(code, str) else code).cast("string").alias("error_code"))
@@ -85,20 +95,20 @@ def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: D
 
 def settle_groups(evaluated: DataFrame) -> DataFrame:
     """Members that would be accepted wait, undecided, unless all members of their group are."""
-    every = F.bool_and(F.col("kind") == "accepted").over(Window.partitionBy("scope", "group"))
+    every = F.bool_and(F.col("kind") == "accepted").over(members())
     waits = F.col("group").isNotNull() & (F.col("kind") == "accepted") & ~F.col("duplicate") & ~every
-    return evaluated.withColumn("_w", waits).withColumn("kind", F.when(F.col("_w"), "retry-later").otherwise(F.col("kind"))).withColumn("error_code", F.when(F.col("_w"), "group-aborted").otherwise(F.col("error_code"))).drop("_w")
+    marked = evaluated.withColumn("solo", solo()).withColumn("_w", waits)
+    new = {"kind": F.when(F.col("_w"), "retry-later").otherwise(F.col("kind")), "error_code": F.when(F.col("_w"), "group-aborted").otherwise(F.col("error_code"))}
+    return marked.withColumns(new).drop("_w", "solo")
 
 
 def assign_versions(settled: DataFrame) -> DataFrame:
     """Fresh accepted operations get the feed's next versions: independent ones in request order, then groups by first member."""
-    fresh = settled.filter((F.col("kind") == "accepted") & ~F.col("duplicate"))
+    fresh = (F.col("kind") == "accepted") & ~F.col("duplicate")
     grouped = F.col("group").isNotNull()
-    lot = grouped.cast("long") * F.lit(1 << 40) + F.floor(F.col("first_pos") / LOT)
-    numbered = number_rows(fresh, ["scope"], [grouped, "first_pos", "pos"], lot, "_n")
-    versioned = numbered.withColumn("version", F.col("head") + F.col("_n")).drop("_n")
-    others = settled.filter((F.col("kind") != "accepted") | F.col("duplicate"))
-    return others.unionByName(versioned.select(*others.columns))
+    lot = grouped.cast("long") * F.lit(1 << 40) + lot_of(F.col("first_pos"))
+    counted = running_total(settled, ["scope"], [grouped, "first_pos", "pos"], lot, fresh.cast("long"), "_n")
+    return counted.withColumn("version", F.when(fresh, F.col("head") + F.col("_n")).otherwise(F.col("version"))).drop("_n")
 
 
 def push(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: DataFrame, now_ms: int, **rules) -> DataFrame:

@@ -7,7 +7,7 @@ group_id. Rejected records are dirty. Documents are opaque columns here (text or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 RECORD = "id STRING, current STRING, base STRING, base_version BIGINT, is_dirty BOOLEAN, local_revision BIGINT, pending_op STRING, pending_revision BIGINT, pending_group STRING, rejection STRING, observed STRING, observed_version BIGINT, generation BIGINT, missing BOOLEAN, conflict STRING, conflict_version BIGINT, group_id STRING"
@@ -23,6 +23,11 @@ def known_version() -> Column:
     return F.greatest("base_version", "observed_version")
 
 
+def members() -> WindowSpec:
+    """A group's records; one without a group is alone, so that these don't all meet in one task."""
+    return Window.partitionBy("group_id", F.when(F.col("group_id").isNull(), F.col("id")))
+
+
 def pushable() -> Column:
     return F.col("is_dirty") & F.col("rejection").isNull()
 
@@ -240,7 +245,7 @@ def prepare(records: DataFrame, candidates: Column) -> DataFrame:
 
     A group is sent only if all its candidates are ready. Returns id, group_id, group_size, renew.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy("group_id"))
+    size = F.count(F.lit(1)).over(members())
     chosen = records.filter(candidates & pushable()).withColumn("group_size", F.when(F.col("group_id").isNotNull(), size).otherwise(F.lit(0)).cast("long"))
     renew = F.col("pending_op").isNull() | ~F.col("pending_group").eqNullSafe(F.col("group_id"))
     return chosen.select("id", "group_id", "group_size", renew.alias("renew"))
@@ -249,7 +254,7 @@ def prepare(records: DataFrame, candidates: Column) -> DataFrame:
 def held_back(records: DataFrame, ready: Column) -> DataFrame:
     """Pushable records with whether they are held back: a group waits for each of its members."""
     own = records.filter(pushable()).withColumn("_hold", ~ready)
-    group = F.bool_or("_hold").over(Window.partitionBy("group_id"))
+    group = F.bool_or("_hold").over(members())
     return own.withColumn("held", F.when(F.col("group_id").isNotNull(), group).otherwise(F.col("_hold"))).drop("_hold")
 
 
@@ -262,7 +267,7 @@ def park(records: DataFrame, failed: DataFrame, code: str = "group-failed") -> D
 def restamp(records: DataFrame) -> DataFrame:
     """Rejected for clock skew, and the rest of their groups: (id, place) in the order in which they get new stamps."""
     skewed = F.col("rejection") == "clock-skew"
-    with_group = F.bool_or(skewed).over(Window.partitionBy("group_id"))
+    with_group = F.bool_or(skewed).over(members())
     hit = records.withColumn("_s", F.when(F.col("group_id").isNotNull(), with_group).otherwise(skewed)).filter(F.col("_s") & F.col("rejection").isin("clock-skew", "group-failed"))
     return hit.drop("_s")
 

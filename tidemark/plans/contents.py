@@ -124,7 +124,7 @@ def transfer_step(spark, sf_dir):
 
 @query(sql("SELECT package, id FROM closure", "closure"))
 def package_closure(spark, sf_dir):
-    return packages.required(spark, derived.packages(spark, sf_dir), 20)
+    return packages.required(derived.packages(spark, sf_dir))
 
 
 @query("""
@@ -147,7 +147,7 @@ def package_cycles(spark, sf_dir):
     items = derived.packages(spark, sf_dir)
     last = items.groupBy("package").agg(F.max_by("id", "pos").alias("last"))
     ring = (F.col("pos") < 10) & F.col("package").isin("pkg2", "pkg7")
-    return packages.cyclic(spark, items.join(last, "package").withColumn("dependencies", F.when(ring, F.array("last")).otherwise(F.col("dependencies"))), 20)
+    return packages.cyclic(items.join(last, "package").withColumn("dependencies", F.when(ring, F.array("last")).otherwise(F.col("dependencies"))))
 
 
 _MISSING = """, ok AS (SELECT DISTINCT sha256 FROM items WHERE pos % 3 = 0),
@@ -158,7 +158,7 @@ _MISSING = """, ok AS (SELECT DISTINCT sha256 FROM items WHERE pos % 3 = 0),
 
 def _missing(spark, sf_dir):
     items = derived.packages(spark, sf_dir)
-    return packages.missing(items, packages.required(spark, items, 20), items.filter("pos % 3 = 0"))
+    return packages.missing(items, packages.required(items), items.filter("pos % 3 = 0"))
 
 
 @query(sql(_MISSING + " SELECT * FROM m", "items", "closure"))
@@ -180,7 +180,7 @@ def package_readiness(spark, sf_dir):
 def package_preparation(spark, sf_dir):
     items = derived.packages(spark, sf_dir)
     jobs = items.filter("pos % 2 = 0").select("sha256", F.lit("waiting").alias("state"), derived.text("e", F.col("pos")).alias("error"))
-    return packages.preparation(items, packages.required(spark, items, 20), items.filter("pos % 3 = 0"), jobs)
+    return packages.preparation(items, packages.required(items), items.filter("pos % 3 = 0"), jobs)
 
 
 @query("SELECT o_custkey % 3 AS generation, count(*) AS n_rows, CAST(sum(length(o_orderpriority) * 2) AS BIGINT) AS n_bytes FROM orders GROUP BY 1")

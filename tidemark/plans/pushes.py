@@ -57,7 +57,7 @@ def push_groups(spark, sf_dir):
 def push_group_abort(spark, sf_dir):
     members = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
     kind = F.when(F.col("flag") == "A", "accepted").when(F.col("flag") == "N", "conflict").otherwise("rejected")
-    rows = members.select("l_orderkey", "l_linenumber", F.lit("s").alias("scope"), F.col("l_orderkey").cast("string").alias("group"), kind.alias("kind"), F.lit(False).alias("duplicate"), F.lit(None).cast("string").alias("error_code"))
+    rows = members.select("l_orderkey", "l_linenumber", F.lit("s").alias("scope"), F.col("l_linenumber").alias("pos"), F.col("l_orderkey").cast("string").alias("group"), kind.alias("kind"), F.lit(False).alias("duplicate"), F.lit(None).cast("string").alias("error_code"))
     return push.settle_groups(rows).select("l_orderkey", "l_linenumber", "kind")
 
 
