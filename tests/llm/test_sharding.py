@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.sharding import greedy_cuts, least_capacity, minimax_cuts, shard
+from tidemark.llm.sharding import even_cuts, greedy_cuts, least_capacity, minimax_cuts, shard
 
 
 def plain_minimax(sizes, shards):
@@ -25,6 +25,16 @@ def test_search_against_dynamic_programming():
         c = least_capacity(sizes, k)
         assert c == plain_minimax(sizes, k)
         assert greedy_cuts(sizes, c, k) is not None
+        bounds = [0, *even_cuts(sizes, c, k), len(sizes)]
+        assert len(bounds) == k + 1 and bounds == sorted(bounds)
+        assert max(sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)) == c
+
+
+def test_a_giant_group_starves_no_shard():
+    sizes = [10] * 500 + [280] + [10] * 200
+    bounds = [0, *even_cuts(sizes, least_capacity(sizes, 28), 28), len(sizes)]
+    sums = [sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert max(sums) == 280 and min(sums) > 230
 
 
 def test_refined_cells_give_the_optimum_over_groups(spark):

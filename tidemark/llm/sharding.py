@@ -2,7 +2,7 @@
 
 Groups (rows with equal keys) are atomic and ordered by the digest of their key; a shard is a run of groups.
 A binary search over the shard capacity tests each candidate greedily: fill shards in order, start the next
-where the capacity would be exceeded. The driver never sees the groups: it sees their sizes summed by the
+where the capacity would be exceeded. The cuts are the most even ones that the smallest capacity allows. The driver never sees the groups: it sees their sizes summed by the
 first digits of the digest, and then, for the few cells in which a cut can fall, summed by more digits, until
 each such cell is one group. The number of cells it holds is bounded by the digits of a level.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import stored
 
 MOST_DIGITS = 32
+#: Sorts after every hexadecimal digest.
+PAST_ALL = "~"
 #: Rows numbered together, about; a shard's lots are as many as needed, up to LOTS.
 LOT_ROWS, LOTS = 20_000, 65_536
 
@@ -56,6 +58,29 @@ def least_capacity(sizes: Sequence[int], shards: int) -> int:
     return low
 
 
+def even_cuts(sizes: Sequence[int], capacity: int, shards: int) -> list[int]:
+    """Where shards 2 to `shards` start, within a feasible capacity and as evenly as that allows.
+
+    Filling to the brim would starve the last shards where one group is larger than the mean. So each shard ends at
+    the boundary nearest to its share of what is left, between the first one from which the rest still fits (by
+    filling from the end) and the last one that fits the shard.
+    """
+    ends = [0, *accumulate(sizes)]
+    n, fits = len(sizes), [len(sizes)]
+    for _ in range(shards - 1):
+        fits.append(bisect_left(ends, ends[fits[-1]] - capacity))
+    cuts, start = [], 0
+    for rest in range(shards - 1, 0, -1):
+        first, last = max(start, fits[rest]), bisect_right(ends, ends[start] + capacity) - 1
+        share = ends[start] + (ends[n] - ends[start]) / (rest + 1)
+        at = bisect_left(ends, share)
+        if at > start and at <= n and share - ends[at - 1] < ends[at] - share:
+            at -= 1
+        start = min(max(at, first), last)
+        cuts.append(start)
+    return cuts
+
+
 def _reach(cells: list[tuple[str, int, int, int]], capacity: int, divisible: bool) -> list[int]:
     """Sizes before each cut of the greedy test, with cells of several groups atomic or divisible at will."""
     cuts, base, done = [], 0, 0
@@ -101,8 +126,7 @@ def minimax_cuts(groups: DataFrame, shards: int, first_digits: int = 4, more_dig
             names = [cells[i][0] for i in doubt if len(cells[i][0]) == n]
             finer += summed(groups.filter(F.substring("key", 1, n).isin(names)), min(MOST_DIGITS, n + more_digits))
         cells = sorted([c for i, c in enumerate(cells) if i not in doubt] + finer)
-    cuts = greedy_cuts([c[1] for c in cells], high, shards) or []
-    return [cells[i][0] for i in cuts]
+    return [cells[i][0] if i < len(cells) else PAST_ALL for i in even_cuts([c[1] for c in cells], high, shards)]
 
 
 def digest(key: Column) -> Column:
