@@ -72,3 +72,29 @@ def test_cycles_and_closures(spark):
     assert {r["package"] for r in packages.cyclic(items).collect()} == {"p", "r"}
     roots = spark.createDataFrame([("p", "a"), ("q", "b")], "package string, id string")
     assert {tuple(r) for r in packages.closure(roots, packages.edges(items)).collect()} == {("p", "a"), ("p", "b"), ("p", "c"), ("q", "b")}
+
+
+def test_json_documents_keep_what_they_do_not_know(spark, tmp_path):
+    from tidemark.sources.stores import json_documents, to_json_documents
+
+    lines = ['{"id":"a","updated_at":"x","deleted":false,"title":"t","later":{"n":1},"flag":true,"note":"say \\"hi\\""}', '{"id":"b","updated_at":"y","deleted":true}']
+    (tmp_path / "d.json").write_text("\n".join(lines))
+    docs = json_documents(spark, str(tmp_path / "d.json"), "title STRING")
+    rows = {r["id"]: r for r in docs.collect()}
+    assert rows["a"]["title"] == "t" and rows["a"]["_unknown"]["later"] == '{"n":1}' and rows["b"]["deleted"]
+    import json
+
+    assert sorted((json.loads(r["value"]) for r in to_json_documents(docs).collect()), key=str) == sorted(map(json.loads, lines), key=str)
+
+
+def test_flat_records_and_blob_files(spark, tmp_path):
+    from tidemark.sources.stores import blob_files, flat_records, write_feed
+
+    rows = flat_records(spark.createDataFrame([("a", "9007199254740993", "01", True)], "id string, base_version string, observed_version string, is_dirty boolean")).first()
+    assert (rows["base_version"], rows["observed_version"], rows["is_dirty"], rows["missing"]) == (9007199254740993, None, True, None)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.bin").write_bytes(b"abc")
+    blob = blob_files(spark, str(tmp_path / "b")).first()
+    assert (blob["id"], blob["size"], blob["sha256"][:8]) == ("x.bin", 3, "ba7816bf")
+    write_feed(spark.range(10).select(F.col("id").alias("version"), (F.col("id") % 2).alias("scope")), f"{tmp_path}/feed")
+    assert spark.read.parquet(f"{tmp_path}/feed").filter("scope = 1 and version > 5").count() == 2

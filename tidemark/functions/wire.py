@@ -34,3 +34,13 @@ def operation_fault(op: Column, raw: Column) -> Column:
         .when(op["document"].isNull() | ~op["document"]["id"].eqNullSafe(op["documentId"]), "document")
         .when(~clock.valid(op["document"]["updatedAt"]), "updated-at")
     )
+
+
+def problem(status: Column, code: Column) -> tuple[Column, Column]:
+    """(error code, whether trying again can help) of a failed request; a code the server gave wins over its status."""
+    own = (
+        F.when(status == 401, "unauthorized").when(status == 403, "forbidden").when(status == 413, "payload-too-large").when(status == 429, "rate-limited")
+        .when(status >= 500, "unavailable").otherwise("invalid-request")
+    )
+    found = F.coalesce(code, own)
+    return found, found.isin("rate-limited", "unavailable") | (status >= 500)

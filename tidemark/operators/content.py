@@ -122,3 +122,35 @@ def transfer_step(jobs: DataFrame, results: DataFrame, most_attempts: int = 8) -
         .when(F.col("result") == "transient", "waiting").otherwise(F.col("state"))
     )
     return joined.select("key", state.alias("state"), attempts.cast("long").alias("attempts"))
+
+
+def assemble(parts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Finish uploads: parts (id, offset, data) put together where they are gapless and match (id, sha256, size).
+
+    An upload is bounded in chunks, so its parts meet in one row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("offset", "data")))
+    joined = parts.groupBy("id").agg(ordered.alias("p"))
+    ends = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("end"), F.lit(True).alias("ok")), lambda s, x: F.struct((s["end"] + F.octet_length(x["data"])).alias("end"), (s["ok"] & (x["offset"] == s["end"])).alias("ok")))
+    content_ = F.aggregate(F.transform("p", lambda x: x["data"]), F.lit(b""), lambda s, x: F.concat(s, x))
+    put = joined.select("id", ends.alias("e"), content_.alias("content"))
+    done = put.join(expected.select(F.col("id").alias("_i"), "sha256", "size"), F.col("id") == F.col("_i"))
+    state = (
+        F.when(~F.col("e.ok"), "gap").when(F.col("e.end") < F.col("size"), "incomplete").when((F.col("e.end") > F.col("size")) | (F.sha2("content", 256) != F.col("sha256")), "invalid").otherwise("complete")
+    )
+    return done.select("id", state.alias("state"), F.when(state == "complete", F.col("content")).alias("content"))
+
+
+def read_range(blobs: DataFrame, content_col: str, start: Column, length: Column) -> Column:
+    """Bytes of a range; beyond the end there are none."""
+    return F.substring(F.col(content_col).cast("binary"), start + 1, length)
+
+
+def seal(content_col: Column, key: Column, owner: Column) -> Column:
+    """An envelope that only opens with the same key for the same owner (AES-GCM; the owner is authenticated)."""
+    return F.aes_encrypt(content_col, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), owner)
+
+
+def opened(envelope: Column, key: Column, owner: Column) -> Column:
+    """The content of an envelope; null where key or owner don't fit."""
+    return F.try_aes_decrypt(envelope, key, F.lit("GCM"), F.lit("DEFAULT"), owner)

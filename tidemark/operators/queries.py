@@ -105,3 +105,9 @@ def compare_and_set(records: DataFrame, mutations: DataFrame, fence: Column) ->
     stored = records.select(F.col("key").alias("_k"), "revision")
     met = mutations.join(stored, F.col("key") == F.col("_k"), "left").withColumn("_met", F.col("revision").eqNullSafe(F.col("expected")) & fence)
     return met.groupBy("batch").agg(F.bool_and("_met").alias("applied"), F.count(F.lit(1)).alias("n"))
+
+
+def index_signature(indexes: DataFrame, keys: list[str]) -> DataFrame:
+    """One text per collection of its declared indexes' names and versions; a change of it calls for a rebuild."""
+    entry = F.concat_ws("@", "name", F.col("version").cast("string"))
+    return indexes.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(entry)), ";").alias("signature"))

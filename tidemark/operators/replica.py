@@ -296,3 +296,19 @@ def batches(units: DataFrame, most_bytes: int, order: str = "pos") -> DataFrame:
     span = ranged.withColumn("_span", F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, halve))
     too_large = (F.col("_span.high") - F.col("_span.low") == 1) & (F.col("bytes") > most_bytes)
     return span.select(*units.columns, F.col("_span.low").cast("long").alias("batch_from"), F.col("_span.high").cast("long").alias("batch_to"), too_large.alias("too_large"))
+
+
+def release(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups of which a member was retried or resolved: their parked members may be sent again."""
+    both = records.join(groups.select(F.col("group_id").alias("_g")).distinct(), F.col("group_id") == F.col("_g"), "left")
+    hit = F.col("_g").isNotNull() & F.col("rejection").isin("group-failed", "groups-unsupported")
+    return changed(both, hit, rejection=null("rejection"), pending_op=null("pending_op"), pending_revision=null("pending_revision"), pending_group=null("pending_group")).drop("_g")
+
+
+def resolve_kept(records: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Kept conflicts that the user settled with a document (id, document): a local change on the latest server state."""
+    r = resolved.select(F.col("id").alias("_r"), F.col("document").alias("_d"))
+    both = records.join(r, F.col("id") == F.col("_r"), "left")
+    hit = F.col("_r").isNotNull() & F.col("conflict").isNotNull()
+    new = {"current": F.col("_d"), "is_dirty": F.lit(True), "local_revision": F.col("local_revision") + 1, "missing": F.lit(False)}
+    return changed(both, hit, **new, **{c: null(c) for c in ("rejection", "conflict", "conflict_version")}).drop("_r", "_d")

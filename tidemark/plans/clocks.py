@@ -95,3 +95,15 @@ def wire_validate(spark, sf_dir):
     raw = F.when(k % 10 == 0, F.lit('{"operationId":')).otherwise(json)
     rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", "raw", wire.operation(F.col("raw")).alias("op"))
     return rows.select("event_id", wire.operation_fault(F.col("op"), F.col("raw")).alias("fault"))
+
+
+@query("""
+    SELECT event_id, coalesce(code, CASE WHEN status = 401 THEN 'unauthorized' WHEN status = 403 THEN 'forbidden' WHEN status = 413 THEN 'payload-too-large' WHEN status = 429 THEN 'rate-limited' WHEN status >= 500 THEN 'unavailable' ELSE 'invalid-request' END) AS code,
+        coalesce(code, CASE WHEN status = 429 THEN 'rate-limited' ELSE '' END) = 'rate-limited' OR status >= 500 AS transient
+    FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 413 WHEN 3 THEN 429 WHEN 4 THEN 500 WHEN 5 THEN 503 ELSE 404 END AS status, CASE WHEN event_id % 5 = 0 THEN 'upgrade-required' END AS code FROM events)
+""")
+def wire_problem(spark, sf_dir):
+    k = F.col("event_id")
+    status = F.when(k % 7 == 0, 401).when(k % 7 == 1, 403).when(k % 7 == 2, 413).when(k % 7 == 3, 429).when(k % 7 == 4, 500).when(k % 7 == 5, 503).otherwise(404)
+    code, transient = wire.problem(status, F.when(k % 5 == 0, "upgrade-required"))
+    return table(spark, sf_dir, "events").select("event_id", code.alias("code"), transient.alias("transient"))

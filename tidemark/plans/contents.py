@@ -199,3 +199,34 @@ def chunk_observation(spark, sf_dir):
     """Reserved and quarantined bytes per page of chunks."""
     size = F.col("event_id") % 1000
     return table(spark, sf_dir, "events").groupBy((F.col("event_id") % 50).alias("page")).agg(F.sum(size).alias("bytes"), F.coalesce(F.sum(F.when(F.col("event_type") == "error", size)), F.lit(0)).alias("quarantined"))
+
+
+@query("SELECT item_id AS id, item_id % 4 <> 1 AS opens FROM benchmark")
+def blob_envelope(spark, sf_dir):
+    """Texts sealed for an owner; one in four is opened for another one, and stays shut."""
+    k = F.col("item_id")
+    sealed = table(spark, sf_dir, "benchmark").select(k, "text", content.seal(F.col("text").cast("binary"), F.lit("0123456789abcdef").cast("binary"), F.lit("alice").cast("binary")).alias("e"))
+    reader = F.when(k % 4 == 1, "mallory").otherwise("alice").cast("binary")
+    return sealed.select(k.alias("id"), F.coalesce(content.opened(F.col("e"), F.lit("0123456789abcdef").cast("binary"), reader) == F.col("text").cast("binary"), F.lit(False)).alias("opens"))
+
+
+@query("""
+    SELECT item_id AS id, CASE WHEN item_id % 5 = 1 AND strlen(text) > 64 THEN 'gap' WHEN item_id % 5 = 2 THEN 'incomplete' WHEN item_id % 5 = 3 THEN 'invalid' ELSE 'complete' END AS state FROM benchmark
+""")
+def blob_assemble(spark, sf_dir):
+    """Uploads in parts of 64 bytes: some lack a part in between or at the end, some have a wrong digest."""
+    b, k = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"), F.col("id")
+    cut = b.select("id", F.col("text").cast("binary").alias("c"), F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 64).cast("int"))).alias("n"))
+    last = F.floor((F.octet_length("c") - 1) / 64)
+    sent = cut.filter(~((k % 5 == 1) & (F.col("n") == 0) & (last > 0)) & ~((k % 5 == 2) & (F.col("n") == last)))
+    parts = sent.select("id", (F.col("n").cast("long") * 64).alias("offset"), F.substring("c", F.col("n") * 64 + 1, F.lit(64)).alias("data"))
+    digest = F.when(k % 5 == 3, "wrong").otherwise(F.sha2("text", 256))
+    return content.assemble(parts, b.select("id", digest.alias("sha256"), F.octet_length("text").cast("long").alias("size"))).select("id", "state")
+
+
+@query("SELECT doc_id, sha256('') AS nothing FROM documents")
+def blob_range_beyond(spark, sf_dir):
+    """A range that starts past the end is empty."""
+    docs = table(spark, sf_dir, "documents")
+    part = content.read_range(docs, "text", F.octet_length("text") + 10, F.lit(100))
+    return docs.select("doc_id", F.sha2(part, 256).alias("nothing"))

@@ -116,3 +116,9 @@ def kv_compare_and_set(spark, sf_dir):
     expected = F.when(k % 4 == 3, F.lit(None)).when(k % 50 == 0, 99).otherwise(k % 5)
     mutations = table(spark, sf_dir, "events").select(F.floor(k / 3).cast("long").alias("batch"), F.concat(prefix, k.cast("string")).alias("key"), expected.cast("long").alias("expected"))
     return queries.compare_and_set(_kv(spark, sf_dir), mutations, F.col("batch") % 10 != 0)
+
+
+@query("SELECT p_brand, string_agg(p_type || '@' || p_size, ';' ORDER BY p_type || '@' || p_size) AS signature FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part) GROUP BY p_brand")
+def index_signature(spark, sf_dir):
+    indexes = table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("name"), F.col("p_size").alias("version")).distinct()
+    return queries.index_signature(indexes, ["p_brand"])

@@ -276,3 +276,24 @@ def issue_page(spark, sf_dir):
 def salvage(spark, sf_dir):
     """What a rebuilt store takes over from a damaged one."""
     return shown(derived.records(spark, sf_dir).filter(F.col("is_dirty") | F.col("conflict").isNotNull()))
+
+
+_HELD = "(rejection = 'group-failed' AND group_id IN (SELECT group_id FROM records WHERE k % 60 = 0 AND group_id IS NOT NULL))"
+
+
+@query(sql(f"SELECT id, CASE WHEN {_HELD} THEN NULL ELSE rejection END AS rejection, CASE WHEN {_HELD} THEN NULL ELSE pending_op END AS pending_op FROM records", "records"))
+def group_release(spark, sf_dir):
+    records = derived.records(spark, sf_dir)
+    groups = records.filter((F.substring("id", 2, 20).cast("long") % 60 == 0) & F.col("group_id").isNotNull()).select("group_id")
+    return replica.release(records, groups).select("id", "rejection", "pending_op")
+
+
+_SETTLED_BY_USER = "(k % 4 = 1 AND conflict IS NOT NULL)"
+
+
+@query(sql(show_sql("records", current=f"CASE WHEN {_SETTLED_BY_USER} THEN 'res' || k ELSE current END", is_dirty=f"is_dirty OR {_SETTLED_BY_USER}", local_revision=f"local_revision + CASE WHEN {_SETTLED_BY_USER} THEN 1 ELSE 0 END",
+    rejection=f"CASE WHEN NOT {_SETTLED_BY_USER} THEN rejection END", conflict=f"CASE WHEN NOT {_SETTLED_BY_USER} THEN conflict END", conflict_version=f"CASE WHEN NOT {_SETTLED_BY_USER} THEN conflict_version END", missing=f"missing AND NOT {_SETTLED_BY_USER}"), "records"))
+def conflict_resolve_kept(spark, sf_dir):
+    k = F.col("o_orderkey")
+    resolved = table(spark, sf_dir, "orders").filter(k % 4 == 1).select(derived.text("o", k).alias("id"), derived.text("res", k).alias("document"))
+    return shown(replica.resolve_kept(derived.records(spark, sf_dir), resolved))
