@@ -76,7 +76,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -111,6 +111,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, s.size, r.source_size, r.target, CAST(s.size * (floor(r.rate) + CASE WHEN s.u < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
     """,
-    "op10_warc": None,
+    "op10_warc": """
+        WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        firsts AS (SELECT html, min(page_id) AS first FROM d GROUP BY html),
+        j AS (SELECT d.page_id, strlen(d.html) AS payload_bytes, d.hex, f.first FROM d JOIN firsts f ON d.html = f.html),
+        digits AS (SELECT page_id, n, (CAST('0x' || substr(hex, (n // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (n % 4))) % 32 AS v FROM (SELECT DISTINCT page_id, hex FROM j) x, range(32) t(n)),
+        b32 AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1), '' ORDER BY n) AS payload_digest FROM digits GROUP BY page_id)
+        SELECT j.page_id, payload_bytes, payload_digest, CASE WHEN j.page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN j.page_id > first THEN first END AS refers_to
+        FROM j JOIN b32 ON j.page_id = b32.page_id
+    """,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
