@@ -1,7 +1,7 @@
 """One-permutation MinHash fingerprints with built-in functions only.
 
-Each text is cut into words at ASCII white space and hashed as shingles of five words, once: the hash's low bits
-name a bin, the rest is the value of which the bin keeps the least. An empty bin takes the value of the first
+Each text is cut into words at ASCII white space and hashed as shingles of five words, once: the hash's upper bits
+name a bin, which keeps the least of its hashes. An empty bin takes the value of the first
 non-empty bin in its own fixed random order of all bins (optimal densification: which bin lends depends on the
 borrower alone). Of every bin the lowest `bits` bits are stored, packed as hexadecimal digits. The likeness of
 two fingerprints is the share of equal bins, corrected for the 2^-bits of bins that agree by chance.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import GAP, let
@@ -109,7 +109,7 @@ def _bucket(x: Column, bounds: list) -> Column:
     return F.when(x.isNull(), F.lit(-1)).otherwise(found)
 
 
-def with_next(docs: DataFrame, values: dict[str, Column], id_col: str, bucket_rows: int = 2048, most_buckets: int = 20_000) -> tuple[DataFrame, Window]:
+def with_next(docs: DataFrame, values: dict[str, Column], id_col: str, bucket_rows: int = 2048, most_buckets: int = 20_000) -> tuple[DataFrame, WindowSpec]:
     """The rows (id, values, guard, bucket), and the window in which lead() gives the next row by descending id.
 
     The rows are dealt by ranges of ids of about equal counts (quantiles of the ids), at most most_buckets, in one
