@@ -23,7 +23,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
     if not getattr(spark, "_tidemark_shared", None):

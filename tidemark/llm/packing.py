@@ -27,6 +27,10 @@ from tidemark.llm._common import id_type, map_batches
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Bytes of ids that a tokenising task holds before it hands them on.
+FLUSH_BYTES = 4 << 20
+
+
 class Encoder:
     """Ids as the `tokenizers` library gives them for the vocabulary file, through a faster merge loop.
 
@@ -36,9 +40,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.exact = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -52,6 +55,10 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if self.odd.search(text):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -93,16 +100,22 @@ def token_streams(docs: DataFrame, vocabulary: str, groups: int, seed: int, sepa
 
         encode = Encoder(vocabulary)
         kind, repeats = "<u2" if encode.size <= 1 << 16 else "<u4", Counter()
+        names = ["id", "grp", "width", "ids"]
+        rows, held = [], 0
         for batch in batches:
-            ids = [np.array([*encode(t or ""), separator], dtype=kind).tobytes() for t in batch["text"]]
-            group = []
-            for i, x in zip(batch["id"].tolist(), ids, strict=True):
-                key = xxhash.xxh64_intdigest(x, xxhash.xxh64_intdigest(str(i).encode(), seed))
+            for i, t in zip(batch["id"], batch["text"], strict=True):
+                ids = np.array([*encode(t or ""), separator], dtype=kind).tobytes()
+                key = xxhash.xxh64_intdigest(ids, xxhash.xxh64_intdigest(str(i).encode(), seed))
                 repeats[key] += 1  # rows that repeat spread over the groups, too
-                group.append(xxhash.xxh64_intdigest(f"{key} {repeats[key]}".encode(), seed) % groups)
+                rows.append((i, xxhash.xxh64_intdigest(f"{key} {repeats[key]}".encode(), seed) % groups, int(kind[-1]), ids))
+                held += len(ids)
+                if held >= FLUSH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
             if len(repeats) > 500_000:
                 repeats = Counter({k: v for k, v in repeats.items() if v > 1})
-            yield pd.DataFrame({"id": batch["id"], "grp": group, "width": int(kind[-1]), "ids": ids})
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as strings, null ids stay apart from numbers
     return map_batches(rows, run, "id string, grp long, width int, ids binary")
