@@ -78,6 +78,6 @@ def test_batches_are_those_of_recursive_halving(spark):
 
     for n in (1, 2, 7, 50):
         sizes = [rng.choice((10, 100, 700, 1500)) for _ in range(n)]
-        df = spark.createDataFrame(list(enumerate(sizes)), "pos long, bytes long")
-        got = [(r["batch_from"], r["batch_to"], r["too_large"]) for r in replica.batches(df, 1000).orderBy("pos").collect()]
+        df = spark.createDataFrame([(n, i, s) for i, s in enumerate(sizes)], "request long, pos long, bytes long")
+        got = [(r["batch_from"], r["batch_to"], r["too_large"]) for r in replica.batches(df, 1000, ["request"]).orderBy("pos").collect()]
         assert got == [(*span, sizes[i] > 1000 and span[1] - span[0] == 1) for i, span in enumerate(halves(sizes, 0))]

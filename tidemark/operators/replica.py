@@ -272,17 +272,17 @@ def restamp(records: DataFrame) -> DataFrame:
     return hit.drop("_s")
 
 
-def batches(units: DataFrame, most_bytes: int, order: str = "pos") -> DataFrame:
-    """Batch numbers by halving: a batch above the limit splits into halves of its units until it fits or is a single one.
+def batches(units: DataFrame, most_bytes: int, request: list[str], order: str = "pos") -> DataFrame:
+    """Batches by halving: one above the limit splits into halves of its units until it fits or is a single one.
 
-    units: one row a group or lone operation with its bytes, in one request (bounded by what a request may hold). The
-    halving depends only on a unit's place, so it is an expression over running sums.
+    units: one row a group or lone operation with its bytes. A request is bounded in units, so its running sums fit a
+    row; halving depends only on a unit's place, so it is an expression over them.
     """
-    everything = Window.orderBy(order)
-    placed = units.withColumn("_i", F.row_number().over(everything) - 1).withColumn("_s", F.sum("bytes").over(everything))
-    all_units = Window.partitionBy()
-    sums = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s")).over(all_units)), lambda x: x["_s"])
-    ranged = placed.withColumn("_sums", sums).withColumn("_n", F.count(F.lit(1)).over(all_units).cast("int"))
+    placed = units.withColumn("_i", F.row_number().over(Window.partitionBy(*request).orderBy(order)) - 1)
+    placed = placed.withColumn("_s", F.sum("bytes").over(Window.partitionBy(*request).orderBy(order)))
+    whole = Window.partitionBy(*request)
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s")).over(whole)), lambda x: x["_s"])
+    ranged = placed.withColumn("_sums", sums).withColumn("_n", F.count(F.lit(1)).over(whole).cast("int"))
     upto = lambda i: F.when(i > 0, F.get(F.col("_sums"), i - 1)).otherwise(F.lit(0))
 
     def halve(span: Column, _: Column) -> Column:

@@ -40,9 +40,19 @@ def hlc_now(spark, sf_dir):
     return clock.now_stamps(events, "node", "event_id", "physical").select("event_id", "stamp")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, epoch_us(ts) // 1000 AS p,
+        CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 + event_id % 7 * 1000 END AS rw, event_id % 5 AS rc FROM events),
+    f(node, n, wall, counter, refused) AS (SELECT node, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM e WHERE n = 1 UNION ALL
+        SELECT e.node, e.n, CASE WHEN coalesce(rw - p > 5500, false) THEN wall ELSE greatest(wall, p, coalesce(rw, -1)) END,
+            CASE WHEN coalesce(rw - p > 5500, false) THEN counter WHEN greatest(wall, p, coalesce(rw, -1)) = wall AND coalesce(rw = wall, false) THEN greatest(counter, rc) + 1 WHEN greatest(wall, p, coalesce(rw, -1)) = wall THEN counter + 1
+                WHEN coalesce(rw >= p, false) THEN rc + 1 ELSE 0 END,
+            refused + CASE WHEN coalesce(rw - p > 5500, false) THEN 1 ELSE 0 END
+        FROM f JOIN e ON e.node = f.node AND e.n = f.n + 1)
+    SELECT node, max(wall) AS wall, arg_max(counter, n) AS counter, max(refused) AS refused FROM f GROUP BY node
+""")
 def hlc_update(spark, sf_dir):
-    """A fold over each node's events; SQL has no form for it. Tests hold it against a step-by-step clock."""
+    """A fold over each node's events."""
     k = F.col("event_id")
     remote = F.when(k % 3 == 0, clock.encode(derived.millis("ts") + k % 7 * 1000, k % 5, F.lit("r")))
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("node"), derived.millis("ts").alias("physical"), remote.alias("remote"))

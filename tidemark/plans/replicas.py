@@ -250,11 +250,20 @@ def skew_restamp(spark, sf_dir):
     return replica.restamp(derived.records(spark, sf_dir)).select("id")
 
 
-@query()
+@query("""
+    WITH RECURSIVE u AS (SELECT doc_id // 500 AS request, doc_id AS pos, strlen(text) AS bytes, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1 AS i FROM documents),
+    ps AS (SELECT request, i, sum(bytes) OVER (PARTITION BY request ORDER BY i) AS s FROM u),
+    spans(request, low, high) AS (SELECT request, CAST(0 AS BIGINT), count(*) FROM u GROUP BY request UNION ALL
+        SELECT s.request, CASE WHEN side = 0 THEN low ELSE low + (high - low) // 2 END, CASE WHEN side = 0 THEN low + (high - low) // 2 ELSE high END
+        FROM spans s JOIN ps e ON e.request = s.request AND e.i = s.high - 1 LEFT JOIN ps b ON b.request = s.request AND b.i = s.low - 1, (VALUES (0), (1)) t(side) WHERE high - low > 1 AND e.s - coalesce(b.s, 0) > 65536),
+    leaves AS (SELECT s.request, s.low, s.high FROM spans s JOIN ps e ON e.request = s.request AND e.i = s.high - 1 LEFT JOIN ps b ON b.request = s.request AND b.i = s.low - 1 WHERE high - low = 1 OR e.s - coalesce(b.s, 0) <= 65536)
+    SELECT u.request, u.pos, low AS batch_from, high AS batch_to, high - low = 1 AND bytes > 65536 AS too_large FROM u JOIN leaves l ON l.request = u.request AND u.i >= l.low AND u.i < l.high
+""")
 def batch_split(spark, sf_dir):
-    """Recursive halving has no SQL form of bearable size; tests hold it against the recursion."""
-    units = table(spark, sf_dir, "documents").orderBy("doc_id").limit(500).select(F.col("doc_id").alias("pos"), F.octet_length("text").cast("long").alias("bytes"))  # what a request may hold
-    return replica.batches(units, 65_536)
+    """All documents as requests of up to 500 units."""
+    k = F.col("doc_id")
+    units = table(spark, sf_dir, "documents").select(F.floor(k / 500).cast("long").alias("request"), k.alias("pos"), F.octet_length("text").cast("long").alias("bytes"))
+    return replica.batches(units, 65_536, ["request"]).drop("bytes")
 
 
 @query(sql("SELECT id, CASE WHEN missing THEN 'missing-after-reset' WHEN conflict IS NOT NULL THEN 'conflicted' WHEN rejection IS NOT NULL THEN 'rejected' WHEN is_dirty THEN 'pending' ELSE 'synced' END AS state FROM records", "records"))
