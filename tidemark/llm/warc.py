@@ -191,7 +191,7 @@ def write_archives(found: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
 
 
 def read_runs(archives: DataFrame) -> DataFrame:
-    """Index rows of all archives, each archive's sorted."""
+    """Index rows of all archives, each archive's sorted, stored so that dealing them by ranges reads no archive again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in INDEX.split(", ")]
@@ -199,7 +199,7 @@ def read_runs(archives: DataFrame) -> DataFrame:
             for archive, content in zip(batch["archive"], batch["content"], strict=True):
                 yield pd.DataFrame(index_run(archive, content), columns=names)
 
-    return map_batches(archives.select("archive", "content"), run, INDEX)
+    return stored(map_batches(archives.select("archive", "content"), run, INDEX), "runs")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
