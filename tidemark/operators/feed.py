@@ -10,10 +10,14 @@ from tidemark.operators.numbering import lot_of, number_rows
 
 
 def latest(changelog: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """The row of the greatest version per key. Partial aggregation keeps one row a key and task before the shuffle."""
-    rest = [c for c in changelog.columns if c not in keys]
-    newest = changelog.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r"))
-    return newest.select(*keys, *(F.col("_r")[c].alias(c) for c in rest))
+    """The row of the greatest version per key. Partial aggregation keeps one row a key and task before the shuffle.
+
+    Each column is an aggregate of its own, so those that a query doesn't use are neither read nor shuffled, and fixed-width
+    ones are aggregated by hash.
+    """
+    rest = [c for c in changelog.columns if c not in (*keys, version)]
+    newest = changelog.groupBy(*keys).agg(F.max(version).alias(version), *(F.max_by(c, version).alias(c) for c in rest))
+    return newest.select(*changelog.columns)
 
 
 def pull_page(feed: DataFrame, since: int, limit: int, can_read: Column | None = None, version: str = "version") -> DataFrame:
