@@ -31,11 +31,17 @@ def check(docs):
     for _, t, s in rows:
         sizes[s] += size(t)
     targets = plain_targets(sizes)
+    rate = {s: min(3.0, targets[s] / sizes[s]) if sizes[s] else 0.0 for s in sizes}
+    draws = {(i, t): [int(hashlib.sha256(f"23:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) / 2**32 for k in range(8)] for i, t, _ in rows}
+    pick = {}
+    for s in sizes:
+        f = rate[s] - int(rate[s])
+        totals = [sum(size(t) for i, t, x in rows if x == s and draws[i, t][k] < f) for k in range(8)]
+        pick[s] = min(range(8), key=lambda k: (abs(totals[k] - f * sizes[s]), k))
     want = Counter()
     for i, t, s in rows:
-        rate = min(3.0, targets[s] / sizes[s]) if sizes[s] else 0.0
-        u = int(hashlib.md5(f"23:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:13], 16) / 2**52
-        want[(i, size(t), sizes[s], round(targets[s], 6), int(rate) + (u < rate - int(rate)))] += 1
+        r = rate[s]
+        want[(i, size(t), sizes[s], round(targets[s], 6), int(r) + (draws[i, t][pick[s]] < r - int(r)))] += 1
     got = Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["copies"]) for r in mix_plan(docs).collect())
     assert got == want
     return rows, got
@@ -52,6 +58,14 @@ def test_excess_is_shared_again(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
 
+def test_totals_come_near_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    plan = mix_plan(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"target": "max", "source_size": "max"})
+    taken = mix_plan(docs).selectExpr("doc_id", "size * copies as words").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").sum("words")
+    for r in plan.join(taken, "source").collect():
+        assert abs(r["sum(words)"] - r["max(target)"]) < 0.06 * r["max(target)"]
+
+
 def test_mix_repeats_rows(odd):
     copies = defaultdict(int)
     for r in mix_plan(odd).collect():

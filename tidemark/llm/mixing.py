@@ -1,8 +1,10 @@
 """Mix sources to target weights by repeating documents, with built-in functions only.
 
-One pass sums the sizes by source (partial sums before the shuffle, so a hot source costs one row a task). From
-these sums follow targets and repetition rates; a second pass gives each document floor(rate) copies and one
-more with probability equal to the fraction, drawn from a hash of seed, id and text, so reruns agree.
+One pass over the texts stores sizes and digests, slim. Their sums by source (partial sums before the shuffle, so a
+hot source costs one row a task) give targets and repetition rates; each document gets floor(rate) copies and one
+more with probability equal to the fraction, drawn from a digest of seed, id and text, so reruns agree. The digest
+holds DRAWS independent draws; each source uses the one whose total comes nearest to its target, which makes the
+scatter of the totals several times smaller.
 
 Targets: the sources share the total size in proportion to their weights, none above max_rate times its own
 size; what is above goes to the others by weight, again and again. The limit of that is min(max_rate * own,
@@ -23,6 +25,8 @@ from tidemark.llm._common import WORD, broadcast_if_small, stored
 
 #: Sources up to this many are joined by broadcast (some tens of bytes each), more by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Draws of 32 bits in a digest of 256.
+DRAWS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -60,24 +64,44 @@ def source_rates(sized: DataFrame, weight: Callable[[Column], Column] = cycling_
     )
 
 
-def draw(seed: int, *parts: Column) -> Column:
-    """A number in [0, 1) from the digest of seed and parts: the same in every run, on every engine that has md5."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def digest(seed: int, *parts: Column) -> Column:
+    """Hexadecimal digest of seed and parts: the same in every run, on every engine that has SHA-256."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256)
+
+
+def draw(digest_: Column, k: Column) -> Column:
+    """The k-th number in [0, 1) that the digest holds."""
+    return F.conv(F.substring(digest_, k * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def fraction() -> Column:
+    return F.col("rate") - F.floor("rate")
+
+
+def picked_rates(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """rates with `pick`, the draw whose extra copies come nearest to what the fraction asks for."""
+    named = rates.withColumnRenamed("source", "_source")
+    joined = sized.join(broadcast_if_small(named, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    extra = [F.sum(F.when(draw(F.col("digest"), F.lit(k)) < fraction(), F.col("size")).otherwise(F.lit(0))).alias(f"k{k}") for k in range(DRAWS)]
+    sums = joined.groupBy(F.col("source").alias("_source")).agg(*extra, F.max(fraction() * F.col("source_size")).alias("wanted"))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"k{k}").cast("double") - F.col("wanted")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS))))
+    return rates.join(sums.select("_source", best["k"].alias("pick")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def mix_plan(docs: DataFrame, seed: int = 23, weight: Callable[[Column], Column] = cycling_weight, max_rate: float = 3.0, size: Callable[[Column], Column] = word_count, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The documents with size, source_size, target, rate and copies (long). keep: columns to carry along."""
-    sized = docs.select(F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"))
-    rates = stored(source_rates(sized, weight, max_rate), "mixing-rates").withColumnRenamed("source", "_source")
-    rows = docs.select(
-        *([F.struct(*keep).alias("_kept")] if keep else []),
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_own"), size(F.col(text_col)).alias("size"), draw(seed, F.col(id_col), F.col(text_col)).alias("_u"),
-    )
-    joined = rows.join(broadcast_if_small(rates, BROADCAST_SOURCES), F.col("_own").eqNullSafe(F.col("_source")), "left")
-    more = (F.col("_u") < F.col("rate") - F.floor("rate")).cast("long")
+    """The documents with size, source_size, target, rate and copies (long). keep: columns to carry along, read once more."""
+
+    def slim(*more: Column) -> DataFrame:
+        return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), digest(seed, F.col(id_col), F.col(text_col)).alias("digest"))
+
+    sized = stored(slim(), "mixing-sizes")
+    rates = stored(source_rates(sized, weight, max_rate), "mixing-rates")
+    picked = stored(picked_rates(sized, rates), "mixing-draws").withColumnRenamed("source", "_source")
+    rows = slim(F.struct(*keep).alias("_kept")) if keep else sized
+    joined = rows.join(broadcast_if_small(picked, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    more = (draw(F.col("digest"), F.col("pick")) < fraction()).cast("long")
     return joined.select(
-        *[F.col("_kept")] * bool(keep), F.col("_id").alias(id_col), "size", "source_size", "target", "rate", (F.floor("rate") + more).cast("long").alias("copies")
+        *(["_kept"] if keep else []), F.col("id").alias(id_col), "size", "source_size", "target", "rate", (F.floor("rate") + more).cast("long").alias("copies")
     )
 
 
