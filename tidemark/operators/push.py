@@ -20,7 +20,7 @@ from tidemark.operators.numbering import lot_of, running_total
 MOST_SKEW_MS = 300_000
 
 
-def fingerprint(op: DataFrame | None = None) -> Column:
+def fingerprint() -> Column:
     """Digest of what an operation asks for; a resend has the same."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     head = F.concat(utf16_units(F.col("document_id")).cast("string"), F.lit(":"), F.col("document_id"))
