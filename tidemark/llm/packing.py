@@ -3,7 +3,8 @@
 Documents are tokenised with a byte-level BPE vocabulary, ended by a separator id and cut into full pieces
 of the capacity and one remainder. Documents are dealt at random into groups of bounded size; in each group
 the pieces are placed by first-fit decreasing, where a tournament tree over the bins' free capacity finds the
-leftmost bin that fits in logarithmic time. Groups share nothing, so they run wherever there is a core.
+leftmost bin that fits in logarithmic time. Larger gaps that remain take the emptiest bins' pieces, cut to fit.
+Groups share nothing, so they run wherever there is a core.
 
 Defined cases: a null or empty text is the separator alone; rows that repeat are packed as often as they
 occur; a null id is kept as it is; an empty table gives an empty result; other columns are ignored.
@@ -92,6 +93,34 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, at
 
 
+def top_up(sizes: np.ndarray, where: np.ndarray, at: np.ndarray, capacity: int, least_gap: int = 16) -> tuple[np.ndarray, ...]:
+    """Dissolve the emptiest bins into gaps of at least least_gap in the others, as many as fit there whole.
+
+    Returns, for each part: index of the piece, offset in it, size, bin and offset in the bin. Only pieces of
+    dissolved bins are cut.
+    """
+    filled = np.bincount(where, weights=sizes).astype(np.int64)
+    gap = np.where(capacity - filled >= least_gap, capacity - filled, 0)
+    order = np.argsort(filled, kind="stable")
+    fits = np.cumsum(filled[order]) <= gap.sum() - np.cumsum(gap[order])
+    gone = order[: int(np.argmin(fits)) if not fits.all() else max(0, len(order) - 1)]
+    moved = np.isin(where, gone)
+    room = [(b, int(gap[b])) for b in sorted(set(range(len(filled))) - set(gone.tolist()), key=lambda b: (gap[b], b)) if gap[b]]
+    parts = []
+    for i in np.flatnonzero(moved).tolist():
+        done = 0
+        while done < sizes[i]:
+            b, free = room.pop()
+            take = min(free, int(sizes[i]) - done)
+            parts.append((i, done, take, b, capacity - free))
+            done += take
+            if free > take:
+                room.append((b, free - take))
+    kept = np.flatnonzero(~moved)
+    whole = np.stack([kept, np.zeros(len(kept), dtype=np.int64), sizes[kept], where[kept], at[kept]])
+    return tuple(np.concatenate([whole, np.array(parts, dtype=np.int64).reshape(-1, 5).T], axis=1))
+
+
 def token_streams(docs: DataFrame, vocabulary: str, groups: int, seed: int, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, grp, ids): the ids of each document and its random group. ids are little-endian, 2 bytes each if the vocabulary allows."""
 
@@ -121,10 +150,11 @@ def token_streams(docs: DataFrame, vocabulary: str, groups: int, seed: int, sepa
     return map_batches(rows, run, "id string, grp long, width int, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_bytes: int = 8 << 20, seed: int = 41, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_bytes: int = 8 << 20, least_gap: int = 16, seed: int = 41, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset, ids (binary, little-endian unsigned 32-bit).
 
-    group_bytes: text in a group, which bounds what a task holds; a group always takes whole documents.
+    group_bytes: text in a group, which bounds what a task holds; a group always takes whole documents. least_gap: padding
+    of at least that many tokens is filled with cut pieces of the emptiest sequences where that saves sequences.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long") + 8)).first()[0] or 0
     streams = token_streams(docs, vocabulary, max(1, -(-total // group_bytes)), seed, separator, id_col, text_col)
@@ -142,6 +172,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_bytes: in
         order = np.lexsort((start, content[doc], name[doc], -size))
         doc, start, size = doc[order], start[order], size[order]
         where, at = first_fit_decreasing(size, capacity)
+        piece, inside, size, where, at = top_up(size, where, at, capacity, least_gap)
+        doc, start = doc[piece], start[piece] + inside
         return pd.DataFrame({
             "id": rows["id"].to_numpy()[doc], "start": start, "length": size, "doc_tokens": lengths[doc],
             "sequence_id": (int(key[0]) << 32) + where, "offset": at,
