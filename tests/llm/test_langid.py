@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
@@ -66,4 +67,6 @@ def test_odd_rows(odd, none):
     assert {r["doc_id"]: r["lang_pred"] for r in rows if r["doc_id"] in (65, 66, 67, 68)} == dict.fromkeys((65, 66, 67, 68), "und")
     kept = accepted(odd, profiles, 0.0)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
+    with pytest.raises(ValueError):
+        learn(odd, most_languages=2)
     assert learn(none).names == [] and identify(none, profiles).count() == 0

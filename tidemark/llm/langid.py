@@ -98,8 +98,8 @@ class Profiles:
         return self.names[best], float(1 - distance[best] / (self.top * len(own)))
 
 
-def learn(docs: DataFrame, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from all rows with a text and a label."""
+def learn(docs: DataFrame, top: int = TOP, most_languages: int = 1000, text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from all rows with a text and a label. More labels than most_languages are refused: they bound what the driver holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -127,6 +127,8 @@ def learn(docs: DataFrame, top: int = TOP, text_col: str = "text", lang_col: str
         yield from flushed()
 
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    if labelled.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     counts = map_batches(labelled, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram")))
     rows = counts.withColumn("rank", rank).filter(F.col("rank") <= top).orderBy("lang", "rank").collect()
