@@ -6,12 +6,16 @@ from pyspark.sql import types as T
 
 from tidemark.functions import checkpoint, clock
 from tidemark.functions.ids import id_order, id_valid
-from tidemark.operators import merge
+from tidemark.operators import clocks, merge
 from tidemark.operators.numbering import number_rows, running_total
 from tidemark.operators.queries import Range, page_after, select
 
 
-def test_clock_fold_is_the_step_by_step_clock(spark):
+@pytest.mark.parametrize("lot", [65_536, 7, 1])
+def test_clock_fold_is_the_step_by_step_clock(spark, monkeypatch, lot):
+    from tidemark.operators import numbering
+
+    monkeypatch.setattr(numbering, "LOT", lot)
     rng = random.Random(2)
     events = []
     for node in range(5):
@@ -21,7 +25,7 @@ def test_clock_fold_is_the_step_by_step_clock(spark):
             remote = None if rng.random() < 0.5 else f"{wall + rng.randint(-5, 30):015d}:{rng.randrange(4):06d}:r"
             events.append((node, seq, wall, remote))
     df = spark.createDataFrame(events, "node long, seq long, physical long, remote string")
-    got = {r["node"]: (r["wall"], r["counter"], r["refused"]) for r in clock.update_clocks(df, "node", "seq", "physical", "remote", most_drift=20).collect()}
+    got = {r["node"]: (r["wall"], r["counter"], r["refused"]) for r in clocks.update_clocks(df, "node", "seq", "physical", "remote", most_drift=20).collect()}
     for node in range(5):
         wall = counter = refused = 0
         for _, _, now, remote in (e for e in events if e[0] == node):
@@ -35,9 +39,25 @@ def test_clock_fold_is_the_step_by_step_clock(spark):
         assert got[node] == (wall, counter, refused)
 
 
+def test_stamps_of_a_busy_node_over_lots(spark, monkeypatch):
+    from tidemark.operators import numbering
+
+    monkeypatch.setattr(numbering, "LOT", 16)
+    rng, wall, rows = random.Random(8), 1000, []
+    for seq in range(200):
+        wall += rng.choice((-4, 0, 0, 2, 3))
+        rows.append((rng.randrange(2), seq, wall))
+    got = {r["seq"]: r["stamp"] for r in clocks.now_stamps(spark.createDataFrame(rows, "node long, seq long, physical long"), "node", "seq", "physical").collect()}
+    state = {}
+    for node, seq, now in rows:
+        w, c = state.get(node, (0, 0))
+        state[node] = (now, 0) if now > w else (w, c + 1)
+        assert got[seq] == f"{state[node][0]:015d}:{state[node][1]:06d}:{node}"
+
+
 def test_counter_carries_into_the_wall(spark):
     steps = spark.createDataFrame([(0, 0, 5, "000000000000005:999999:r")], "node long, seq long, physical long, remote string")
-    r = clock.update_clocks(steps, "node", "seq", "physical", "remote").first()
+    r = clocks.update_clocks(steps, "node", "seq", "physical", "remote").first()
     assert (r["wall"], r["counter"]) == (6, 0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PATTERN = "^[0-9]{15}:[0-9]{6}:[A-Za-z0-9._~-]{0,64}$"
@@ -32,23 +32,15 @@ def carried(wall: Column, counter: Column) -> tuple[Column, Column]:
     return F.when(counter > MOST_COUNTER, wall + 1).otherwise(wall), F.when(counter > MOST_COUNTER, 0).otherwise(counter)
 
 
-def now_stamps(events: DataFrame, node: str, seq: str, physical: str) -> DataFrame:
-    """The stamp of each local event of a fresh clock per node, read in the order of seq.
-
-    The wall is the running maximum of the physical time, the counter numbers the events of one wall: what the
-    clock's step-by-step rule gives, as two windows over the node's events.
-    """
-    walls = events.withColumn("wall", F.max(physical).over(Window.partitionBy(node).orderBy(seq)))
-    counted = walls.withColumn("counter", F.row_number().over(Window.partitionBy(node, "wall").orderBy(seq)) - 1)
-    return counted.withColumn("stamp", encode(F.col("wall"), F.col("counter"), F.col(node).cast("string")))
-
-
-def receive_fold(steps: Column, most_drift: int | None = None) -> Column:
+def receive_fold(steps: Column, most_drift: int | None = None, wall: Column | int = 0) -> Column:
     """The clock after an array of steps struct(physical, remote_wall, remote_counter); a null remote is a local event.
 
+    wall: where the clock stands before, with a counter of 0.
+
     Returns struct(wall, counter, refused): a remote stamp further ahead of the physical time than most_drift is refused.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("wall"), F.lit(0).cast("long").alias("counter"), F.lit(0).cast("long").alias("refused"))
+    wall = wall if isinstance(wall, Column) else F.lit(wall)
+    zero = F.struct(wall.cast("long").alias("wall"), F.lit(0).cast("long").alias("counter"), F.lit(0).cast("long").alias("refused"))
 
     def step(clock: Column, s: Column) -> Column:
         local, remote = s["remote_wall"].isNull(), F.coalesce(s["remote_wall"], F.lit(-1))
@@ -67,14 +59,6 @@ def receive_fold(steps: Column, most_drift: int | None = None) -> Column:
     return F.aggregate(steps, zero, step)
 
 
-def update_clocks(events: DataFrame, node: str, seq: str, physical: str, remote: str, most_drift: int | None = None) -> DataFrame:
-    """(node, wall, counter, refused) after all of a node's events; remote: column of received stamps, null for local events."""
-    part = parse(F.col(remote))
-    step = F.struct(F.col(seq).alias("seq"), F.col(physical).cast("long").alias("physical"), part["wall"].alias("remote_wall"), part["counter"].cast("long").alias("remote_counter"))
-    folded = events.groupBy(node).agg(receive_fold(F.array_sort(F.collect_list(step)), most_drift).alias("c"))
-    return folded.select(node, "c.wall", "c.counter", "c.refused")
-
-
 def correction(server_time: Column, sent: Column, received: Column, least: int = 1000) -> Column:
     """Milliseconds to add to the device clock: only if it runs ahead of the server by at least `least`."""
     offset = server_time - F.floor((sent + received) / 2)

@@ -31,3 +31,14 @@ def running_total(rows: DataFrame, groups: list[str], order: list, lot: Column,
 def number_rows(rows: DataFrame, groups: list[str], order: list, lot: Column, name: str = "number") -> DataFrame:
     """rows with their number (from 1) in each group by `order`; see running_total."""
     return running_total(rows, groups, order, lot, F.lit(1).cast("long"), name)
+
+
+def running_max(rows: DataFrame, groups: list[str], order: list, lot: Column, value: Column, name: str) -> DataFrame:
+    """rows with the greatest `value` of the group up to and with each, in the way of running_total."""
+    laid = rows.withColumn("_lot", lot).withColumn("_value", value)
+    most = laid.groupBy(*groups, "_lot").agg(F.max("_value").alias("_m"))
+    before = Window.partitionBy(*groups).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = most.withColumn("_start", F.max("_m").over(before)).drop("_m")
+    inside = Window.partitionBy(*groups, "_lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = laid.withColumn("_max", F.max("_value").over(inside)).join(starts, [*groups, "_lot"])
+    return joined.withColumn(name, F.greatest("_start", "_max")).drop("_lot", "_value", "_max", "_start")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock, wire
 from tidemark.functions.ids import id_valid
+from tidemark.operators import clocks
 from tidemark.plans.registry import query
 from tidemark.sources import derived
 from tidemark.sources.tables import table
@@ -37,7 +38,7 @@ def hlc_parse(spark, sf_dir):
 def hlc_now(spark, sf_dir):
     physical = derived.millis("ts") - F.when(F.col("event_id") % 3 == 0, 5_000_000).otherwise(0)
     events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 8).alias("node"), physical.alias("physical"))
-    return clock.now_stamps(events, "node", "event_id", "physical").select("event_id", "stamp")
+    return clocks.now_stamps(events, "node", "event_id", "physical").select("event_id", "stamp")
 
 
 @query("""
@@ -56,7 +57,7 @@ def hlc_update(spark, sf_dir):
     k = F.col("event_id")
     remote = F.when(k % 3 == 0, clock.encode(derived.millis("ts") + k % 7 * 1000, k % 5, F.lit("r")))
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("node"), derived.millis("ts").alias("physical"), remote.alias("remote"))
-    return clock.update_clocks(events, "node", "event_id", "physical", "remote", most_drift=5500)
+    return clocks.update_clocks(events, "node", "event_id", "physical", "remote", most_drift=5500)
 
 
 @query("SELECT user_id, max(lpad(CAST(epoch_us(ts) // 1000 AS VARCHAR), 15, '0') || ':000000:n' || (user_id % 8)) AS high_water FROM events GROUP BY user_id")
