@@ -16,7 +16,7 @@ get the same class; null ids never name a class unless it has no other id; empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,9 +170,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return own.join(by_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "text_hash", "class_fp", "class_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """The documents without all but one (that of the least id) of each class; rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """The documents without all but one (that of the least id) of each class that find names; rows without an id stay."""
+    found = find(docs, id_col=id_col, text_col=text_col, **options)
     found = stored(found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "text_hash", "class_fp", "class_id"), "classes")
     heads = found.filter("id = class_id").groupBy(F.col("class_fp").alias("c")).agg(F.min("id").alias("head_id"), F.min("text_hash").alias("head"), F.count(F.lit(1)).alias("n"))
     repeated = stored(heads.filter("n > 1"), "repeated-heads")  # only where an id repeats
