@@ -57,3 +57,15 @@ def test_table(odd, none):
     assert sorted(bytes(r["payload"]) for r in rows) == want
     assert all(r["n_bytes"] <= len(r["payload"]) and len(r["frame_offsets"]) == r["frames"] == r["crc_ok"] - 1 for r in rows)
     assert read_media(to_media(none)).count() == 0
+
+
+def test_payloads_that_end_like_tags():
+    """TAG and APETAGEX where the stream's 128th and 32nd last bytes come to lie, for every frame size and for full frames."""
+    for size in (192, 576, 937, 960, 2 * 937, 3 * 192 * 5):
+        clean = bytes(b"lorem ipsum " * 300)[:size]
+        for mark in (b"TAG", b"APETAGEX"):
+            for at in range(max(0, size - 260), size - len(mark)):
+                payload = clean[:at] + mark + clean[at + len(mark) :]
+                found = probe(write_stream(payload))
+                assert found["payload"] == payload and found["skipped"] == 0 and found["tags"] == {"TXXX:payload_bytes": str(size)}, (size, mark, at)
+                assert found["frames"] == found["table"]["frames"] and found["table"]["bytes"] == found["end"] - found["start"]

@@ -7,7 +7,8 @@ and gives the duration as a whole number of samples and the byte offset of every
 
 The writer carries bytes losslessly: each frame's main data is a run of payload bytes whose extent the
 granules' part2_3_length fields state. All frames but the last have the highest bit rate, the last the lowest
-that holds the rest; a Xing table with a seek table goes first, an ID3v2 tag states the payload's size.
+that holds the rest; a Xing table with a seek table goes first, an ID3v2 tag states the payload's size. A payload
+whose end would read as an ID3v1 or APE tag is followed by a silent frame, which no reader takes for one.
 
 Defined cases: a null or empty text is a payload of padding alone; rows that repeat give equal streams; bytes
 that are no MPEG audio give zero frames; an empty table gives an empty result; other columns are ignored.
@@ -204,9 +205,13 @@ def write_stream(payload: bytes) -> bytes:
         kbit = next(k for k in KBITS["1", 3] if _frame_bytes(k) - over >= rest)
         body = _frame_head(kbit, (min(rest, half) * 8, max(0, rest - half) * 8)) + payload[full * room :]
         parts.append(body.ljust(_frame_bytes(kbit), b"\0"))
-    audio, frames = b"".join(parts), full + bool(rest)
+    end = b"".join(p[-128:] for p in parts[-2:])[-128:]
+    if end[:3] == b"TAG" or end[-32:-24] == b"APETAGEX":
+        parts.append(_frame_head(48, (0, 0)).ljust(_frame_bytes(48), b"\0"))
+    audio, frames = b"".join(parts), full + bool(rest) + len(parts) - bool(full) - bool(rest)
     size = len(audio) + _frame_bytes(48)
-    toc = bytes(min(255, 256 * (_frame_bytes(48) + min(frames * i // 100, full) * (room + over)) // size) for i in range(100))
+    starts = [j * (room + over) if j <= full else len(audio) - _frame_bytes(48) for j in (frames * i // 100 for i in range(100))]
+    toc = bytes(min(255, 256 * (_frame_bytes(48) + at) // size) for at in starts)
     table = _frame_head(48, (0, 0)) + b"Xing" + (15).to_bytes(4, "big") + frames.to_bytes(4, "big") + size.to_bytes(4, "big") + toc + (0).to_bytes(4, "big")
     text = b"\x03payload_bytes\0" + str(len(payload)).encode()
     frame = b"TXXX" + len(text).to_bytes(4, "big") + b"\0\0" + text
@@ -246,16 +251,17 @@ def store_media(docs: DataFrame, **options) -> DataFrame:
 
 FOUND = (
     "payload binary, frames long, samples long, sample_rate long, duration_s double, crc_ok long, crc_bad long, skipped_bytes long, resyncs long, "
-    "table_frames long, table_bytes long, kbit_min long, kbit_max long, frame_offsets array<long>"
+    "table_frames long, table_bytes long, kbit_min long, kbit_max long, frame_offsets array<long>, payload_claimed long"
 )
 
 
 def _row(found: dict) -> tuple:
-    table, kbits, rate = found["table"] or {}, found["kbits"], found["rate"]
+    table, kbits, rate, claimed = found["table"] or {}, found["kbits"], found["rate"], found["tags"].get("TXXX:payload_bytes", "")
     seconds = found["samples"] / rate if rate else 0.0
     return (
         found["payload"], found["frames"], found["samples"], rate, seconds, found["crc_ok"], found["crc_bad"], found["skipped"], found["resyncs"],
         table.get("frames", -1), table.get("bytes", -1), min(kbits, default=0), max(kbits, default=0), found["offsets"],
+        int(claimed) if re.fullmatch("[0-9]{1,18}", claimed) else -1,
     )
 
 
@@ -263,7 +269,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] =
     """What the stored bytes of each row hold: id, the columns to keep, media, and the columns of FOUND.
 
     duration_s is samples over rate; table_frames and table_bytes are what the variable-bitrate table claims (-1: no
-    table); frame_offsets is where each audio frame starts.
+    table); frame_offsets is where each audio frame starts; payload_claimed is the payload's size by its tag (-1: no tag).
     """
     names = ["id", *keep, "media", *(c.split()[0] for c in FOUND.split(", "))]
     kept = "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in keep)
