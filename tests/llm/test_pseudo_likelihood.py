@@ -1,4 +1,6 @@
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -78,3 +80,22 @@ def test_gradient_is_right():
         slope = (loss(up) - loss(down)) / 2e-2
         if abs(slope) > 1e-4:
             assert np.sign(moved[i]) == -np.sign(slope)
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Beyond the network's score of buckets, each rare word counts by its share of its bucket; two of one bucket differ."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 3000) for _ in range(200)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counts = Counter(w for t in texts for w in split(t))
+    top = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:192]}
+    bucket, sums = lambda w: zlib.crc32(w.encode()) % BUCKETS, Counter()
+    for w, n in counts.items():
+        if w not in top:
+            sums[bucket(w)] += n
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in fit_and_score(docs).collect()}
+    plain = {r["doc_id"]: r["pseudo_log_likelihood"] for r in score(docs, fit(docs)).collect()}
+    for i, t in enumerate(texts):
+        within = sum(math.log(counts[w] / sums[bucket(w)]) for w in split(t) if w not in top)
+        assert abs(got[i] - plain[i] - within) < 1e-3 * (1 + len(split(t)))
+    assert sum(len(split(t)) > 0 and got[i] < plain[i] - 1 for i, t in enumerate(texts)) > 150

@@ -1,8 +1,10 @@
 """Score documents by masked pseudo-likelihood under a bidirectional window network trained here, in numpy.
 
-Tokens are words: the most frequent of the corpus, and hash buckets for all others. The network predicts a token
+The network knows the most frequent words of the corpus, and hash buckets for all others. It predicts a token
 from the tokens up to `WINDOW` places before and after it: an embedding table for each place, summed, tanh, softmax.
-A document's score is the sum over all its tokens of the log-probability given both sides.
+A document's score is the sum over all its tokens of the log-probability given both sides. `fit_and_score` goes on from
+buckets to words: a word's share of its bucket, by its count over the corpus, is joined from the table of all
+counts, so every distinct word has a probability of its own. `score`, which has a network alone, stays at buckets.
 
 All documents count and teach. Words are counted over the whole corpus. Each training round masks a part of the
 positions of every document; every task improves the same starting network on its own share, and the networks are
@@ -169,7 +171,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """The most frequent words, and the counts of all ids: of these words and of the buckets that share the others."""
-    counts = stored(word_counts(docs, text_col), "word-counts")
+    return _vocabulary(stored(word_counts(docs, text_col), "word-counts"))
+
+
+def _vocabulary(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     top = counts.orderBy(F.col("n").desc(), F.col("word")).limit(WORDS).collect()
     rest = {r["b"]: r["n"] for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()}
     for r in top:
@@ -190,6 +195,48 @@ def encode(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col:
     return rows.select(F.col("id").cast(id_type(docs, id_col)).alias(id_col), "ids")
 
 
+class Hashes(dict):
+    """XXH64 by word, as Spark's xxhash64 has it."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        h -= h >> 63 << 64
+        if len(self) < 500_000:
+            self[word] = h
+        return h
+
+
+def encode_rare(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, rare, row): as encode has it, with the hashes of all words that share a bucket, and a number of the row."""
+    kind, shared = id_kind(len(words) + BUCKETS + 1), docs.sparkSession.sparkContext.broadcast(words)  # WORDS at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, hashes = Tokens(shared.value), Hashes()
+        known = tokens.known
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch["id"], batch["text"], strict=True):
+                found = split(t)
+                ids = [*map(tokens.__getitem__, found)]
+                rare = np.array([hashes[w] for w, k in zip(found, ids, strict=True) if k >= known], dtype=np.int64)
+                rows.append((i, np.array(ids, dtype=kind).tobytes(), rare))
+            yield pd.DataFrame(rows, columns=["id", "ids", "rare"])
+
+    rows = map_batches(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), run, "id string, ids binary, rare array<long>")
+    return rows.select(F.col("id").cast(id_type(docs, id_col)).alias(id_col), "ids", "rare", F.monotonically_increasing_id().alias("row"))
+
+
+def within_buckets(encoded: DataFrame, counts: DataFrame, known: int, totals: np.ndarray) -> DataFrame:
+    """(row, within): the sum over a row's rare words of the log of their share of their bucket. totals: of all ids."""
+    of = F.element_at(F.array(*(F.lit(float(n)) for n in totals[known:])), (F.crc32(F.col("word").cast("binary")) % BUCKETS + 1).cast("int"))
+    # Frequent words have a share too, over 1, but no row asks for it.
+    shares = counts.groupBy(F.xxhash64("word").alias("hash")).agg(F.sum("n").alias("n"), F.min(of).alias("of")).select("hash", F.log(F.col("n") / F.nullif("of", F.lit(0.0))).alias("share"))
+    asked = encoded.select("row", F.explode("rare").alias("hash"))
+    return asked.join(shares, "hash").groupBy("row").agg(F.sum("share").alias("within"))
+
+
 def train(encoded: DataFrame, net: Network, rounds: int = 2, masked: float = 0.1, seed: int = 11) -> Network:
     """The network after some rounds over all rows; masked: the part of the positions that a round predicts."""
     for turn in range(rounds):
@@ -224,7 +271,9 @@ def _round(rows: DataFrame, net: Network, masked: float, seed: int) -> Network:
 
 
 def score_encoded(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:
+    """Scores under the network; a column `within`, if there, is added to the row's sum."""
     shared = encoded.sparkSession.sparkContext.broadcast(net)
+    within = F.col("within") if "within" in encoded.columns else F.lit(0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = shared.value
@@ -232,11 +281,11 @@ def score_encoded(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> D
             for i in range(0, len(batch), STEP_ROWS):
                 part = batch.iloc[i : i + STEP_ROWS]
                 ids, at, owner = stream(part["ids"].tolist(), net.size - 1)
-                total = np.bincount(owner, weights=log_probabilities(net, ids, at), minlength=len(part))
+                total = np.bincount(owner, weights=log_probabilities(net, ids, at), minlength=len(part)) + part["within"].to_numpy()
                 n = np.bincount(owner, minlength=len(part))
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "n_tokens": n, "pseudo_log_likelihood": total, "per_token": total / np.maximum(n, 1)})
 
-    rows = map_batches(encoded.select(F.col(id_col).cast("string").alias("id"), "ids"), run, "id string, n_tokens long, pseudo_log_likelihood double, per_token double")
+    rows = map_batches(encoded.select(F.col(id_col).cast("string").alias("id"), "ids", within.alias("within")), run, "id string, n_tokens long, pseudo_log_likelihood double, per_token double")
     return rows.select(F.col("id").cast(id_type(encoded, id_col)).alias(id_col), *rows.columns[1:])
 
 
@@ -253,7 +302,11 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 
 def fit_and_score(docs: DataFrame, rounds: int = 2, masked: float = 0.1, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of the documents under a network trained on them; the texts are encoded once, and the ids stored."""
-    words, counts = vocabulary(docs, text_col)
-    encoded = stored(encode(docs, words, id_col, text_col), "encoded")
-    return score_encoded(encoded, train(encoded, start(words, counts, seed), rounds, masked, seed), id_col)
+    """Scores of the documents under a network trained on them, each word by its own share of its bucket; the texts are encoded once, and the ids stored."""
+    counts = stored(word_counts(docs, text_col), "word-counts")
+    words, totals = _vocabulary(counts)
+    encoded = stored(encode_rare(docs, words, id_col, text_col), "encoded")
+    net = train(encoded, start(words, totals, seed), rounds, masked, seed)
+    shares = within_buckets(encoded, counts, len(words), totals)
+    whole = encoded.select(id_col, "ids", "row").join(shares, "row", "left").select(id_col, "ids", F.coalesce("within", F.lit(0.0)).alias("within"))
+    return score_encoded(whole, net, id_col)
