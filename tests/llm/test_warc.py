@@ -3,7 +3,10 @@ import gzip
 import hashlib
 import random
 
-from tidemark.llm.warc import LoserTree, archive_pages, capture, captures, index_run, members, merge_runs, parse, read_runs, url_key, write_archives
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm.warc import LoserTree, _line, archive_pages, capture, captures, history, index_run, members, merge_runs, parse, read_runs, url_key, write_archives
 
 
 def pages_of(spark):
@@ -28,8 +31,9 @@ def test_against_brute_force(spark):
     got = index.collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
-    order = [(r["urlkey"], r["ts"], r["page_id"] is None, r["page_id"] or 0) for r in got]
-    assert order == sorted(order)
+    order = [(r["urlkey"], r["ts"], r["page_id"] is None, r["page_id"] or 0) for r in sorted(got, key=lambda r: r["place"])]
+    assert order == sorted(order) and sorted(r["place"] for r in got) == list(range(len(rows)))
+    assert {(r["page_id"], r["urlkey"]) for r in got} == {(i, url_key(_line(u))) for i, u, _ in rows}
     assert archive_pages(pages.limit(0)).count() == 0
 
 
@@ -65,8 +69,35 @@ def test_loser_tree_against_sorting():
 def test_one_url_captured_very_often(spark):
     pages = spark.createDataFrame([(i, "http://hot/", str(i)) for i in range(3000)], "page_id long, url string, html string")
     runs = read_runs(write_archives(captures(pages), 10_000))
-    got = [(r["ts"], int(r["id"])) for r in merge_runs(runs).collect()]
-    assert len(got) == 3000 and got == sorted(got)
+    assert runs.select("archive").distinct().count() > 10
+    merged = history(runs, range_rows=200).collect()
+    got = [(r["ts"], int(r["id"])) for r in sorted(merged, key=lambda r: r["place"])]
+    assert len(got) == 3000 and got == sorted(got) and [r["place"] for r in sorted(merged, key=lambda r: r["place"])] == list(range(3000))
+    sizes = [r["count"] for r in merge_runs(runs, 200).groupBy("range").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 800  # what a task holds doesn't follow the input
+
+
+def test_an_index_row_leads_to_its_record(spark):
+    pages, rows = pages_of(spark)
+    archives = write_archives(captures(pages), 5000)
+    contents = {a["archive"]: bytes(a["content"]) for a in archives.collect()}
+    for r in history(read_runs(archives), 50).collect():
+        fields, block = parse(gzip.decompress(contents[r["archive"]][r["offset"] : r["offset"] + r["length"]]))
+        assert fields["warc-type"] == r["record_type"] and fields["warc-payload-digest"] == f"sha1:{r['payload_digest']}"
+        assert r["id"] is None or fields["warc-record-id"] == f"<urn:x-capture:{r['id']}>"
+
+
+def test_many_shared_payloads_spread(spark):
+    pages, _ = pages_of(spark)
+    few, many = (sorted(map(str, captures(pages, broadcast_rows=n).collect())) for n in (10**6, 0))
+    assert few == many
+
+
+def test_a_run_out_of_order_is_refused(spark):
+    pages, _ = pages_of(spark)
+    runs = read_runs(write_archives(captures(pages), 1 << 20))
+    with pytest.raises(Exception, match="isn't sorted"):
+        merge_runs(runs.withColumn("at", -F.col("at"))).collect()
 
 
 def test_keys_and_damage():

@@ -77,7 +77,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Archive, offset and length depend on the compressor; SQL holds the order that the merge gives.
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "place")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -117,12 +118,19 @@ ORACLE_SQL: dict[str, str] = {
         FROM drawn d JOIN picked p ON d.source IS NOT DISTINCT FROM p.source AND d.k = p.k
     """,
     "op10_warc": """
-        WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS url,
+            strftime(make_timestamp((1700000000 + CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 7) AS BIGINT) % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM pages),
+        rests AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE url END AS rest FROM d),
+        hosts AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM rests),
+        names AS (SELECT *, regexp_replace(string_split(host, ':')[1], '^www\\.', '') AS name, CASE WHEN strpos(host, ':') > 0 THEN substr(host, strpos(host, ':') + 1) ELSE '' END AS port,
+            regexp_extract(substr(rest, length(host) + 1), '^[^#]*') AS path FROM hosts),
+        keyed AS (SELECT *, CASE WHEN url = '' THEN '' ELSE array_to_string(list_reverse(string_split(name, '.')), ',') || CASE WHEN port = '' THEN '' ELSE ':' || port END
+            || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS urlkey FROM names),
         firsts AS (SELECT html, min(page_id) AS first FROM d GROUP BY html),
-        j AS (SELECT d.page_id, strlen(d.html) AS payload_bytes, d.hex, f.first FROM d JOIN firsts f ON d.html = f.html),
+        j AS (SELECT k.page_id, strlen(k.html) AS payload_bytes, k.hex, f.first, urlkey, ts, row_number() OVER (ORDER BY urlkey, ts, k.page_id) - 1 AS place FROM keyed k JOIN firsts f ON k.html = f.html),
         digits AS (SELECT page_id, n, (CAST('0x' || substr(hex, (n // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (n % 4))) % 32 AS v FROM (SELECT DISTINCT page_id, hex FROM j) x, range(32) t(n)),
         b32 AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1), '' ORDER BY n) AS payload_digest FROM digits GROUP BY page_id)
-        SELECT j.page_id, payload_bytes, payload_digest, CASE WHEN j.page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN j.page_id > first THEN first END AS refers_to
+        SELECT j.page_id, payload_bytes, payload_digest, CASE WHEN j.page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN j.page_id > first THEN first END AS refers_to, urlkey, ts, place
         FROM j JOIN b32 ON j.page_id = b32.page_id
     """,
 }

@@ -4,9 +4,11 @@ Captures are written as gzip members, one a record, into archives of bounded siz
 table in the shared folder, so that Spark commits it once however often a task is repeated. Equal payloads are
 stored once: the capture of the least id is the response, the others are revisits that refer to it.
 
-Reading an archive gives its captures as a locally sorted run (URL key, timestamp, id). Runs are dealt by ranges of
-that key (a URL captured very often spreads by time and id), and each range merges its slices of k runs with a tree of
-losers, which replays one path of log2 k matches for each row. Ranges in order are the global capture history.
+Reading an archive gives its captures as a locally sorted run (URL key, timestamp, id). Runs are cut at the same bounds
+into slices; bounds are drawn from the runs so that a range has about `range_rows` rows however many there are (a URL captured
+very often spreads by time and id, a capture that repeats by its place in the archives). A range's slices come
+sorted by run and place from Spark's external sort, and a tree of losers merges them, which replays one path of log2 k
+matches for each row. Ranges in order are the global capture history, and `place` numbers it from 0.
 
 Defined cases: a null payload is empty; a null URL has the empty key; a null id sorts last and is never referred to
 unless a payload has no other (then all its captures are responses), as are all rows of the least id where it repeats;
@@ -21,26 +23,32 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import broadcast_if_small, id_type, map_batches, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "urlkey string, ts string, id string, record_type string, payload_bytes long, payload_digest string, refers_to string, archive string, offset long, length long"
+#: Copies of each shared payload's entry, over which captures of one payload spread where the entries are too many to broadcast.
+SALT = 16
+
+
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def url_key(url: str | None) -> str:
-    """Sort-friendly form: host labels reversed, scheme and `www.` dropped, A-Z lower-cased."""
+    """Sort-friendly form: host labels reversed, scheme, fragment and `www.` dropped, A-Z lower-cased."""
     if not url:
         return ""
-    rest = url.partition("://")[2] if "://" in url else url
+    rest = (url.partition("://")[2] if "://" in url else url).translate(_LOWER)
     host = re.match(r"[^/?#]*", rest)[0]
-    name, _, port = host.lower().partition(":")
+    name, _, port = host.partition(":")
     labels = name.removeprefix("www.").split(".")
-    return f"{','.join(reversed(labels))}{':' + port if port else ''}){rest[len(host) :].partition('#')[0].lower() or '/'}"
+    return f"{','.join(reversed(labels))}{':' + port if port else ''}){rest[len(host) :].partition('#')[0] or '/'}"
 
 
 def record(kind: str, fields: Sequence[tuple[str, str | None]], block: bytes) -> bytes:
@@ -161,11 +169,17 @@ def captures(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", ur
     ts: time of capture (text of a fixed form); by default a time that follows from the id.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    at = ts if ts is not None else F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(31_536_000)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seconds = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long") % 31_536_000
+    at = ts if ts is not None else F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), at.alias("ts"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     shared = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
     shared = stored(shared.select(F.col("digest").alias("shared"), "first"), "shared-payloads")
-    joined = rows.join(broadcast_if_small(shared, broadcast_rows), F.col("digest") == F.col("shared"), "left")
+    same = F.col("digest") == F.col("shared")
+    if shared.count() > broadcast_rows:
+        shared = shared.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALT)).cast("int")).join(shared, same & (F.col("salt") == F.col("turn")), "left")
+    else:
+        joined = rows.join(F.broadcast(shared), same, "left")
     again = F.coalesce(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
     return joined.select("id", "url", "ts", "payload", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
 
@@ -191,44 +205,58 @@ def write_archives(found: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
 
 
 def read_runs(archives: DataFrame) -> DataFrame:
-    """Index rows of all archives, each archive's sorted, stored so that dealing them by ranges reads no archive again."""
+    """Index rows of all archives with their place `at` in the archive's sorted run, stored so that dealing them by ranges reads no archive again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in INDEX.split(", ")]
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"], strict=True):
-                yield pd.DataFrame(index_run(archive, content), columns=names)
+                rows = pd.DataFrame(index_run(archive, content), columns=names)
+                yield rows.assign(at=range(len(rows)))
 
-    return stored(map_batches(archives.select("archive", "content"), run, INDEX), "runs")
+    return stored(map_batches(archives.select("archive", "content"), run, f"{INDEX}, at long"), "runs")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs' rows in global order: by ranges, in each by a tree of losers over the slices of the runs."""
+def merge_runs(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """The runs' rows with `range` and `at`, the place in it: ranges in order, and in each the slices of the runs merged by a tree of losers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slices: dict[str, list] = {}
-        columns = None
+        columns, number, done = None, TaskContext.get().partitionId(), 0
         for batch in batches:
             columns = list(batch.columns)
             for row in batch.itertuples(index=False, name=None):
                 slices.setdefault(row[7], []).append(tuple(None if x is None or x != x else x for x in row))
         if columns:
-            ready = [v if all(order(a) <= order(b) for a, b in zip(v, v[1:], strict=False)) else sorted(v, key=order) for _, v in sorted(slices.items())]
-            out = []
-            for row in LoserTree(ready, order):
+            out, last = [], None
+            for row in LoserTree(list(slices.values()), order):
+                if last is not None and order(row) < last:
+                    raise ValueError(f"the run of {row[7]} isn't sorted")
+                last = order(row)
                 out.append(row)
                 if len(out) == 5000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            yield pd.DataFrame(out, columns=columns)
+                    yield pd.DataFrame(out, columns=columns).assign(range=number, at=np.arange(done, done + len(out)))
+                    out, done = [], done + len(out)
+            yield pd.DataFrame(out, columns=columns).assign(range=number, at=np.arange(done, done + len(out)))
 
     number = F.col("id").cast("decimal(38,0)")
-    dealt = runs.repartitionByRange("urlkey", "ts", F.when(F.col("id").isNull(), 2).when(number.isNull(), 1).otherwise(0), number, "id")
-    return map_batches(dealt, run, INDEX)
+    ranges = max(1, -(-runs.count() // range_rows))
+    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", F.when(F.col("id").isNull(), 2).when(number.isNull(), 1).otherwise(0), number, "id", "archive", "offset")
+    slices = dealt.sortWithinPartitions("archive", "at").drop("at")
+    return map_batches(slices, run, f"{INDEX}, range int, at long")
+
+
+def history(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """The merged index with `place`, each capture's place in the global order, without gaps from 0."""
+    merged = stored(merge_runs(runs, range_rows), "history")
+    counts = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = stored(counts.select(F.col("range").alias("_range"), F.coalesce(before, F.lit(0)).alias("_start")), "history-starts")
+    return merged.join(broadcast_if_small(starts, 500_000), F.col("range") == F.col("_range")).select(*(x.split()[0] for x in INDEX.split(", ")), (F.col("_start") + F.col("at")).alias("place"))
 
 
-def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 4 << 20, id_col: str = "page_id", **columns) -> DataFrame:
-    """Write pages as archives, read these back and return the merged capture index."""
-    index = merge_runs(read_runs(write_archives(captures(pages, least_bytes, id_col, **columns), archive_bytes)))
+def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 4 << 20, range_rows: int = 100_000, id_col: str = "page_id", **columns) -> DataFrame:
+    """Write pages as archives, read these back and return the global capture history, each capture with where its record lies."""
+    index = history(read_runs(write_archives(captures(pages, least_bytes, id_col, **columns), archive_bytes)), range_rows)
     kind = id_type(pages, id_col)
     return index.select(F.col("id").cast(kind).alias(id_col), *[c for c in index.columns if c not in ("id", "refers_to")], F.col("refers_to").cast(kind).alias("refers_to"))
