@@ -1,7 +1,10 @@
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tidemark.llm.mixing import mix, mix_plan
 
 
@@ -32,16 +35,24 @@ def check(docs):
         sizes[s] += size(t)
     targets = plain_targets(sizes)
     rate = {s: min(3.0, targets[s] / sizes[s]) if sizes[s] else 0.0 for s in sizes}
-    draws = {(i, t): [int(hashlib.sha256(f"23:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) / 2**32 for k in range(8)] for i, t, _ in rows}
-    pick = {}
-    for s in sizes:
-        f = rate[s] - int(rate[s])
-        totals = [sum(size(t) for i, t, x in rows if x == s and draws[i, t][k] < f) for k in range(8)]
-        pick[s] = min(range(8), key=lambda k: (abs(totals[k] - f * sizes[s]), k))
-    want = Counter()
+    hexes = lambda *parts: hashlib.md5(":".join(["23", *parts]).encode()).hexdigest()
+    digest = {(i, t): hexes("" if i is None else str(i), t or "") for i, t, _ in rows}
+    strata = defaultdict(list)
     for i, t, s in rows:
-        r = rate[s]
-        want[(i, size(t), sizes[s], round(targets[s], 6), int(r) + (draws[i, t][pick[s]] < r - int(r)))] += 1
+        b = f"{size(t):b}"
+        strata[s, f"{len(b):02}{b[:4]}"].append((digest[i, t], i, t))
+    last, upto = {}, Counter()
+    for s, b in sorted(strata, key=lambda k: k[1]):
+        f, u = rate[s] - int(rate[s]), int(hexes("none" if s is None else f"source {s}")[:12], 16) / 2**48
+        n = len(strata[s, b])
+        wanted = math.floor(f * (upto[s] + n) + u) - math.floor(f * upto[s] + u)
+        upto[s] += n
+        last[s, b] = sorted(strata[s, b])[wanted - 1][0] if wanted else ""
+    want = Counter()
+    for (s, b), members in strata.items():
+        for d, i, t in members:
+            r = rate[s]
+            want[(i, size(t), sizes[s], round(targets[s], 6), int(r) + (d <= last[s, b]))] += 1
     got = Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["copies"]) for r in mix_plan(docs).collect())
     assert got == want
     return rows, got
@@ -73,3 +84,19 @@ def test_mix_repeats_rows(odd):
     mixed = mix(odd)
     assert mixed.columns == odd.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in copies.items() if v})
+
+
+def test_probability_is_the_fraction_whatever_the_size(spark):
+    """Over many sources alike, a large and a small document get their extra copy equally often."""
+    sizes, sources = [1000, 10, 11, 12, 12], 400
+    rows = [(5 * s + k, f"d{s} " * n, f"s{s:04}") for s in range(sources) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mix_plan(docs, weight=lambda rank: F.when(rank % 2 == 0, 3).otherwise(7)).collect()
+    extra, seen = Counter(), Counter()
+    for r in plan:
+        f = round(r["rate"] - int(r["rate"]), 6)
+        extra[f, r["doc_id"] % 5] += r["copies"] - int(r["rate"])
+        seen[f, r["doc_id"] % 5] += 1
+    assert {f for f, _ in seen} == {0.6, 0.4} and len(seen) == 10
+    for (f, k), n in seen.items():
+        assert abs(extra[f, k] / n - f) < 3.5 * math.sqrt(f * (1 - f) / n), (f, k, extra[f, k] / n)

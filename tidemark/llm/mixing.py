@@ -2,13 +2,18 @@
 
 One pass over the texts stores sizes and digests, slim. Their sums by source (partial sums before the shuffle, so a
 hot source costs one row a task) give targets and repetition rates; each document gets floor(rate) copies and one
-more with probability equal to the fraction, drawn from a digest of seed, id and text, so reruns agree. The digest
-holds DRAWS independent draws; each source uses the one whose total comes nearest to its target, which makes the
-scatter of the totals several times smaller.
+more with probability equal to the fraction, whatever its size, drawn from digests of seed, id, source and text, so reruns agree.
+
+The draws are calibrated, so that a source's total comes near its target without favouring small documents: a source's
+documents fall into strata of nearly equal sizes, each stratum takes the documents of the least digests, and how many is the
+fraction of its count, rounded at random such that the roundings of a source, in the order of sizes, share one number drawn from
+the source's digest. Within a stratum every document is as likely to be among the least, so each one's probability is the fraction.
+The last digest taken is a threshold for the stratum: documents are held against it where they lie, and aren't shuffled.
 
 Targets: the sources share the total size in proportion to their weights, none above max_rate times its own
 size; what is above goes to the others by weight, again and again. The limit of that is min(max_rate * own,
-level * weight), whose level follows from one running sum over the sources in the order of own / weight.
+level * weight), whose level follows from one running sum over the sources in the order of own / weight, one row a source in
+one task.
 
 Defined cases: a null text has size zero; a null source is a source of its own; a source without words has
 rate zero; rows that repeat draw alike; a null id is drawn by its text; an empty table gives an empty result.
@@ -23,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import WORD, broadcast_if_small, stored
 
-#: Sources up to this many are joined by broadcast (some tens of bytes each), more by a shuffle.
-BROADCAST_SOURCES = 100_000
-#: Draws of 32 bits in a digest of 256.
-DRAWS = 8
+#: Strata up to this many are joined by broadcast (some tens of bytes each), more by a shuffle.
+BROADCAST_STRATA = 200_000
+#: Leading hexadecimal digits of a digest that tell the lots apart in which a stratum is numbered.
+LOT_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -65,41 +70,55 @@ def source_rates(sized: DataFrame, weight: Callable[[Column], Column] = cycling_
 
 
 def digest(seed: int, *parts: Column) -> Column:
-    """Hexadecimal digest of seed and parts: the same in every run, on every engine that has SHA-256."""
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256)
-
-
-def draw(digest_: Column, k: Column) -> Column:
-    """The k-th number in [0, 1) that the digest holds."""
-    return F.conv(F.substring(digest_, k * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32))
-
-
-def fraction() -> Column:
-    return F.col("rate") - F.floor("rate")
-
-
-def picked_rates(sized: DataFrame, rates: DataFrame) -> DataFrame:
-    """rates with `pick`, the draw whose extra copies come nearest to what the fraction asks for."""
-    named = rates.withColumnRenamed("source", "_source")
-    joined = sized.join(broadcast_if_small(named, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    extra = [F.sum(F.when(draw(F.col("digest"), F.lit(k)) < fraction(), F.col("size")).otherwise(F.lit(0))).alias(f"k{k}") for k in range(DRAWS)]
-    sums = joined.groupBy(F.col("source").alias("_source")).agg(*extra, F.max(fraction() * F.col("source_size")).alias("wanted"))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"k{k}").cast("double") - F.col("wanted")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS))))
-    return rates.join(sums.select("_source", best["k"].alias("pick")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    """Hexadecimal digest of seed and parts: the same in every run, on every engine that has MD5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"))
+
+
+def unit(digest_: Column) -> Column:
+    """A number in [0, 1) from a digest."""
+    return F.conv(F.substring(digest_, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
+def stratum(size: Column) -> Column:
+    """Sizes of equal binary length and equal first four binary digits: an eighth apart at most; ordered as the sizes."""
+    digits = F.bin(size)
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 4))
+
+
+def thresholds(sized: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """(_source, _stratum, source_size, target, rate, last) of each stratum: the documents with digests up to last get a copy more."""
+    rates = rates.select(F.col("source").alias("_source"), "source_size", "target", "rate")
+    counts = stored(sized.groupBy(F.col("source").alias("_of"), "stratum").agg(F.count(F.lit(1)).alias("n")), "mixing-strata")
+    upto = Window.partitionBy("_of").orderBy("stratum").rowsBetween(Window.unboundedPreceding, 0)
+    fraction, first = F.col("rate") - F.floor("rate"), unit(digest(seed, F.coalesce(F.concat(F.lit("source "), "_source"), F.lit("none"))))
+    taken = lambda n: F.floor(fraction * n + first)
+    summed = counts.withColumn("upto", F.sum("n").over(upto)).join(broadcast_if_small(rates, BROADCAST_STRATA), F.col("_of").eqNullSafe(F.col("_source")))
+    wanted = stored(summed.select("_source", F.col("stratum").alias("_stratum"), "source_size", "target", "rate", (taken(F.col("upto")) - taken(F.col("upto") - F.col("n"))).alias("wanted")), "mixing-wanted")
+    own = F.col("source").eqNullSafe(F.col("_source")) & (F.col("stratum") == F.col("_stratum"))
+    some = sized.join(broadcast_if_small(wanted.filter("wanted > 0"), BROADCAST_STRATA), own).select("_source", "_stratum", "wanted", "digest", F.substring("digest", 1, LOT_DIGITS).alias("lot"))
+    # A lot starts where the counts of those before it end; only the lot in which the last digest lies is numbered.
+    lots = some.groupBy("_source", "_stratum", "lot").agg(F.count(F.lit(1)).alias("k"), F.max("wanted").alias("wanted"))
+    before = Window.partitionBy("_source", "_stratum").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    last_lots = stored(lots.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).filter("before < wanted and before + k >= wanted").select(F.col("_source").alias("_s"), F.col("_stratum").alias("_t"), F.col("lot").alias("_l"), "before"), "mixing-lots")
+    there = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_stratum") == F.col("_t")) & (F.col("lot") == F.col("_l"))
+    ranked = some.join(broadcast_if_small(last_lots, BROADCAST_STRATA), there).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("_s", "_t").orderBy("digest")))
+    last = ranked.filter("rank = wanted").select(F.col("_source").alias("_s"), F.col("_stratum").alias("_t"), F.col("digest").alias("last"))
+    return wanted.join(last, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_stratum") == F.col("_t")), "left").drop("wanted", "_s", "_t")
 
 
 def mix_plan(docs: DataFrame, seed: int = 23, weight: Callable[[Column], Column] = cycling_weight, max_rate: float = 3.0, size: Callable[[Column], Column] = word_count, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """The documents with size, source_size, target, rate and copies (long). keep: columns to carry along, read once more."""
 
     def slim(*more: Column) -> DataFrame:
-        return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), digest(seed, F.col(id_col), F.col(text_col)).alias("digest"))
+        rows = docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), digest(seed, F.col(id_col), F.col(text_col)).alias("digest"))
+        return rows.withColumn("stratum", stratum(F.col("size")))
 
     sized = stored(slim(), "mixing-sizes")
     rates = stored(source_rates(sized, weight, max_rate), "mixing-rates")
-    picked = stored(picked_rates(sized, rates), "mixing-draws").withColumnRenamed("source", "_source")
+    drawn = stored(thresholds(sized, rates, seed), "mixing-thresholds")
     rows = slim(F.struct(*keep).alias("_kept")) if keep else sized
-    joined = rows.join(broadcast_if_small(picked, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    more = (draw(F.col("digest"), F.col("pick")) < fraction()).cast("long")
+    joined = rows.join(broadcast_if_small(drawn, BROADCAST_STRATA), F.col("source").eqNullSafe(F.col("_source")) & (F.col("stratum") == F.col("_stratum")))
+    more = F.coalesce(F.col("digest") <= F.col("last"), F.lit(False)).cast("long")
     return joined.select(
         *(["_kept"] if keep else []), F.col("id").alias(id_col), "size", "source_size", "target", "rate", (F.floor("rate") + more).cast("long").alias("copies")
     )

@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_mixing": r"""
         WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-            sha256('23:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest FROM documents),
+            md5('23:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest FROM documents),
         own AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
         weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM own),
         leveled AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - 3.0 * CAST(coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST
@@ -110,12 +110,14 @@ ORACLE_SQL: dict[str, str] = {
         level AS (SELECT own_level AS level FROM leveled WHERE own_level * weight <= 3.0 * source_size ORDER BY source_size / weight, own_level LIMIT 1),
         rates AS (SELECT source, source_size, coalesce(least(3.0 * source_size, level * weight), 0.0)::DOUBLE AS target FROM leveled LEFT JOIN level ON true),
         rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END::DOUBLE AS rate FROM rates),
-        drawn AS (SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS f, k, CAST('0x' || substr(digest, CAST(8 * k + 1 AS INTEGER), 8) AS BIGINT) / 4294967296.0 AS u
-            FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source, range(8) t(k)),
-        sums AS (SELECT source, k, abs(CAST(sum(CASE WHEN u < f THEN size ELSE 0 END) AS DOUBLE) - max(f * source_size)) AS away FROM drawn GROUP BY source, k),
-        picked AS (SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY away, k) AS n FROM sums) WHERE n = 1)
-        SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.size * (floor(d.rate) + CASE WHEN d.u < d.f THEN 1 ELSE 0 END) AS BIGINT) AS taken
-        FROM drawn d JOIN picked p ON d.source IS NOT DISTINCT FROM p.source AND d.k = p.k
+        strata AS (SELECT *, lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 4) AS stratum FROM sized),
+        counts AS (SELECT source, stratum, sum(count(*)) OVER (PARTITION BY source ORDER BY stratum ROWS UNBOUNDED PRECEDING) AS upto, count(*) AS n FROM strata GROUP BY source, stratum),
+        first AS (SELECT *, rate - floor(rate) AS f, CAST('0x' || substr(md5('23:' || coalesce('source ' || source, 'none')), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM rated),
+        wanted AS (SELECT c.source, c.stratum, floor(f.f * upto + f.u) - floor(f.f * (upto - n) + f.u) AS wanted FROM counts c JOIN first f ON c.source IS NOT DISTINCT FROM f.source),
+        numbered AS (SELECT source, stratum, digest, row_number() OVER (PARTITION BY source, stratum ORDER BY digest) AS k FROM strata),
+        lasts AS (SELECT w.source, w.stratum, n.digest AS last FROM wanted w JOIN numbered n ON w.source IS NOT DISTINCT FROM n.source AND w.stratum = n.stratum AND n.k = w.wanted)
+        SELECT s.doc_id, s.size, r.source_size, r.target, CAST(s.size * (floor(r.rate) + CASE WHEN s.digest <= l.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM strata s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN lasts l ON s.source IS NOT DISTINCT FROM l.source AND s.stratum = l.stratum
     """,
     "op10_warc": """
         WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS url,
