@@ -72,9 +72,9 @@ def test_excess_is_shared_again(spark):
 def test_totals_come_near_their_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     plan = mix_plan(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"target": "max", "source_size": "max"})
-    taken = mix_plan(docs).selectExpr("doc_id", "size * copies as words").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").sum("words")
-    for r in plan.join(taken, "source").collect():
-        assert abs(r["sum(words)"] - r["max(target)"]) < 0.06 * r["max(target)"]
+    taken = mix_plan(docs).selectExpr("doc_id", "size", "size * copies as words").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"words": "sum", "size": "max"})
+    for r in plan.join(taken, "source").collect():  # one rounding, of a document no larger than the largest, and sizes within a stratum
+        assert abs(r["sum(words)"] - r["max(target)"]) < r["max(size)"] + 0.02 * r["max(target)"]
 
 
 def test_mix_repeats_rows(odd):
