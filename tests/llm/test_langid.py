@@ -1,7 +1,6 @@
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
@@ -67,6 +66,28 @@ def test_odd_rows(odd, none):
     assert {r["doc_id"]: r["lang_pred"] for r in rows if r["doc_id"] in (65, 66, 67, 68)} == dict.fromkeys((65, 66, 67, 68), "und")
     kept = accepted(odd, profiles, 0.0)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
-    with pytest.raises(ValueError):
-        learn(odd, most_languages=2)
     assert learn(none).names == [] and identify(none, profiles).count() == 0
+
+
+def test_profiles_that_stay_a_table_predict_alike(odd, none):
+    few, many = learn(odd), learn(odd, most_languages=2)
+    assert isinstance(many, langid.ProfileTable)
+    rows = odd.withColumn("lang_pred", F.lit(1)).withColumn("kept", F.lit(2)).dropDuplicates(["doc_id"])
+    a, b = ({r["doc_id"]: (r["lang_pred"], round(r["score"], 12)) for r in identify(rows, p).collect()} for p in (few, many))
+    assert a == b and len({x for x, _ in a.values()}) >= 3
+    assert sorted(map(str, accepted(rows, few, 0.2).collect())) == sorted(map(str, accepted(rows, many, 0.2).collect()))
+    assert identify(none, many).count() == 0
+
+
+def test_letters_of_all_planes():
+    last = chr(0x30000)
+    assert last.isalpha() and decoded(last) == plain_grams(last)
+    assert Profiles({"x": [0x30000], "y": [97]}, 5).predict(last)[0] == "x"
+
+
+def test_labels_that_contradict(spark):
+    texts = {"en": "the cat and the dog and the hat", "de": "der hund und die katze und der hut"}
+    docs = spark.createDataFrame([(i, texts[t], t if i < 8 else other) for i, (t, other) in enumerate([("en", "de"), ("de", "en")] * 5)], "doc_id long, text string, lang string")
+    profiles = learn(docs.filter("doc_id < 8"))
+    assert sorted(r["doc_id"] for r in accepted(docs, profiles, 0.0, lang_col="lang").collect()) == list(range(8))
+    assert accepted(docs.withColumn("lang", F.lit(None).cast("string")), profiles, 0.0, lang_col="lang").count() == 10

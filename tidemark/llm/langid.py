@@ -7,7 +7,9 @@ length. The nearest language is predicted, the first by name between equals; the
 share of the largest possible.
 
 Profiles are learned from all labelled documents given: tasks count n-grams by language, the counts are added up
-after partial sums, and of each language the top n-grams remain, so the driver gets languages times `top` rows.
+after partial sums, and of each language the top n-grams remain. Up to `most_languages` of them are sent to all workers, at
+most that many times `top` numbers. Beyond that, profiles stay a table, and the documents' lists are joined with it,
+with the same result.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is any text where nothing was
 learned; rows with a null label or text don't teach; rows that repeat count as often as they occur; empty tables
@@ -17,6 +19,7 @@ and extra columns are fine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import id_type, map_batches
+from tidemark.llm._common import map_batches, ship, stored
 
 TOP, UNKNOWN = 300, "und"
 _CHARS = 1 << 18
@@ -32,7 +35,7 @@ _CHARS = 1 << 18
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x30000)), dtype=bool, count=0x30000)
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +45,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(text), _CHARS):
         # Windows overlap by a word's context: two characters before, so that no n-gram is lost or counted twice.
         code = np.frombuffer(text[max(0, i - 2) : i + _CHARS].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        is_letter = letters[np.minimum(code, len(letters) - 1).astype(np.int64)]
+        is_letter = letters[code.astype(np.int64)]
         code = np.where(is_letter, code, 32).astype(np.uint64)
         if i == 0:
             code = np.concatenate((np.array([32], dtype=np.uint64), code))
@@ -98,8 +101,17 @@ class Profiles:
         return self.names[best], float(1 - distance[best] / (self.top * len(own)))
 
 
-def learn(docs: DataFrame, top: int = TOP, most_languages: int = 1000, text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from all rows with a text and a label. More labels than most_languages are refused: they bound what the driver holds."""
+@dataclass
+class ProfileTable:
+    """Profiles of more languages than workers should hold: a stored table (lang, gram, rank from 0), and the first language."""
+
+    rows: DataFrame
+    first: str
+    top: int
+
+
+def learn(docs: DataFrame, top: int = TOP, most_languages: int = 1000, text_col: str = "text", lang_col: str = "lang") -> Profiles | ProfileTable:
+    """Profiles from all rows with a text and a label; most_languages bounds what the driver and each worker hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -127,28 +139,56 @@ def learn(docs: DataFrame, top: int = TOP, most_languages: int = 1000, text_col:
         yield from flushed()
 
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    if labelled.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
     counts = map_batches(labelled, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram")))
-    rows = counts.withColumn("rank", rank).filter(F.col("rank") <= top).orderBy("lang", "rank").collect()
+    found = stored(counts.withColumn("rank", rank).filter(F.col("rank") <= top).select("lang", "gram", (F.col("rank") - 1).alias("rank")), "profiles")
+    if found.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        return ProfileTable(found, found.agg(F.min("lang")).first()[0], top)
     by_language: dict[str, list[int]] = {}
-    for r in rows:
+    for r in found.orderBy("lang", "rank").collect():
         by_language.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(by_language, top)
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages times top n-grams
+def _found(rows: DataFrame, profiles: Profiles | ProfileTable) -> DataFrame:
+    """rows (kept, text) as (kept, lang_pred, score)."""
+    if isinstance(profiles, ProfileTable):
+        return _joined(rows, profiles)
+    shared = rows.sparkSession.sparkContext.broadcast(profiles)  # most_languages times top n-grams
+    ship(rows.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shared.value.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return rows.select("kept", predicted("text").alias("found")).select("kept", "found.*")
 
-    rows = map_batches(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), run, "id string, lang_pred string, score double")
-    return rows.select(F.col("id").cast(id_type(docs, id_col)).alias(id_col), "lang_pred", "score")
+
+def _joined(rows: DataFrame, profiles: ProfileTable) -> DataFrame:
+    """As Profiles.predict, by a join of the documents' lists with the profiles: each n-gram in place saves `top`, less by how far it is out of place."""
+    top = profiles.top
+
+    @F.pandas_udf("array<long>")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series([ranked(*grams(t or ""), top).view(np.int64) for t in texts])
+
+    ship(rows.sparkSession)
+    listed = stored(rows.select("kept", own("text").alias("own"), F.monotonically_increasing_id().alias("row")), "gram-lists")
+    places = listed.select("row", F.posexplode("own").alias("place", "gram"))
+    saved = F.lit(top) - F.abs(F.col("rank") - F.col("place"))
+    near = places.join(profiles.rows, "gram").groupBy("row", "lang").agg(F.sum(saved).alias("saved"))
+    best = near.groupBy(F.col("row").alias("_row")).agg(F.min(F.struct((-F.col("saved")).alias("less"), "lang")).alias("best"))
+    size = F.size("own")
+    # A document without any n-gram of the profiles is as far from all languages: the first by name.
+    lang = F.when(size == 0, F.lit(UNKNOWN)).otherwise(F.coalesce(F.when(F.col("best.less") < 0, F.col("best.lang")), F.lit(profiles.first)))
+    score = F.when(size == 0, F.lit(0.0)).otherwise(F.coalesce(-F.col("best.less"), F.lit(0)) / (size * F.lit(float(top))))
+    return listed.join(best, F.col("row") == F.col("_row"), "left").select("kept", lang.alias("lang_pred"), score.alias("score"))
+
+
+def identify(docs: DataFrame, profiles: Profiles | ProfileTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of each row."""
+    found = _found(docs.select(F.col(id_col).alias("kept"), F.col(text_col).alias("text")), profiles)
+    return found.select(F.col("kept").alias(id_col), "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -156,13 +196,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def accepted(docs: DataFrame, profiles: Profiles, least_score: float, text_col: str = "text") -> DataFrame:
-    """The documents whose language is recognised with at least that score; rows and columns as they came."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
-
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != UNKNOWN and score >= least_score for lang, score in found])
+def accepted(docs: DataFrame, profiles: Profiles | ProfileTable, least_score: float, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The documents whose language is recognised with at least that score; rows and columns as they came.
 
-    return docs.filter(good(F.col(text_col)))
+    lang_col: a label, if there is one, which the language recognised mustn't contradict.
+    """
+    found = _found(docs.select(F.struct("*").alias("kept"), F.col(text_col).alias("text")), profiles)
+    good = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    if lang_col:
+        good = good.filter(F.coalesce(F.col("kept").getField(lang_col), F.col("lang_pred")) == F.col("lang_pred"))
+    return good.select("kept.*")
