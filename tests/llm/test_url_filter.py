@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.queries import URL_RULES
-from tidemark.llm.url_filter import Index, build_index, filter_urls, parts
+from tidemark.llm.url_filter import Index, build_index, candidates, filter_urls, parts
 
 HOSTS = ["org", "example.org", "EXAMPLE.Org", "a.example.org", "badexample.org", "x.com", "com", "y.net", ""]
 PATHS = ["", "/", "/es/1", "/es", "/en/1", "/en/12?q=/es/", "/fr/x#t", "/de/", "?a=/de/", "#/fr/"]
@@ -52,3 +52,15 @@ def test_equal_digests(tmp_path):
     index.keys = same
     strings = [index.string(i) for i in range(3)]
     assert index.find(same, strings).tolist() == [0, 1, 2]
+
+
+def test_long_hosts():
+    """A host of very many labels costs no more than the rule of most labels."""
+    host = "a." * 200_000 + "example.org"
+    assert candidates(host, "/es/x", [1, 4], [1, 2]) == ["org/", "org/es/", "example.org/", "example.org/es/"]
+    assert candidates("org", "/", [1], [1, 2, 5]) == ["org/"] and candidates("", "/", [1], [1]) == [] == candidates("org", "/", [], [])
+
+
+def test_long_hosts_in_a_table(spark):
+    pages = spark.createDataFrame([(1, "http://" + "b." * 100_000 + "x.com/de/"), (2, "http://" + "." * 1000 + "org/")], "page_id long, url string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(pages, URL_RULES).collect()} == {1: ("com/de/", "block"), 2: ("org/", "allow")}

@@ -2,8 +2,8 @@
 
 The rule set is a file: the sorted xxhash64 keys of the rules' `host/path` strings, and beside them verdicts and
 the strings themselves. Workers map the file into memory, so the pages are shared between processes and read on
-demand. A batch of URLs becomes an array of candidate keys (each parent domain with each path prefix as long as
-some rule's path), probed by one vectorised binary search per batch; hits are confirmed on the stored strings.
+demand. A batch of URLs becomes an array of candidate keys (each parent domain of as many labels as some rule's host, with
+each path prefix as long as some rule's path), probed by one vectorised binary search per batch; hits are confirmed on the stored strings.
 
 Defined cases: a null URL or one without `://` has an empty host and path and fits no rule; the longest fitting
 rule wins, between equal lengths the one of the longer host; what no rule fits gets the default verdict; an
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import id_type, map_batches, put_shared
 
-MAGIC = b"digests1"
+MAGIC = b"digests2"
 
 
 def build_index(rules: Iterable[tuple[str, str]]) -> bytes:
     """The index file of (rule, verdict) pairs; a rule is `host/path prefix`, a verdict `allow` or `block`.
 
-    Layout, little-endian: magic, count, number of path lengths, those lengths, keys, string ends, verdicts, strings.
+    Layout, little-endian: magic, count, number of path lengths, number of label counts, those lengths, those counts, keys, string ends,
+    verdicts, strings.
     A rule given twice keeps its last verdict.
     """
     import xxhash
@@ -38,8 +39,9 @@ def build_index(rules: Iterable[tuple[str, str]]) -> bytes:
     last = {r.encode(): v for r, v in rules}
     rows = sorted((xxhash.xxh64_intdigest(r), r, v) for r, v in last.items())
     lengths = sorted({len(r.decode().partition("/")[2]) + 1 for _, r, _ in rows})
+    depths = sorted({r.decode().partition("/")[0].count(".") + 1 for _, r, _ in rows})
     ends = np.cumsum([len(r) for _, r, _ in rows], dtype="<u8")
-    numbers = [np.array([len(rows), len(lengths), *lengths], dtype="<u8"), np.array([k for k, _, _ in rows], dtype="<u8"), ends, np.array([v == "block" for _, _, v in rows], dtype="<u8")]
+    numbers = [np.array([len(rows), len(lengths), len(depths), *lengths, *depths], dtype="<u8"), np.array([k for k, _, _ in rows], dtype="<u8"), ends, np.array([v == "block" for _, _, v in rows], dtype="<u8")]
     return MAGIC + b"".join(x.tobytes() for x in numbers) + b"".join(r for _, r, _ in rows)
 
 
@@ -50,9 +52,10 @@ class Index:
         data = np.memmap(path, dtype=np.uint8, mode="r")
         if data[:8].tobytes() != MAGIC:
             raise ValueError(f"{path} is no digest index")
-        n, k = (int(x) for x in data[8:24].view("<u8"))
-        at = 24 + 8 * k
-        self.lengths = data[24:at].view("<u8").astype(int).tolist()
+        n, k, m = (int(x) for x in data[8:32].view("<u8"))
+        at = 32 + 8 * (k + m)
+        self.lengths = data[32 : 32 + 8 * k].view("<u8").astype(int).tolist()
+        self.depths = data[32 + 8 * k : at].view("<u8").astype(int).tolist()
         self.keys, self.ends, self.block = (data[at + 8 * n * i : at + 8 * n * (i + 1)].view("<u8") for i in range(3))
         self.strings = data[at + 24 * n :]
 
@@ -84,11 +87,14 @@ def parts(url: str | None) -> tuple[str, str]:
     return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """What a rule could say that fits: each parent domain with each prefix as long as some rule's."""
-    labels = host.split(".") if host else []
+def candidates(host: str, path: str, lengths: list[int], depths: list[int]) -> list[str]:
+    """What a rule could say that fits: each parent domain of as many labels, with each prefix as long, as some rule's.
+
+    depths is sorted; no more of the host is taken apart than the rule of most labels has.
+    """
+    labels = host.rsplit(".", depths[-1])[-depths[-1] :] if host and depths else []
     prefixes = [path[:n] for n in lengths if n <= len(path)]
-    return [f"{'.'.join(labels[i:])}{p}" for i in range(len(labels)) for p in prefixes if p[:1] == "/"]
+    return [f"{'.'.join(labels[-d:])}{p}" for d in depths if d <= len(labels) for p in prefixes if p[:1] == "/"]
 
 
 def judge(batch: pd.Series, index: Index, default: str) -> pd.DataFrame:
@@ -97,7 +103,7 @@ def judge(batch: pd.Series, index: Index, default: str) -> pd.DataFrame:
     cut = [parts(u) for u in batch]
     strings, owner = [], []
     for i, (host, path) in enumerate(cut):
-        own = [c.encode() for c in candidates(host, path, index.lengths)]
+        own = [c.encode() for c in candidates(host, path, index.lengths, index.depths)]
         strings += own
         owner += [i] * len(own)
     keys = np.array([xxhash.xxh64_intdigest(s) for s in strings], dtype=np.uint64)
