@@ -1,7 +1,8 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.mpeg_audio import crc16, parse_header, probe, read_media, to_media, write_stream
+from tidemark.llm.mpeg_audio import crc16, parse_header, probe, read_media, store_media, to_media, write_stream
 
 
 @settings(max_examples=60, deadline=None)
@@ -69,3 +70,35 @@ def test_payloads_that_end_like_tags():
                 found = probe(write_stream(payload))
                 assert found["payload"] == payload and found["skipped"] == 0 and found["tags"] == {"TXXX:payload_bytes": str(size)}, (size, mark, at)
                 assert found["frames"] == found["table"]["frames"] and found["table"]["bytes"] == found["end"] - found["start"]
+
+
+def bit_by_bit(bits):
+    r = 0xFFFF
+    for b in bits:
+        r = (r << 1 ^ (0x8005 if r >> 15 ^ b else 0)) & 0xFFFF
+    return r
+
+
+@pytest.mark.parametrize("layer, mode, kbit_at, rate_at, covered", [
+    (1, 3, 4, 0, lambda a: 128), (1, 0, 4, 0, lambda a: 256), (1, 1, 4, 0, lambda a: 4 * 36),  # joint stereo from subband 4 on
+    (2, 3, 8, 0, lambda a: 11 * 4 + 12 * 3 + 7 * 2 + 2 * a), (2, 3, 1, 2, lambda a: 2 * 4 + 10 * 3 + 2 * a), (2, 0, 8, 1, lambda a: 2 * (11 * 4 + 12 * 3 + 4 * 2) + 2 * a),
+])
+def test_checksums_of_layers_one_and_two(layer, mode, kbit_at, rate_at, covered):
+    head = bytes([0xFF, 0xF8 | {1: 6, 2: 4}[layer], kbit_at << 4 | rate_at << 2, mode << 6])
+    length = parse_header(head)["length"]
+    frames = b""
+    for first in (0, 0b10010000):  # no subband is allocated, or the first one
+        body = bytes([first]).ljust(length - 6, b"\0")
+        bits = [x >> 7 - k & 1 for x in head[2:] + body for k in range(8)][: 16 + covered(bool(first) if layer == 2 else 0)]
+        frames += head + bit_by_bit(bits).to_bytes(2, "big") + body
+    found = probe(frames)
+    assert (found["frames"], found["crc_ok"], found["crc_bad"]) == (2, 2, 0)
+    broken = bytearray(frames)
+    broken[6] ^= 0x40
+    assert probe(bytes(broken))["crc_bad"] == 1
+
+
+def test_durations_and_offsets_are_stored(odd):
+    for r in store_media(odd).collect():
+        found = probe(bytes(r["media"]))
+        assert (r["samples"], r["sample_rate"], r["seek"]) == (found["samples"], found["rate"], found["offsets"]) and r["samples"] == 1152 * len(r["seek"])

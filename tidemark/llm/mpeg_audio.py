@@ -2,8 +2,10 @@
 
 The reader finds frames by their headers and, where the bytes don't continue with a header that agrees with
 the stream, searches for the next pair of agreeing headers (resynchronisation, with the skipped bytes counted).
-It parses ID3v2, ID3v1 and APE tags and the Xing, Info and VBRI tables, verifies each protected frame's CRC-16
-and gives the duration as a whole number of samples and the byte offset of every frame.
+It parses ID3v2, ID3v1 and APE tags and the Xing, Info and VBRI tables, verifies each protected frame's CRC-16 (over the
+side information in layer III, the bit allocation in layer I, and that with the scale factor selection in layer II)
+and gives the duration as a whole number of samples and the byte offset of every frame. Streams of free format, whose
+headers name no bit rate, are out of scope: they give zero frames.
 
 The writer carries bytes losslessly: each frame's main data is a run of payload bytes whose extent the
 granules' part2_3_length fields state. All frames but the last have the highest bit rate, the last the lowest
@@ -39,6 +41,8 @@ KBITS = {
 RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
 SAMPLES = {("1", 1): 384, ("1", 2): 1152, ("1", 3): 1152, ("2", 1): 384, ("2", 2): 1152, ("2", 3): 576}
 CRC_POLYNOMIAL = 0x8005
+# Of layer II, how many subbands in turn have how many bits of allocation, by table.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 
 
 @lru_cache(1)
@@ -61,6 +65,42 @@ def crc16(data: bytes) -> int:
     return r
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The same over so many of the first bits."""
+    r = crc16(data[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        r = (r << 1 ^ CRC_POLYNOMIAL if (r >> 15 ^ data[i // 8] >> 7 - i % 8) & 1 else r << 1) & 0xFFFF
+    return r
+
+
+def protected_bits(head: dict, body: bytes) -> int:
+    """How many bits after the checksum of a frame it covers. body: what follows it."""
+    if head["layer"] == 3:
+        return 8 * head["side"]
+    channels = 1 if head["mono"] else 2
+    if head["layer"] == 1:
+        bound = min(32, head["bound"])
+        return 4 * (channels * bound + 32 - bound)
+    each = head["kbit"] // channels
+    if head["version"] != "1":
+        table = "low"
+    elif each <= 48:
+        table = "d" if head["rate"] == 32000 else "c"
+    else:
+        table = "a" if head["rate"] == 48000 or each <= 80 else "b"
+    at, chosen, subband = 0, 0, 0
+    content, size = int.from_bytes(body[:64], "big"), 8 * len(body[:64])
+    for count, width in ALLOCATIONS[table]:
+        for subband in range(subband, subband + count):
+            joint = subband >= head["bound"]
+            for _ in range(1 if joint else channels):
+                if content >> max(0, size - at - width) & (1 << width) - 1:
+                    chosen += channels if joint else 1
+                at += width
+        subband += 1
+    return at + 2 * chosen
+
+
 @lru_cache(65536)
 def parse_header(head: bytes) -> dict | None:
     """What four bytes say as a frame header; None where they aren't one, or are of free format."""
@@ -75,7 +115,7 @@ def parse_header(head: bytes) -> dict | None:
     samples = SAMPLES[low, layer]
     length = (12000 * kbit // rate + padded) * 4 if layer == 1 else samples * 125 * kbit // rate + padded
     side = 0 if layer < 3 else (17 if mono else 32) if low == "1" else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbit": kbit, "rate": rate, "samples": samples, "length": length, "side": side, "protected": not head[1] & 1, "mono": mono, "same": (version, layer, rate)}
+    return {"version": version, "layer": layer, "kbit": kbit, "rate": rate, "samples": samples, "length": length, "side": side, "protected": not head[1] & 1, "mono": mono, "bound": 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == 1 else 32, "same": (version, layer, rate)}
 
 
 @lru_cache(65536)
@@ -150,8 +190,13 @@ def probe(data: bytes) -> dict:
         out["lost"], same = False, head["same"]
         body, length = pos + 4 + 2 * head["protected"], head["length"]
         side = data[body : body + head["side"]]
-        if head["protected"] and head["layer"] == 3:
-            good = crc16(data[pos + 2 : pos + 4] + side) == int.from_bytes(data[pos + 4 : pos + 6], "big")
+        if head["protected"]:
+            told = int.from_bytes(data[pos + 4 : pos + 6], "big")
+            if head["layer"] == 3:
+                good = crc16(data[pos + 2 : pos + 4] + side) == told
+            else:
+                rest = data[body : pos + length]
+                good = crc16_bits(data[pos + 2 : pos + 4] + rest[:64], 16 + protected_bits(head, rest)) == told
             out["crc_ok" if good else "crc_bad"] += 1
         if first and (table := parse_table(data[pos : pos + length], head)):
             out["table"] = table
@@ -224,7 +269,9 @@ FLUSH_BYTES = 4 << 20
 
 
 def to_media(docs: DataFrame, unit: int = 192, fill: bytes = b" ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text's bytes, filled up to a positive multiple of unit, as a stream."""
+    """Each text's bytes, filled up to a positive multiple of unit, as a stream: (id, n_bytes, media), and of the stream what a
+    player seeks by: samples and sample_rate (the exact duration is their ratio) and seek, the byte offset of each audio frame."""
+    names = ["id", "n_bytes", "media", "samples", "sample_rate", "seek"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
@@ -232,16 +279,17 @@ def to_media(docs: DataFrame, unit: int = 192, fill: bytes = b" ", id_col: str =
             for i, t in zip(batch["id"], batch["text"], strict=True):
                 data = (t or "").encode()
                 media = write_stream(data.ljust(max(unit, -(-len(data) // unit) * unit), fill))
-                rows.append((i, len(data), media))
+                found = probe(media)
+                rows.append((i, len(data), media, found["samples"], found["rate"], found["offsets"]))
                 held += len(media)
                 if held >= FLUSH_BYTES:
-                    yield pd.DataFrame(rows, columns=["id", "n_bytes", "media"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "media"])
+            yield pd.DataFrame(rows, columns=names)
 
-    rows = map_batches(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), run, "id string, n_bytes long, media binary")
-    return rows.select(F.col("id").cast(id_type(docs, id_col)).alias(id_col), "n_bytes", "media")
+    rows = map_batches(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), run, "id string, n_bytes long, media binary, samples long, sample_rate long, seek array<long>")
+    return rows.select(F.col("id").cast(id_type(docs, id_col)).alias(id_col), *names[1:])
 
 
 def store_media(docs: DataFrame, **options) -> DataFrame:

@@ -30,14 +30,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = mpeg_audio.read_media(mpeg_audio.store_media(table(spark, sf_dir, "documents")))
+    read = mpeg_audio.read_media(mpeg_audio.store_media(table(spark, sf_dir, "documents")), keep=("n_bytes", "seek"))
     named = [F.concat(F.lit(f"{name}="), F.col(column).cast("string")) for name, column in (("frames", "frames"), ("samples", "samples"), ("rate", "sample_rate"), ("seconds", "duration_s"), ("crc_ok", "crc_ok"), ("crc_bad", "crc_bad"), ("skipped", "skipped_bytes"), ("table_frames", "table_frames"), ("kbit", "kbit_max"))]
     seek = F.concat(F.lit("seek="), F.crc32(F.array_join(F.col("frame_offsets").cast("array<string>"), ",").cast("binary")).cast("string"))
     size = F.octet_length("payload").cast("long")
-    whole = F.when(size == F.col("payload_claimed"), size).otherwise(F.raise_error(F.lit("a stream lost payload bytes")).cast("long"))
+    whole = F.when((size == F.col("payload_claimed")) & (F.col("seek") == F.col("frame_offsets")), size).otherwise(F.raise_error(F.lit("a stream lost payload bytes or frames")).cast("long"))
     return read.select(
         "doc_id", "n_bytes", whole.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", *named, seek).alias("feature"), "duration_s", "frames",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", *named, seek).alias("feature"), "duration_s", "frames", "samples", "sample_rate", F.col("seek").alias("frame_offsets"),
     )
 
 
