@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.simhash import keep_one, links, near_duplicates, text_fingerprint
@@ -113,3 +114,11 @@ def test_keep_one(odd, spark, none):
     assert keep_one(none).count() == 0
     same_id = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z other words"), (2, "v w x y z other words"), (1, "a b c d e")], "doc_id long, text string")
     assert sorted(r["text"] for r in keep_one(same_id).collect()) == ["a b c d e", "v w x y z other words"]
+
+
+def test_columns_of_any_name_are_kept(odd):
+    names = ["_gone", "_hash", "id", "text_hash", "head_id", "head", "row", "row_id", "class_id", "c", "n"]
+    more = odd.select("doc_id", "text", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    kept = keep_one(more)
+    assert kept.columns == more.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in kept.collect())
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in keep_one(odd).collect())

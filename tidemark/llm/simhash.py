@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import id_type, map_batches, stored
+from tidemark.llm._common import broadcast_if_small, id_type, map_batches, stored
 from tidemark.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -181,10 +181,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     if some:
         others = found.filter("id = class_id").join(repeated, F.col("class_fp") == F.col("c")).filter("text_hash != head")
         gone = gone.union(others.select("id", "text_hash"))
-    gone = stored(gone.distinct().select(F.col("id").alias("_gone"), F.col("text_hash").alias("_hash")), "gone")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    kept = docs.join(gone, (docs[id_col] == F.col("_gone")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
-    if not some:
-        return kept
-    head = (kept[id_col] == F.col("head_id")) & (F.xxhash64(kept[text_col]) == F.col("head"))
-    return kept.join(repeated, head, "left_anti").unionByName(kept.join(repeated, head, "left_semi").dropDuplicates([id_col, text_col]))
+    gone = broadcast_if_small(stored(gone.distinct(), "gone"), broadcast_rows)
+    # The documents' own columns, whatever their names, are kept apart from those made here.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"))
+    kept = rows.join(gone, (F.col("row_id") == F.col("id")) & (F.col("row_hash") == F.col("text_hash")), "left_anti")
+    if some:
+        head = (F.col("row_id") == F.col("head_id")) & (F.col("row_hash") == F.col("head"))
+        kept = kept.join(repeated, head, "left_anti").unionByName(kept.join(repeated, head, "left_semi").dropDuplicates(["row_id", "row_hash"]))
+    return kept.select("row.*")
