@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.minhash import BINS, PROBES, fingerprint, fingerprint_edits, likeness, probe_orders, shingle_hashes, signature
+from tidemark.llm.minhash import BINS, PROBES, fingerprint, fingerprint_edits, likeness, probe_orders, shingle_hashes, signature, with_next
 
 
 def neighbours(rows):
@@ -87,3 +87,12 @@ def test_estimate_is_unbiased(spark, share):
     got = df.collect()
     mean = sum(r["l"] - jaccard(r["a"], r["b"]) for r in got) / len(got)
     assert abs(mean) < 0.03
+
+
+def test_string_ids(spark):
+    rows = [(f"k{i:05}", f"text number {i} of some words") for i in range(500)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    dealt, window = with_next(docs, {"text": F.col("text")}, "doc_id", bucket_rows=50)
+    got = {r["id"]: r["following"] for r in dealt.withColumn("following", F.lead("text").over(window)).filter("not guard").collect()}
+    down = sorted((i, t) for i, t in rows if i)[::-1] + [rows[-1]]
+    assert got == {i: down[(k + 1) % len(down)][1] for k, (i, _) in enumerate(down)}

@@ -17,6 +17,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark.llm._common import GAP, let
 
@@ -122,8 +123,12 @@ def with_next(docs: DataFrame, values: dict[str, Column], id_col: str, bucket_ro
     bounds: list = []
     if buckets > 1:
         cuts = [i / buckets for i in range(1, buckets)]
-        got = docs.select(F.percentile_approx(id_col, cuts, max(10_000, 10 * buckets))).first()[0]
-        bounds = sorted({x for x in got or [] if x is not None})
+        if isinstance(docs.schema[id_col].dataType, NumericType):
+            got = docs.select(F.percentile_approx(id_col, cuts, max(10_000, 10 * buckets))).first()[0] or []
+        else:  # where ids aren't numbers, the ranges' bounds come from a sample; the rows are all there
+            drawn = sorted(x[0] for x in docs.select(id_col).sample(min(1.0, 10 * buckets / n), seed=5).collect() if x[0] is not None)
+            got = [drawn[int(c * len(drawn))] for c in cuts] if drawn else []
+        bounds = sorted({x for x in got if x is not None})
     bucket = _bucket(F.col("id"), bounds)
     firsts = {b: x for b, x in docs.select(F.col(id_col).alias("id")).groupBy(bucket.alias("b")).agg(F.max("id")).collect()}
     downward = sorted(firsts, reverse=True)
