@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import io
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,10 +23,12 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all machines share: spark.checkpoint.dir, or, under a local master alone, a temporary one where that is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not getattr(spark, "_tidemark_shared", None):
         spark._tidemark_shared = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, spark._tidemark_shared, ignore_errors=True)

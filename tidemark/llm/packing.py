@@ -16,6 +16,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,12 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, however many tasks that runs."""
+    return Encoder(path)
+
+
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each size (1 to capacity), placed in the order given, which should be descending.
 
@@ -127,7 +134,7 @@ def token_streams(docs: DataFrame, vocabulary: str, groups: int, seed: int, sepa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         kind, repeats = "<u2" if encode.size <= 1 << 16 else "<u4", Counter()
         names = ["id", "grp", "width", "ids"]
         rows, held = [], 0
