@@ -42,9 +42,7 @@ class World:
         more = True
         while more:
             page = feed.pull_page(self.frame(self.docs, DOCS), r["since"], 3).collect()
-            if not page:
-                return
-            changes = self.frame([(x["id"], x["payload"], x["version"]) for x in page], "id string, document string, version long")
+            changes = self.frame([(x["id"], x["payload"], x["version"]) for x in page if x["id"] is not None], "id string, document string, version long")
             self.keep(r, replica.apply_remote(self.records(r), changes, 0))
             more, r["since"] = page[0]["has_more"], page[0]["checkpoint"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ids import id_order
+from tidemark.functions.ids import id_order, id_valid
 from tidemark.operators.numbering import lot_of, number_rows
 
 
@@ -20,18 +20,27 @@ def latest(changelog: DataFrame, keys: list[str], version: str = "version") -> D
     return newest.select(*changelog.columns)
 
 
+def page_with_facts(window: DataFrame, since: int, limit: int, ok: Column, version: str = "version") -> DataFrame:
+    """The rows of a page that are ok, each with the page's `has_more` and `checkpoint`; without any, one row of nulls with these.
+
+    window: the limit + 1 rows after the position at most; they meet in one row, so that the facts outlive all of them.
+    """
+    by_version = lambda a, b: F.when(a["_v"] < b["_v"], -1).when(a["_v"] > b["_v"], 1).otherwise(0)
+    packed = window.select(F.struct(F.col(version).alias("_v"), F.coalesce(ok, F.lit(False)).alias("_ok"), F.struct("*").alias("_row")).alias("_r")).agg(F.array_sort(F.collect_list("_r"), by_version).alias("_p"))
+    page = F.slice("_p", 1, limit)
+    facts = packed.select(page.alias("_page"), (F.size("_p") > limit).alias("has_more"), F.coalesce(F.get(page, F.size(page) - 1)["_v"], F.lit(since).cast("long")).alias("checkpoint"))
+    rows = facts.select(F.explode_outer(F.filter("_page", lambda r: r["_ok"])).alias("_r"), "has_more", "checkpoint")
+    return rows.select(*(F.col(f"_r._row.`{c}`").alias(c) for c in window.columns), "has_more", "checkpoint")
+
+
 def pull_page(feed: DataFrame, since: int, limit: int, can_read: Column | None = None, version: str = "version") -> DataFrame:
     """One page after a position: the rows with `checkpoint` (where the next page starts) and `has_more`.
 
-    The limit comes first and can_read after it, so a page may hold fewer rows and the checkpoint still advances
-    past those that the caller may not read.
+    The limit comes first and can_read after it, so a page may hold fewer rows and the checkpoint still advances past those that
+    the caller may not read. A page without rows, or without any that may be read, is one row of nulls with the facts.
     """
     window = feed.filter(F.col(version) > since).orderBy(version).limit(limit + 1)
-    everything = Window.partitionBy()  # limit + 1 rows
-    numbered = window.withColumn("_n", F.row_number().over(Window.orderBy(version)))
-    marked = numbered.withColumn("has_more", F.count(F.lit(1)).over(everything) > limit).filter(F.col("_n") <= limit)
-    marked = marked.withColumn("checkpoint", F.max(version).over(everything)).drop("_n")
-    return marked if can_read is None else marked.filter(can_read)
+    return page_with_facts(window, since, limit, F.lit(True) if can_read is None else can_read, version)
 
 
 def pages(feed: DataFrame, limit: int, scope: str = "scope", version: str = "version") -> DataFrame:
@@ -40,21 +49,24 @@ def pages(feed: DataFrame, limit: int, scope: str = "scope", version: str = "ver
     return numbered.withColumn("page", F.floor((F.col("number") - 1) / limit).cast("long")).drop("number")
 
 
-def page_faults(changes: DataFrame, removals: DataFrame, page: str, limit: int, since: str) -> DataFrame:
+def page_faults(headers: DataFrame, changes: DataFrame, removals: DataFrame, page: str, limit: int) -> DataFrame:
     """The first fault of each page a server sent, null if it is sound.
 
-    changes: page, id, version, since, has_more (of the page); removals: page, id.
+    headers: page, since (the checkpoint asked with), checkpoint, has_more; changes: page, id, version; removals: page, id.
+    Removals count towards the limit, and none may repeat or stand beside a change of its id.
     """
-    facts = changes.groupBy(page).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min("version").alias("least"), F.max("version").alias("most"), F.max(since).alias("since"), F.bool_or("has_more").alias("more"),
-        F.bool_or(F.col("id").isNull() | (F.length("id") == 0)).alias("bad_id"),
+    entries = changes.select(F.col(page).alias("_page"), "id", F.col("version").alias("v"), F.lit(True).alias("c")).unionByName(removals.select(F.col(page).alias("_page"), "id", F.lit(None).cast("long").alias("v"), F.lit(False).alias("c")))
+    per_id = entries.groupBy("_page", "id").agg(F.count_if("c").alias("cs"), F.count_if(~F.col("c")).alias("rs"), F.bool_or(F.col("c") & (F.col("v").isNull() | (F.col("v") < 1))).alias("low"))
+    bad = ~F.coalesce(id_valid(F.col("id")), F.lit(False))
+    facts = per_id.groupBy("_page").agg(
+        F.sum("cs").alias("n"), F.count(F.lit(1)).alias("ids"), F.bool_or(bad & (F.col("cs") > 0)).alias("bad_change"), F.bool_or("low").alias("low"), F.bool_or(F.col("cs") > 1).alias("twice"),
+        F.bool_or(bad & (F.col("rs") > 0)).alias("bad_removal"), F.bool_or((F.col("rs") > 0) & (F.col("cs") > 0)).alias("both"), F.bool_or(F.col("rs") > 1).alias("again"),
     )
-    both = changes.join(removals, [page, "id"], "left_semi").select(page).distinct().withColumn("both", F.lit(True))
     fault = (
-        F.when(F.col("n") > limit, "too-many").when(F.col("bad_id"), "invalid-id").when(F.col("n") > F.col("ids"), "duplicate-id").when(F.col("least") < 1, "invalid-version")
-        .when(F.col("more") & (F.col("most") <= F.col("since")), "no-progress").when(F.col("both"), "changed-and-removed")
+        F.when(F.col("n") > limit, "too-many").when(F.col("has_more") & F.col("checkpoint").eqNullSafe(F.col("since")), "no-progress").when(F.col("bad_change"), "invalid-id").when(F.col("low"), "invalid-version")
+        .when(F.col("twice"), "duplicate-id").when(F.col("bad_removal"), "invalid-removal").when(F.col("both"), "changed-and-removed").when(F.col("again"), "repeated-removal").when(F.col("ids") > limit, "too-many")
     )
-    return facts.join(both, page, "left").select(page, fault.alias("fault"))
+    return headers.join(facts, F.col(page) == F.col("_page"), "left").select(page, fault.alias("fault"))
 
 
 def heads(changelog: DataFrame, scope: str = "scope", version: str = "version") -> DataFrame:

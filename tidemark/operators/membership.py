@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.feed import page_with_facts
+
 
 def access_rows(writes: DataFrame, keys: list[str], readers: str = "readers", version: str = "version", deleted: str = "deleted") -> DataFrame:
     """(principal, keys, version, granted): the last access change of each principal and document.
@@ -23,18 +25,20 @@ def access_rows(writes: DataFrame, keys: list[str], readers: str = "readers", ve
     return rows.groupBy(F.col("a.principal").alias("principal"), *keys).agg(F.max(version).alias(version), F.max_by(F.col("a.granted"), F.col(version)).alias("granted"))
 
 
-def membership_page(access: DataFrame, documents: DataFrame, principal: str, since: int, limit: int, keys: list[str], removals: bool = True) -> DataFrame:
-    """A page of a principal's feed: changes where access is granted, removals where it was revoked.
+def membership_page(access: DataFrame, documents: DataFrame, principal: str, since: int, limit: int, keys: list[str], removals: bool = True, can_read: Column | None = None) -> DataFrame:
+    """A page of a principal's feed with `has_more` and `checkpoint`: changes where access is granted, removals where it was revoked.
 
-    Membership filters before the limit, so pages are full. From the start, revocations are of no interest; a caller
-    that doesn't understand removals gets `scope-changed` instead.
+    Membership filters before the limit, so pages are full; can_read, an expression over the document's columns, follows it. From the
+    start, revocations are of no interest; a caller that doesn't understand removals gets `scope-changed` instead. A page
+    without rows is one row of nulls with the facts.
     """
-    mine = access.filter((F.col("principal") == principal) & (F.col("version") > since)).orderBy("version").limit(limit)
+    mine = access.filter((F.col("principal") == principal) & (F.col("version") > since)).orderBy("version").limit(limit + 1)
     docs = documents.select(*(F.col(k).alias(f"_{k}") for k in keys), *[c for c in documents.columns if c not in (*keys, "version")])
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("granted")]
     joined = mine.join(docs, on, "left").drop(*(f"_{k}" for k in keys))
     kind = F.when(F.col("granted"), "change").otherwise(F.lit("removal" if removals else "scope-changed"))
-    return joined.filter(F.col("granted") | F.lit(since > 0)).withColumn("kind", kind)
+    ok = F.when(F.col("granted"), F.lit(True) if can_read is None else can_read).otherwise(F.lit(since > 0))
+    return page_with_facts(joined.withColumn("kind", kind), since, limit, ok)
 
 
 def readable(documents: DataFrame, access: DataFrame, principal: str, keys: list[str]) -> DataFrame:

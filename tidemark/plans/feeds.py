@@ -17,20 +17,37 @@ def feed_latest(spark, sf_dir):
     return derived.documents(spark, sf_dir).select("scope", "id", "version", "deleted", "updated_at")
 
 
-PAGE = """, page AS (SELECT *, row_number() OVER (ORDER BY version) AS n FROM docs WHERE scope = 's1' AND version > 100 ORDER BY version LIMIT 21)
-    SELECT id, version, deleted, (SELECT count(*) FROM page) > 20 AS has_more, (SELECT max(version) FROM page WHERE n <= 20) AS checkpoint FROM page WHERE n <= 20"""
+def _page(since: int, limit: int, readable: str = "true", source: str = "docs WHERE scope = 's1'") -> str:
+    return sql(f""", page AS (SELECT *, row_number() OVER (ORDER BY version) AS n FROM {source} AND version > {since} ORDER BY version LIMIT {limit + 1}),
+        facts AS (SELECT count(*) > {limit} AS has_more, coalesce(max(version) FILTER (n <= {limit}), {since})::BIGINT AS checkpoint FROM page)
+        SELECT id, version, deleted, has_more, checkpoint FROM facts LEFT JOIN page ON n <= {limit} AND ({readable})""", "docs")
 
 
-@query(sql(PAGE, "docs"))
+def _pulled(spark, sf_dir, since, limit, can_read=None):
+    docs = derived.documents(spark, sf_dir).filter("scope = 's1'").select("id", "version", "deleted", "event_type")
+    return feed.pull_page(docs, since, limit, can_read).select("id", "version", "deleted", "has_more", "checkpoint")
+
+
+@query(_page(100, 20))
 def feed_pull_page(spark, sf_dir):
-    docs = derived.documents(spark, sf_dir).filter("scope = 's1'")
-    return feed.pull_page(docs, 100, 20).select("id", "version", "deleted", "has_more", "checkpoint")
+    return _pulled(spark, sf_dir, 100, 20)
 
 
-@query(sql(PAGE + " AND event_type <> 'view'", "docs"))
+@query(_page(100, 20, "event_type <> 'view'"))
 def feed_can_read_after_limit(spark, sf_dir):
-    docs = derived.documents(spark, sf_dir).filter("scope = 's1'")
-    return feed.pull_page(docs, 100, 20, F.col("event_type") != "view").select("id", "version", "deleted", "has_more", "checkpoint")
+    return _pulled(spark, sf_dir, 100, 20, F.col("event_type") != "view")
+
+
+@query(_page(10**9, 20))
+def feed_pull_at_the_head(spark, sf_dir):
+    """A page without rows still says where the caller stands."""
+    return _pulled(spark, sf_dir, 10**9, 20)
+
+
+@query(_page(0, 10, "event_type = 'none'"))
+def feed_pull_unreadable(spark, sf_dir):
+    """A page of which nothing may be read still advances the caller."""
+    return _pulled(spark, sf_dir, 0, 10, F.col("event_type") == "none")
 
 
 @query(sql("SELECT scope, id, version, CAST((row_number() OVER (PARTITION BY scope ORDER BY version) - 1) // 50 AS BIGINT) AS page FROM changelog", "changelog"))
@@ -66,20 +83,33 @@ def feed_checkpoint_reasons(spark, sf_dir):
 
 @query("""
     WITH sent AS (SELECT event_id // 20 AS page, CASE WHEN event_id % 500 = 7 THEN '' ELSE 'u' || (CASE WHEN (event_id // 20) % 3 = 0 THEN user_id ELSE event_id END) END AS id,
-        event_id - CASE WHEN (event_id // 20) % 11 = 0 THEN 221 ELSE 0 END AS version, (event_id // 20) * 20 - CASE WHEN (event_id // 20) % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN (event_id // 20) % 10 = 0 THEN 40 ELSE 0 END AS since, true AS more FROM events WHERE event_id % 20 < 19 OR (event_id // 20) % 7 = 0),
-    facts AS (SELECT page, count(*) AS n, count(DISTINCT id) AS ids, min(version) AS least, max(version) AS most, max(since) AS since, bool_or(more) AS more, bool_or(id = '') AS bad FROM sent GROUP BY page),
-    gone AS (SELECT DISTINCT event_id // 20 AS page FROM events WHERE event_id % 160 = 42 AND (event_id // 20) % 3 <> 0)
-    SELECT f.page, CASE WHEN n > 19 THEN 'too-many' WHEN bad THEN 'invalid-id' WHEN n > ids THEN 'duplicate-id' WHEN least < 1 THEN 'invalid-version' WHEN more AND most <= since THEN 'no-progress' WHEN g.page IS NOT NULL THEN 'changed-and-removed' END AS fault
-    FROM facts f LEFT JOIN gone g ON f.page = g.page
+        event_id - CASE WHEN (event_id // 20) % 11 = 0 THEN 221 ELSE 0 END AS version FROM events WHERE event_id % 20 < 19 OR (event_id // 20) % 7 = 0),
+    gone AS (SELECT event_id // 20 AS page, 'u' || event_id AS id FROM events WHERE event_id % 160 = 42
+        UNION ALL SELECT event_id // 20 + CASE WHEN event_id % 260 = 13 THEN 0 ELSE 1000000 END, 'x' || CASE WHEN event_id % 520 = 13 THEN '' || event_id % 3 ELSE chr(1 + CAST(event_id % 40 AS INTEGER)) END FROM events WHERE event_id % 130 = 13
+        UNION ALL SELECT event_id // 20 + 1000000, 'y' FROM events WHERE event_id % 390 = 13 UNION ALL SELECT event_id // 20 + 1000000, 'y' FROM events WHERE event_id % 780 = 13),
+    headers AS (SELECT DISTINCT event_id // 20 AS page, true AS more, 'c' || (event_id // 20) AS since, 'c' || (event_id // 20 + CASE WHEN (event_id // 20) % 10 = 9 THEN 0 ELSE 1 END) AS checkpoint FROM events
+        UNION ALL SELECT DISTINCT page, false, 'c', 'c' FROM gone WHERE page >= 1000000),
+    changed AS (SELECT page, count(*) AS n, count(DISTINCT id) AS ids, bool_or(NOT (length(id) BETWEEN 1 AND 256 AND NOT regexp_matches(id, '[\\x00-\\x1F]'))) AS bad, min(version) < 1 AS low FROM sent GROUP BY page),
+    removed AS (SELECT g.page, count(*) AS n, count(DISTINCT g.id) AS ids, bool_or(NOT (length(g.id) BETWEEN 1 AND 256 AND NOT regexp_matches(g.id, '[\\x00-\\x1F]'))) AS bad, count(DISTINCT s.id) AS both FROM gone g LEFT JOIN (SELECT DISTINCT page, id FROM sent) s ON g.page = s.page AND g.id = s.id GROUP BY g.page)
+    SELECT h.page, CASE WHEN c.n > 19 THEN 'too-many' WHEN more AND since = checkpoint THEN 'no-progress' WHEN c.bad THEN 'invalid-id' WHEN c.low THEN 'invalid-version' WHEN c.n > c.ids THEN 'duplicate-id' WHEN r.bad THEN 'invalid-removal'
+        WHEN r.both > 0 THEN 'changed-and-removed' WHEN r.n > r.ids THEN 'repeated-removal' WHEN coalesce(c.ids, 0) + coalesce(r.ids, 0) > 19 THEN 'too-many' END AS fault
+    FROM headers h LEFT JOIN changed c ON h.page = c.page LEFT JOIN removed r ON h.page = r.page
 """)
 def feed_page_faults(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     page = F.floor(k / 20).cast("long")
     name = F.when(k % 500 == 7, F.lit("")).otherwise(derived.text("u", F.when(page % 3 == 0, F.col("user_id")).otherwise(k)))
-    since = page * 20 - F.when(page % 5 == 0, 0).otherwise(1) + F.when(page % 10 == 0, 40).otherwise(0)
-    sent = e.filter((k % 20 < 19) | (page % 7 == 0)).select(page.alias("page"), name.alias("id"), (k - F.when(page % 11 == 0, 221).otherwise(0)).alias("version"), since.alias("since"), F.lit(True).alias("has_more"))
-    removed = e.filter((k % 160 == 42) & (page % 3 != 0)).select(page.alias("page"), derived.text("u", k).alias("id"))
-    return feed.page_faults(sent, removed, "page", 19, "since")
+    sent = e.filter((k % 20 < 19) | (page % 7 == 0)).select(page.alias("page"), name.alias("id"), (k - F.when(page % 11 == 0, 221).otherwise(0)).alias("version"))
+    alone = page + 1_000_000  # pages of removals alone
+    odd = F.concat(F.lit("x"), F.when(k % 520 == 13, (k % 3).cast("string")).otherwise(F.char(1 + k % 40)))
+    gone = (
+        e.filter(k % 160 == 42).select(page.alias("page"), derived.text("u", k).alias("id"))
+        .unionByName(e.filter(k % 130 == 13).select(F.when(k % 260 == 13, page).otherwise(alone).alias("page"), odd.alias("id")))
+        .unionByName(e.filter(k % 390 == 13).select(alone.alias("page"), F.lit("y").alias("id"))).unionByName(e.filter(k % 780 == 13).select(alone.alias("page"), F.lit("y").alias("id")))
+    )
+    own = e.select(page.alias("page")).distinct().select("page", F.lit(True).alias("has_more"), F.concat(F.lit("c"), "page").alias("since"), F.concat(F.lit("c"), F.col("page") + F.when(F.col("page") % 10 == 9, 0).otherwise(1)).alias("checkpoint"))
+    headers = own.unionByName(gone.filter("page >= 1000000").select("page").distinct().select("page", F.lit(False).alias("has_more"), F.lit("c").alias("since"), F.lit("c").alias("checkpoint")))
+    return feed.page_faults(headers, sent, gone, "page", 19)
 
 
 SAMPLES = ", samples AS (SELECT s.scope, d.day, max(s.version) AS head FROM (SELECT 's' || (user_id % 4) AS scope, event_id + 1 AS version, CAST(ts AS DATE) AS day FROM events) s JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d ON s.day = d.day GROUP BY 1, 2)"
@@ -151,14 +181,28 @@ def membership_access(spark, sf_dir):
     return _access(spark, sf_dir).select("principal", "scope", "id", "version", "granted")
 
 
-def _page_sql(principal: str, since: int, limit: int, removal: str) -> str:
-    return sql(ACCESS + f""", mine AS (SELECT * FROM access WHERE principal = '{principal}' AND scope = 's1' AND version > {since} ORDER BY version LIMIT {limit})
-        SELECT m.id, m.version, CASE WHEN m.granted THEN 'change' ELSE '{removal}' END AS kind, d.updated_at FROM mine m LEFT JOIN docs d ON m.granted AND m.scope = d.scope AND m.id = d.id WHERE m.granted OR {since} > 0""", "docs")
+def _page_sql(principal: str, since: int, limit: int, removal: str, readable: str = "true") -> str:
+    return sql(ACCESS + f""", mine AS (SELECT *, row_number() OVER (ORDER BY version) AS n FROM access WHERE principal = '{principal}' AND scope = 's1' AND version > {since} ORDER BY version LIMIT {limit + 1}),
+        facts AS (SELECT count(*) > {limit} AS has_more, coalesce(max(version) FILTER (n <= {limit}), {since})::BIGINT AS checkpoint FROM mine),
+        found AS (SELECT m.id, m.version, CASE WHEN m.granted THEN 'change' ELSE '{removal}' END AS kind, d.updated_at FROM mine m LEFT JOIN docs d ON m.granted AND m.scope = d.scope AND m.id = d.id
+            WHERE n <= {limit} AND CASE WHEN m.granted THEN {readable} ELSE {since} > 0 END)
+        SELECT id, version, kind, updated_at, has_more, checkpoint FROM facts LEFT JOIN found ON true""", "docs")
 
 
-def _membership_page(spark, sf_dir, principal, since, limit, removals=True):
+def _membership_page(spark, sf_dir, principal, since, limit, removals=True, can_read=None):
     access, docs = _access(spark, sf_dir).filter("scope = 's1'"), derived.documents(spark, sf_dir)
-    return membership.membership_page(access, docs, principal, since, limit, ["scope", "id"], removals).select("id", "version", "kind", "updated_at")
+    page = membership.membership_page(access, docs, principal, since, limit, ["scope", "id"], removals, can_read)
+    return page.select("id", "version", "kind", "updated_at", "has_more", "checkpoint")
+
+
+@query(_page_sql("p1", 10**9, 5, "removal"))
+def membership_pull_at_the_head(spark, sf_dir):
+    return _membership_page(spark, sf_dir, "p1", 10**9, 5)
+
+
+@query(_page_sql("p1", 0, 5, "removal", "d.event_type = 'none'"))
+def membership_pull_unreadable(spark, sf_dir):
+    return _membership_page(spark, sf_dir, "p1", 0, 5, can_read=F.col("event_type") == "none")
 
 
 @query(_page_sql("p1", 0, 100, "removal"))
