@@ -10,7 +10,10 @@ MOST_COUNTER = 999_999
 
 
 def encode(wall: Column, counter: Column, node: Column) -> Column:
-    return F.concat_ws(":", F.lpad(wall.cast("string"), 15, "0"), F.lpad(counter.cast("string"), 6, "0"), node)
+    """The stamp; a counter beyond its width is carried to the wall."""
+    over = F.lit(MOST_COUNTER + 1)
+    whole, rest = wall + F.floor(counter / over), counter % over
+    return F.concat_ws(":", F.lpad(whole.cast("string"), 15, "0"), F.lpad(rest.cast("string"), 6, "0"), node)
 
 
 def valid(stamp: Column) -> Column:

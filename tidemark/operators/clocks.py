@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
-from tidemark.operators.numbering import lot_of, running_max
+from tidemark.operators.numbering import lot_of, number_rows, running_max
 
 
-def now_stamps(events: DataFrame, node: str, seq: str, physical: str) -> DataFrame:
-    """The stamp of each local event of a fresh clock per node, read in the order of seq.
+def now_stamps(events: DataFrame, node: str, seq: str, physical: str, counters: int = clock.MOST_COUNTER + 1) -> DataFrame:
+    """The stamp of each local event of a fresh clock per node, read in the order of seq (a number).
 
-    The wall is the running maximum of the physical time, the counter numbers the events of one wall: what the
-    clock's step-by-step rule gives. A busy node's events spread over lots of seq (a number); those of one wall are at
-    most as many as a counter counts.
+    Wall and counter as one number, wall * counters + counter, which each event raises by one or to its physical time: what
+    the clock's step-by-step rule gives, its carry included. So the n-th event of a node has n plus the running maximum of
+    (physical * counters - n), and a node's events spread over lots of seq, also while its clock stands still.
     """
-    walls = running_max(events, [node], [seq], lot_of(F.col(seq)), F.col(physical), "wall")
-    counted = walls.withColumn("counter", F.row_number().over(Window.partitionBy(node, "wall").orderBy(seq)) - 1)
-    return counted.withColumn("stamp", clock.encode(F.col("wall"), F.col("counter"), F.col(node).cast("string")))
+    numbered = number_rows(events, [node], [seq], lot_of(F.col(seq)), "_n")
+    ahead = F.col(physical).cast("long") * counters - F.col("_n")
+    ticks = running_max(numbered, [node], [seq], lot_of(F.col(seq)), ahead, "_t").withColumn("_t", F.col("_t") + F.col("_n"))
+    split = ticks.withColumn("wall", F.floor(F.expr(f"_t div {counters}"))).withColumn("counter", F.col("_t") % counters).drop("_t", "_n")
+    return split.withColumn("stamp", clock.encode(F.col("wall"), F.col("counter"), F.col(node).cast("string")))
 
 
 def update_clocks(events: DataFrame, node: str, seq: str, physical: str, remote: str, most_drift: int | None = None) -> DataFrame:

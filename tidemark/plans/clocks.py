@@ -41,6 +41,25 @@ def hlc_now(spark, sf_dir):
     return clocks.now_stamps(events, "node", "event_id", "physical").select("event_id", "stamp")
 
 
+@query("""
+    WITH p AS (SELECT event_id, user_id % 8 AS node, epoch_us(ts) // 1000 - CASE WHEN event_id % 3 = 0 THEN 5000000 ELSE 0 END AS physical, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events),
+    t AS (SELECT event_id, n + max(physical * 2 - n) OVER (PARTITION BY node ORDER BY event_id) AS t FROM p)
+    SELECT event_id, t // 2 AS wall, t % 2 AS counter FROM t
+""")
+def hlc_now_carried(spark, sf_dir):
+    """A counter that is full is carried to the wall; here it holds two values."""
+    physical = derived.millis("ts") - F.when(F.col("event_id") % 3 == 0, 5_000_000).otherwise(0)
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 8).alias("node"), physical.alias("physical"))
+    return clocks.now_stamps(events, "node", "event_id", "physical", 2).select("event_id", "wall", "counter")
+
+
+@query("""
+    SELECT event_id, lpad(CAST(w + c // 1000000 AS VARCHAR), 15, '0') || ':' || lpad(CAST(c % 1000000 AS VARCHAR), 6, '0') || ':n' AS stamp FROM (SELECT event_id, epoch_us(ts) // 1000 AS w, event_id * 12345 AS c FROM events)
+""")
+def hlc_encode_carried(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", clock.encode(derived.millis("ts"), F.col("event_id") * 12345, F.lit("n")).alias("stamp"))
+
+
 @query("""
     WITH RECURSIVE e AS (SELECT user_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, epoch_us(ts) // 1000 AS p,
         CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 + event_id % 7 * 1000 END AS rw, event_id % 5 AS rc FROM events),
