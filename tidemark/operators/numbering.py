@@ -13,14 +13,34 @@ def lot_of(number: Column) -> Column:
     return F.floor(number / LOT)
 
 
+def _dealt(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """rows dealt by lots. The window within a lot and the lots' totals read the same exchange, so that rows are made once.
+
+    Rows without a group or lot would find no total; dropped here, they leave nothing for the join to filter below one side alone.
+    """
+    known = F.lit(True)
+    for c in (*groups, "_lot"):
+        known &= F.col(c).isNotNull()
+    return rows.filter(known).repartition(*groups, "_lot")
+
+
+def _all(rows: DataFrame) -> Column:
+    """An aggregate that needs every column, as the window does: only equal exchanges are shared."""
+    return F.max(F.xxhash64(*rows.columns)).alias("_seen")
+
+
+def _once(totals: DataFrame) -> DataFrame:
+    return totals.filter(F.col("_seen").isNotNull()).drop("_seen")
+
+
 def running_total(rows: DataFrame, groups: list[str], order: list, lot: Column, value: Column, name: str) -> DataFrame:
     """rows with the sum of `value` over the rows of the group up to and with each, by `order`, which is unique there.
 
     lot must not decrease along the order. Sums run within a lot, and a lot starts at the total of those before it; only
     these totals, one row a lot, meet in a window by group.
     """
-    laid = rows.withColumn("_lot", lot).withColumn("_value", value)
-    totals = laid.groupBy(*groups, "_lot").agg(F.sum("_value").alias("_n"))
+    laid = _dealt(rows.withColumn("_lot", lot).withColumn("_value", value), groups)
+    totals = _once(laid.groupBy(*groups, "_lot").agg(F.sum("_value").alias("_n"), _all(laid)))
     before = Window.partitionBy(*groups).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*groups, "_lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -35,8 +55,8 @@ def number_rows(rows: DataFrame, groups: list[str], order: list, lot: Column, na
 
 def running_max(rows: DataFrame, groups: list[str], order: list, lot: Column, value: Column, name: str) -> DataFrame:
     """rows with the greatest `value` of the group up to and with each, in the way of running_total."""
-    laid = rows.withColumn("_lot", lot).withColumn("_value", value)
-    most = laid.groupBy(*groups, "_lot").agg(F.max("_value").alias("_m"))
+    laid = _dealt(rows.withColumn("_lot", lot).withColumn("_value", value), groups)
+    most = _once(laid.groupBy(*groups, "_lot").agg(F.max("_value").alias("_m"), _all(laid)))
     before = Window.partitionBy(*groups).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
     starts = most.withColumn("_start", F.max("_m").over(before)).drop("_m")
     inside = Window.partitionBy(*groups, "_lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

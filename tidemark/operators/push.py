@@ -56,18 +56,21 @@ def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: D
     bad = alone.select("*", first.alias("first_pos"), F.count(F.lit(1)).over(members()).alias("_members"))
     # Documents are claimed in processing order by operations that are well formed; these come first in the window. The
     # window and the join with the documents share one exchange, as do the receipts' join and the window by operation id.
-    claims = Window.partitionBy("scope", "document_id").orderBy("malformed", *order)
+    # Ids of malformed operations, which may all be empty, get a key of their own.
+    own = lambda c, wrong: F.when(F.col(wrong), F.concat(F.lit("\u0000"), F.col("pos").cast("string"))).otherwise(F.col(c))
+    bad = bad.withColumn("_claim", own("document_id", "malformed"))
+    claims = Window.partitionBy("scope", "_claim").orderBy("malformed", *order)
     d = documents.select(F.col("scope").alias("d_scope"), F.col("id").alias("d_id"), F.col("version").alias("current_version"), F.col("payload").alias("current_payload"))
     claimed = bad.withColumn("malformed", F.col("malformed") | (F.row_number().over(claims) > 1))
-    found = claimed.join(d, (F.col("scope") == F.col("d_scope")) & (F.col("document_id") == F.col("d_id")), "left")
+    found = claimed.join(d, (F.col("scope") == F.col("d_scope")) & (F.col("_claim") == F.col("d_id")), "left")
     size_is_wrong = ~id_valid(F.col("group")) | ~F.col("group_size").eqNullSafe(F.col("_members"))
     spoiled = F.bool_or(F.col("malformed") | size_is_wrong).over(members())
     marked = found.withColumn("invalid", F.col("malformed") | (grouped & F.coalesce(spoiled, F.lit(False))))
     r = receipts.select(F.col("operation_id").alias("r_id"), F.col("fingerprint").alias("r_print"), F.col("kind").alias("r_kind"), F.col("version").alias("r_version"), F.col("error_code").alias("r_code"))
-    replayed = marked.join(r, F.col("operation_id") == F.col("r_id"), "left")
+    replayed = marked.withColumn("_use", own("operation_id", "malformed")).join(r, F.col("_use") == F.col("r_id"), "left")
     # An operation id that an earlier unit of the request used stands for another document: its receipt differs.
     unit = F.struct(grouped.alias("g"), F.col("first_pos").alias("p"))
-    uses = Window.partitionBy("operation_id", "scope").orderBy("invalid", *order)
+    uses = Window.partitionBy("_use", "scope").orderBy("invalid", *order)
     used = replayed.withColumn("used_before", F.first(unit).over(uses) != unit)
     f = feeds.select(F.col("scope").alias("f_scope"), "head", "purged_through")
     joined = used.join(f, F.col("scope") == F.col("f_scope"), "left")
