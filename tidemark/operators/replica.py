@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions import clock
+from tidemark.operators.numbering import lot_of, number_rows
+
 RECORD = "id STRING, current STRING, base STRING, base_version BIGINT, is_dirty BOOLEAN, local_revision BIGINT, pending_op STRING, pending_revision BIGINT, pending_group STRING, rejection STRING, observed STRING, observed_version BIGINT, generation BIGINT, missing BOOLEAN, conflict STRING, conflict_version BIGINT, group_id STRING"
 COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 _TYPES = {c.split()[0]: c.split()[1] for c in RECORD.split(", ")}
@@ -240,14 +243,18 @@ def import_changes(records: DataFrame, exported: DataFrame, generation: int) ->
     return records.join(taken.select("id"), "id", "left_anti").unionByName(taken), skipped
 
 
-def prepare(records: DataFrame, candidates: Column) -> DataFrame:
-    """Operations to send: of each candidate the pending one if its group still fits, else a new one.
+def prepare(records: DataFrame, candidates: Column, pending_size: Column | None = None) -> DataFrame:
+    """Operations to send: of each candidate the pending one if its group and that group's size still fit, else a new one.
 
-    A group is sent only if all its candidates are ready. Returns id, group_id, group_size, renew.
+    A group is as large as its candidates are many, and is sent only if all of them may be. pending_size: the size of the group when
+    the pending operation was made. Returns id, group_id, group_size, renew.
     """
-    size = F.count(F.lit(1)).over(members())
-    chosen = records.filter(candidates & pushable()).withColumn("group_size", F.when(F.col("group_id").isNotNull(), size).otherwise(F.lit(0)).cast("long"))
+    chosen = records.filter(candidates)
+    size = F.when(F.col("group_id").isNotNull(), F.count(F.lit(1)).over(members())).otherwise(F.lit(0)).cast("long")
+    chosen = chosen.withColumns({"group_size": size, "_whole": F.bool_and(pushable()).over(members())}).filter(pushable() & (F.col("group_id").isNull() | F.col("_whole")))
     renew = F.col("pending_op").isNull() | ~F.col("pending_group").eqNullSafe(F.col("group_id"))
+    if pending_size is not None:
+        renew = renew | ~F.coalesce(pending_size, F.lit(0)).eqNullSafe(F.col("group_size"))
     return chosen.select("id", "group_id", "group_size", renew.alias("renew"))
 
 
@@ -264,12 +271,24 @@ def park(records: DataFrame, failed: DataFrame, code: str = "group-failed") -> D
     return changed(both, F.col("_g").isNotNull() & F.col("is_dirty") & F.col("rejection").isNull(), rejection=F.lit(code)).drop("_g")
 
 
-def restamp(records: DataFrame) -> DataFrame:
-    """Rejected for clock skew, and the rest of their groups: (id, place) in the order in which they get new stamps."""
+def restamp(records: DataFrame, node: str, now_ms: int, updated_at: str = "updated_at", most_ahead_ms: int = 300_000) -> DataFrame:
+    """(id, place, stamp): new stamps for what was rejected for clock skew, and for the failed rest of those groups, in the order of the old ones.
+
+    The clock goes back to the latest stamp of the other records that isn't too far ahead, and then gives stamps in turn.
+    """
     skewed = F.col("rejection") == "clock-skew"
     with_group = F.bool_or(skewed).over(members())
-    hit = records.withColumn("_s", F.when(F.col("group_id").isNotNull(), with_group).otherwise(skewed)).filter(F.col("_s") & F.col("rejection").isin("clock-skew", "group-failed"))
-    return hit.drop("_s")
+    hit = records.withColumn("_s", F.coalesce(F.when(F.col("group_id").isNotNull(), with_group).otherwise(skewed) & F.col("rejection").isin("clock-skew", "group-failed"), F.lit(False)))
+    wall = clock.parse(F.col(updated_at))["wall"]
+    last = hit.filter(~F.col("_s") & (wall <= now_ms + most_ahead_ms)).agg(F.max(updated_at).alias("_floor"))  # one row
+    over = clock.MOST_COUNTER + 1
+    floor = clock.parse(F.col("_floor"))
+    ticks = F.greatest(F.coalesce(floor["wall"] * over + floor["counter"], F.lit(0)) + 1, F.lit(now_ms * over))
+    targets = hit.filter("_s").select("id", F.col(updated_at).alias("_old"), F.lit(0).alias("_all"))
+    lots = F.coalesce(lot_of(clock.parse(F.col("_old"))["wall"]), F.lit(-1))
+    numbered = number_rows(targets, ["_all"], ["_old", "id"], lots).crossJoin(F.broadcast(last)).withColumn("place", F.col("number") - 1)
+    stamp = clock.encode(F.floor((ticks + F.col("place")) / over), (ticks + F.col("place")) % over, F.lit(node))
+    return numbered.select("id", "place", stamp.alias("stamp"))
 
 
 def batches(units: DataFrame, most_bytes: int, request: list[str], order: str = "pos") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import clock
 from tidemark.functions.ids import id_order
 from tidemark.operators import replica, status
 from tidemark.plans.registry import query
@@ -228,9 +229,11 @@ def import_changes(spark, sf_dir):
     return replica.import_changes(clean, replica.export_changes(records), 1)[0].select("id", "generation", "missing")
 
 
-@query(sql("SELECT id, group_id, CASE WHEN group_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY group_id) END AS group_size, pending_op IS NULL OR pending_group IS DISTINCT FROM group_id AS renew FROM records WHERE is_dirty AND rejection IS NULL", "records"))
+@query(sql("""SELECT id, group_id, group_size, pending_op IS NULL OR pending_group IS DISTINCT FROM group_id OR CASE WHEN group_id IS NULL THEN 0 ELSE 2 END <> group_size AS renew
+    FROM (SELECT *, CASE WHEN group_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY group_id) END AS group_size, bool_and(is_dirty AND rejection IS NULL) OVER (PARTITION BY group_id) AS whole FROM records) WHERE is_dirty AND rejection IS NULL AND (group_id IS NULL OR whole)""", "records"))
 def push_prepare(spark, sf_dir):
-    return replica.prepare(derived.records(spark, sf_dir), F.lit(True))
+    """Pending operations were made for groups of two; a group with a rejected member isn't sent."""
+    return replica.prepare(derived.records(spark, sf_dir), F.lit(True), F.when(F.col("group_id").isNotNull(), 2).otherwise(0))
 
 
 @query(sql("SELECT id, CASE WHEN group_id IS NULL THEN k % 7 = 0 ELSE bool_or(k % 7 = 0) OVER (PARTITION BY group_id) END AS held FROM records WHERE is_dirty AND rejection IS NULL", "records"))
@@ -245,9 +248,17 @@ def group_park(spark, sf_dir):
     return replica.park(records, records.filter("rejection = 'invalid' and group_id is not null").select("group_id")).select("id", "rejection")
 
 
-@query(sql("SELECT id FROM (SELECT *, CASE WHEN group_id IS NULL THEN rejection = 'clock-skew' ELSE bool_or(rejection = 'clock-skew') OVER (PARTITION BY group_id) END AS s FROM records) WHERE s AND rejection IN ('clock-skew', 'group-failed')", "records"))
+NOW = 900_000
+
+
+@query(sql(f""", marked AS (SELECT *, coalesce(CASE WHEN group_id IS NULL THEN rejection = 'clock-skew' ELSE bool_or(rejection = 'clock-skew') OVER (PARTITION BY group_id) END AND rejection IN ('clock-skew', 'group-failed'), false) AS s FROM records),
+    placed AS (SELECT id, row_number() OVER (ORDER BY k) - 1 AS place FROM marked WHERE s),
+    ticked AS (SELECT id, place, greatest((SELECT max(k * 100 * 1000000 + k % 7) FROM marked WHERE NOT s AND k * 100 <= {NOW} + 300000) + 1, {NOW}::BIGINT * 1000000) + place AS t FROM placed)
+    SELECT id, place, lpad(CAST(t // 1000000 AS VARCHAR), 15, '0') || ':' || lpad(CAST(t % 1000000 AS VARCHAR), 6, '0') || ':me' AS stamp FROM ticked""", "records"))
 def skew_restamp(spark, sf_dir):
-    return replica.restamp(derived.records(spark, sf_dir)).select("id")
+    records, k = derived.records(spark, sf_dir), F.substring("id", 2, 20).cast("long")
+    stamped = records.withColumn("updated_at", clock.encode(k * 100, k % 7, F.lit("n")))
+    return replica.restamp(stamped, "me", NOW)
 
 
 @query("""
