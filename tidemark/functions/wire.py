@@ -24,10 +24,13 @@ def operation(json: Column) -> Column:
 def operation_fault(op: Column, raw: Column) -> Column:
     """Why a pushed operation is malformed, or null; the first fault counts."""
     base = op["baseVersion"]
+    # Of the operation itself, whatever members its document has.
+    member = F.try_variant_get(F.try_parse_json(raw), "$.baseVersion", "variant")
+    kind = F.schema_of_variant(member)
     return (
         F.when(op.isNull() | op["_bad"].isNotNull(), "json")
-        .when(~raw.rlike('"baseVersion"'), "base-version-absent")
-        .when(raw.rlike('"baseVersion" *: *[0-9]'), "base-version-number")
+        .when(member.isNull(), "base-version-absent")
+        .when(~kind.isin("STRING", "VOID"), "base-version-number")
         .when(~id_valid(op["operationId"]), "operation-id")
         .when(~id_valid(op["documentId"]), "document-id")
         .when(base.isNotNull() & int64(base).isNull(), "base-version")

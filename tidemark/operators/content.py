@@ -57,7 +57,7 @@ def reserve(entries: DataFrame, additional: int, soft: int, hard: int, page: int
     # A pass is needed while its start is above the hard budget (the first is always made); in it, go down to the soft one.
     per_pass = placed.withColumn("_pass", F.floor((F.col("_n") - 1) / page))
     begins = per_pass.groupBy("_pass").agg(F.max("_left").alias("_begin"))
-    runs = per_pass.join(F.broadcast(begins) if page > 1 else begins, "_pass")
+    runs = per_pass.join(begins, "_pass")
     made = (F.col("_pass") == 0) | (F.col("_begin") > hard - additional)
     return runs.filter(made & (F.col("_left") > soft - additional)).select("sha256", "bytes")
 
@@ -82,12 +82,12 @@ def reconcile(metadata: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def chunks(blobs: DataFrame, content: str, chunk_bytes: int) -> DataFrame:
-    """Chunks of each blob: id, chunk (from 0), bytes, sha256. An empty blob has none."""
-    n = F.ceil(F.octet_length(content) / chunk_bytes).cast("int")
-    placed = blobs.withColumn("_c", F.col(content).cast("binary")).filter(F.octet_length(content) > 0)
-    cut = placed.select("id", "_c", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    part = F.substring(F.col("_c"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return cut.select("id", "chunk", F.octet_length(part).alias("bytes"), F.sha2(part, 256).alias("sha256"))
+    """Chunks of each blob: id, chunk (from 0), bytes, sha256. An empty blob has none. Chunks are cut and hashed in the blob's row, so none is multiplied."""
+    data = F.col(content).cast("binary")
+    n = F.ceil(F.octet_length(data) / chunk_bytes).cast("int")
+    part = lambda i: F.substring(data, i * chunk_bytes + 1, F.lit(chunk_bytes))
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk"), F.octet_length(part(i)).alias("bytes"), F.sha2(part(i), 256).alias("sha256")))
+    return blobs.filter(F.octet_length(data) > 0).select("id", F.explode(cut).alias("c")).select("id", "c.*")
 
 
 def chunk_map(sizes: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -132,7 +132,7 @@ def assemble(parts: DataFrame, expected: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("offset", "data")))
     joined = parts.groupBy("id").agg(ordered.alias("p"))
     ends = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("end"), F.lit(True).alias("ok")), lambda s, x: F.struct((s["end"] + F.octet_length(x["data"])).alias("end"), (s["ok"] & (x["offset"] == s["end"])).alias("ok")))
-    content_ = F.aggregate(F.transform("p", lambda x: x["data"]), F.lit(b""), lambda s, x: F.concat(s, x))
+    content_ = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["data"])), ""))  # each byte is copied a few times, however many parts
     put = joined.select("id", ends.alias("e"), content_.alias("content"))
     done = put.join(expected.select(F.col("id").alias("_i"), "sha256", "size"), F.col("id") == F.col("_i"))
     state = (

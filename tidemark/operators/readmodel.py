@@ -19,12 +19,20 @@ def rebuild(rows: DataFrame, path: str, generation: str, id_col: str = "id") ->
         raise ValueError("a read model has each row id once")
     spark = rows.sparkSession
     rows.write.mode("errorifexists").parquet(f"{path}/generations/{generation}")
-    spark.createDataFrame([(generation,)], "generation string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    number = 1 + max((r["number"] for r in _pointers(spark, path)), default=0)
+    spark.createDataFrame([(generation, number)], "generation string, number long").coalesce(1).write.mode("errorifexists").parquet(f"{path}/pointer/turn={number}")
+
+
+def _pointers(spark: SparkSession, path: str) -> list:
+    """The last pointer. Each has a folder named by its number, so of two rebuilds at once one fails instead of both being the newest."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/pointer")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return spark.read.parquet(f"{path}/pointer").agg(F.max("number").alias("number"), F.max_by("generation", "number").alias("generation")).collect()
 
 
 def active(spark: SparkSession, path: str) -> DataFrame:
-    newest = spark.read.parquet(f"{path}/pointer").agg(F.max_by("generation", "at")).first()[0]
-    return spark.read.parquet(f"{path}/generations/{newest}")
+    return spark.read.parquet(f"{path}/generations/{_pointers(spark, path)[0]['generation']}")
 
 
 def storage(rows: DataFrame, payload: str, generation: str = "generation") -> DataFrame:
