@@ -37,7 +37,7 @@ class Range:
         if self.high is not None:
             upper = key <= F.lit(self.high) if self.high_inclusive else key < F.lit(self.high)
             found = found & (upper if self.low is not None else (upper | key.isNull()))
-        return F.coalesce(found, F.lit(False))
+        return found  # null, which a filter takes for false, so that bounds reach the scan
 
     def order(self, id_col: str) -> list[Column]:
         key, i = F.col(self.key), id_order(F.col(id_col))
@@ -53,7 +53,7 @@ class Range:
             beyond = (key < F.lit(key_value)) | key.isNull()
         else:
             beyond = key > F.lit(key_value)
-        return F.coalesce(beyond, F.lit(False)) | tie
+        return beyond | tie
 
 
 def select(rows: DataFrame, where: Column | None = None, index: Range | None = None, order: list | None = None, skip: int = 0, limit: int = 100, id_col: str = "id", deleted: str = "deleted") -> DataFrame:
