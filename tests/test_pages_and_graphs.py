@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, wire
-from tidemark.operators import clocks, feed, numbering, readmodel, replica, status
+from tidemark.operators import clocks, feed, numbering, queries, readmodel, replica, status
 from tidemark.sources import stores
 
 
@@ -99,3 +99,11 @@ def test_sql_authority(spark, tmp_path):
     read = stores.jdbc_authority(spark, url, "APP", partitions=4, **driver)
     assert {k: v.count() for k, v in read.items()} == {"documents": 100, "receipts": 3, "feeds": 1, "access": 7}
     assert read["documents"].rdd.getNumPartitions() == 4 and read["documents"].select(F.sum("version")).first()[0] == 5050
+
+
+def test_records_are_written_whole_batches_at_a_time(spark):
+    records = spark.createDataFrame([("a", 1, "a1"), ("b", 5, "b5"), ("c", 2, "c2")], "key string, revision long, value string")
+    rows = [(1, "a", 1, "new"), (1, "d", None, "born"), (2, "b", 4, "stale"), (2, "c", 2, "lost"), (3, "a", 1, "late"), (3, "e", None, "late"), (4, "c", 2, None), (5, "f", None, "fenced")]
+    mutations = spark.createDataFrame(rows, "batch long, key string, expected long, value string")
+    got = sorted(tuple(r) for r in queries.write_records(records, mutations, F.col("batch") != 5).collect())
+    assert got == [("a", 2, "new"), ("b", 5, "b5"), ("d", 1, "born")]

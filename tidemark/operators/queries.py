@@ -107,6 +107,21 @@ def compare_and_set(records: DataFrame, mutations: DataFrame, fence: Column) ->
     return met.groupBy("batch").agg(F.bool_and("_met").alias("applied"), F.count(F.lit(1)).alias("n"))
 
 
+def write_records(records: DataFrame, mutations: DataFrame, fence: Column) -> DataFrame:
+    """The records (key, revision, value) after all batches that apply: each record they write gets the next revision, 1 if it is new.
+
+    mutations: batch, key, expected, value (null deletes). Batches are decided together; of those that write one key only the
+    least may apply, as the others would meet a revision that is gone.
+    """
+    decided = compare_and_set(records, mutations.select("batch", "key", "expected"), fence).filter("applied").select(F.col("batch").alias("_b"))
+    met = mutations.join(decided, F.col("batch") == F.col("_b"), "left_semi")
+    first = met.groupBy(F.col("key").alias("_f")).agg(F.min("batch").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    late = met.join(first.filter("_n > 1"), F.col("key") == F.col("_f")).filter("batch != _least").select(F.col("batch").alias("_l")).distinct()
+    done = met.join(late, F.col("batch") == F.col("_l"), "left_anti").select(F.col("key").alias("_k"), F.col("value").alias("_v"))
+    both = records.select("key", "revision", "value").join(done, F.col("key") == F.col("_k"), "full_outer").filter(F.col("_k").isNull() | F.col("_v").isNotNull())
+    return both.select(F.coalesce("key", "_k").alias("key"), (F.coalesce("revision", F.lit(0)) + F.when(F.col("_k").isNotNull(), 1).otherwise(0)).cast("long").alias("revision"), F.when(F.col("_k").isNotNull(), F.col("_v")).otherwise(F.col("value")).alias("value"))
+
+
 def index_signature(indexes: DataFrame, keys: list[str]) -> DataFrame:
     """One text per collection of its declared indexes' names and versions; a change of it calls for a rebuild."""
     entry = F.concat_ws("@", "name", F.col("version").cast("string"))

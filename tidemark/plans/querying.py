@@ -118,6 +118,22 @@ def kv_compare_and_set(spark, sf_dir):
     return queries.compare_and_set(_kv(spark, sf_dir), mutations, F.col("batch") % 10 != 0)
 
 
+@query(f"""WITH {_KV}, m AS (SELECT event_id // 3 AS batch, CASE event_id % 4 WHEN 0 THEN 'blob/' WHEN 1 THEN 'job/' WHEN 2 THEN 'package/' ELSE 'y/' END || event_id AS key, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 50 = 0 THEN 99 ELSE event_id % 5 END AS expected,
+        CASE WHEN event_id % 7 <> 0 THEN 'v' || event_id END AS v FROM events),
+    b AS (SELECT batch FROM m LEFT JOIN kv ON m.key = kv.key GROUP BY batch HAVING bool_and(revision IS NOT DISTINCT FROM expected AND batch % 10 <> 0)),
+    w AS (SELECT key AS k, v FROM m WHERE batch IN (SELECT batch FROM b))
+    SELECT coalesce(key, k) AS key, CASE WHEN k IS NULL THEN revision ELSE coalesce(revision, 0) + 1 END AS revision, CASE WHEN k IS NULL THEN props ELSE v END AS value
+    FROM kv FULL JOIN w ON kv.key = w.k WHERE k IS NULL OR v IS NOT NULL""")
+def kv_write(spark, sf_dir):
+    k = F.col("event_id")
+    prefix = F.when(k % 4 == 0, "blob/").when(k % 4 == 1, "job/").when(k % 4 == 2, "package/").otherwise("y/")
+    expected = F.when(k % 4 == 3, F.lit(None)).when(k % 50 == 0, 99).otherwise(k % 5)
+    mutations = table(spark, sf_dir, "events").select(
+        F.floor(k / 3).cast("long").alias("batch"), F.concat(prefix, k.cast("string")).alias("key"), expected.cast("long").alias("expected"), F.when(k % 7 != 0, derived.text("v", k)).alias("value")
+    )
+    return queries.write_records(_kv(spark, sf_dir).withColumnRenamed("props", "value"), mutations, F.col("batch") % 10 != 0)
+
+
 @query("SELECT p_brand, string_agg(p_type || '@' || p_size, ';' ORDER BY p_type || '@' || p_size) AS signature FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part) GROUP BY p_brand")
 def index_signature(spark, sf_dir):
     indexes = table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("name"), F.col("p_size").alias("version")).distinct()
