@@ -89,6 +89,36 @@ def purge_receipts(receipts: DataFrame, through: Column) -> DataFrame:
     return receipts.filter(~((F.col("kind") == "accepted") & (F.col("version") <= through)))
 
 
+def retention_run(documents: DataFrame, receipts: DataFrame, access: DataFrame, feeds: DataFrame, samples: DataFrame, now: int, offline: int, keep_receipts: int | None = None) -> dict[str, DataFrame]:
+    """documents, receipts, access, feeds and samples after a run that purges what is older than its horizon.
+
+    feeds: scope, head, purged_through; samples: scope, at, head of earlier runs, to which this run adds one a feed. What was
+    the head a horizon ago is old enough: tombstones up to it go with their access rows, and purged_through rises to it;
+    accepted receipts go up to the head of their own horizon, which is never the shorter one. Of the samples, those
+    that no later run can need go. now, at and the horizons are numbers of one unit.
+    """
+    keep = offline if keep_receipts is None else keep_receipts
+    if offline <= 0 or keep < offline:
+        raise ValueError("horizons are positive, and receipts stay at least as long as replicas may be offline")
+    taken = samples.select("scope", "at", "head").unionByName(feeds.select("scope", F.lit(now).cast("long").alias("at"), "head"))
+    as_of = lambda cutoff: F.max_by(F.when(F.col("at") <= cutoff, F.col("head")), F.when(F.col("at") <= cutoff, F.col("at")))
+    per = taken.groupBy(F.col("scope").alias("_s")).agg(as_of(now - offline).alias("_tombstones"), as_of(now - keep).alias("_receipts"), F.max(F.when(F.col("at") <= now - keep, F.col("at"))).alias("_from"))
+    raised = feeds.join(per, F.col("scope") == F.col("_s"), "left").withColumn("_through", F.least("_tombstones", "head"))  # a feed may have been restored to a lower head
+    horizons = raised.select(F.col("scope").alias("_s"), F.col("_through").alias("_t"), F.col("_receipts").alias("_r"))
+    beside = lambda rows: rows.join(horizons, F.col("scope") == F.col("_s"), "left")
+    old = F.coalesce(F.col("deleted") & (F.col("version") <= F.col("_t")), F.lit(False))
+    marked = beside(documents)
+    gone = marked.filter(old).select(F.col("scope").alias("_gs"), F.col("id").alias("_gi"))
+    done = F.coalesce((F.col("kind") == "accepted") & (F.col("version") <= F.col("_r")), F.lit(False))
+    return {
+        "documents": marked.filter(~old).select(*documents.columns),
+        "receipts": beside(receipts).filter(~done).select(*receipts.columns),
+        "access": access.join(gone, (F.col("scope") == F.col("_gs")) & (F.col("id") == F.col("_gi")), "left_anti"),
+        "feeds": raised.withColumn("purged_through", F.greatest("purged_through", "_through")).select(*feeds.columns),
+        "samples": taken.join(per, F.col("scope") == F.col("_s"), "left").filter(F.col("_from").isNull() | (F.col("at") >= F.col("_from"))).select("scope", "at", "head"),
+    }
+
+
 def restored_heads(heads_: DataFrame, backup: DataFrame, scope: str = "scope") -> DataFrame:
     """Where a feed goes on after a restore under a new epoch: no version is used again."""
     both = heads_.join(backup.withColumnRenamed("head", "backup_head"), scope, "full_outer")

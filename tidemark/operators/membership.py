@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.feed import page_with_facts
+from tidemark.operators.feed import list_page, page_with_facts
 
 
 def access_rows(writes: DataFrame, keys: list[str], readers: str = "readers", version: str = "version", deleted: str = "deleted") -> DataFrame:
@@ -45,6 +45,18 @@ def readable(documents: DataFrame, access: DataFrame, principal: str, keys: list
     return documents.join(access.filter((F.col("principal") == principal) & F.col("granted")), keys, "left_semi")
 
 
+def get(documents: DataFrame, access: DataFrame, principal: str, ids: list[str], keys: list[str], can_read: Column | None = None, id_col: str = "id") -> DataFrame:
+    """The documents of some ids, deleted ones included, that a principal has access to and that can_read lets through."""
+    found = readable(documents.filter(F.col(id_col).isin(ids)), access, principal, keys)
+    return found if can_read is None else found.filter(can_read)
+
+
+def list_readable(documents: DataFrame, access: DataFrame, principal: str, after: Column | None, limit: int, keys: list[str], can_read: Column | None = None) -> DataFrame:
+    """A page of live documents by id, of those a principal may read: here both filters precede the limit."""
+    found = readable(documents, access, principal, keys)
+    return list_page(found if can_read is None else found.filter(can_read), after, limit)
+
+
 def orphaned(access: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
     """Access rows whose document is gone, to be deleted with a purge."""
     return access.join(documents, keys, "left_anti")

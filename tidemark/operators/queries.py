@@ -84,9 +84,79 @@ def count(rows: DataFrame, where: Column | None = None, index: Range | None = No
     return found.agg(F.count(F.lit(1)).alias("n"))
 
 
-def key_token(value: Column) -> Column:
-    """Order-preserving text of a 64-bit integer key: null first, then the sign-flipped hexadecimal digits."""
-    return F.when(value.isNull(), F.lit("0")).otherwise(F.concat(F.lit("2"), F.lpad(F.hex(value.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")))
+#: Fixed values of key tokens: what comes first by kind (null is "0"), the token of NaN, and days and ticks from year 1 to 1970.
+TAGS = {"boolean": "1", "integer": "2", "real": "4", "instant": "5", "date": "6", "text": "s"}
+NAN_TOKEN = "4ffffffffffffffff~"
+DAYS_BEFORE_1970 = 719_162
+TICKS_BEFORE_1970 = 621_355_968_000_000_000
+
+
+def magnitude_bits(value: Column) -> Column:
+    """The 63 bits of a double without its sign, as a long. No cast keeps them, so they are made of exponent and fraction.
+
+    Powers of two and quotients by them are exact, so the bits are.
+    """
+    size = F.abs(value)
+    near = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))  # the logarithm may be off by one
+    power = F.pow(F.lit(2.0), near.cast("double"))
+    low, high = size < power, size / F.lit(2.0) >= power
+    exponent = near + F.when(low, -1).when(high, 1).otherwise(0)
+    scale = F.when(low, power / F.lit(2.0)).when(high, power * F.lit(2.0)).otherwise(power)
+    normal = (exponent + 1023) * F.lit(2**52) + ((size / scale - F.lit(1.0)) * F.lit(2.0**52)).cast("long")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    return F.when(size == F.lit(float("inf")), F.lit(2047 * 2**52)).when(size < F.lit(2.0**-1022), tiny).otherwise(normal)
+
+
+def key_token(value: Column, kind: str = "integer") -> Column:
+    """Text whose order is that of the keys: null first, then the kind's tag, and numbers by digits of fixed width.
+
+    kind: boolean, integer (64 bits), real (floats and decimals, by their double; NaN last, -0 as 0), instant, date or text.
+    """
+    digits = lambda c, width=16: F.lpad(F.lower(F.hex(c)), width, "0")
+    real = value.cast("double")
+    body = {
+        "boolean": lambda: value.cast("int").cast("string"),
+        "integer": lambda: digits(value.cast("long").bitwiseXOR(F.lit(-(2**63)))),
+        "real": lambda: digits(magnitude_bits(real).bitwiseXOR(F.when(real < 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63))))),
+        "instant": lambda: digits(F.unix_micros(value.cast("timestamp")) * 10 + TICKS_BEFORE_1970),
+        "date": lambda: digits(F.unix_date(value) + DAYS_BEFORE_1970, 8),
+        "text": lambda: value,
+    }[kind]()
+    found = F.concat(F.lit(TAGS[kind]), body)
+    if kind == "real":
+        found = F.when(F.isnan(real), NAN_TOKEN).otherwise(found)
+    return F.when(value.isNull(), F.lit("0")).otherwise(found)
+
+
+def index_entries(rows: DataFrame, tokens: dict[str, Column], id_col: str = "id", deleted: str = "deleted") -> DataFrame:
+    """(index, key, id) of the live rows, an entry for each index; tokens: key tokens by the index's name."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("index"), token.alias("key")) for name, token in tokens.items())))
+    return rows.filter(~F.col(deleted)).select(each.alias("_e"), F.col(id_col).alias("id")).select("_e.index", "_e.key", "id")
+
+
+def entry_page(entries: DataFrame, index: str, low: str | None = None, high: str | None = None, after: tuple[str, str] | None = None, limit: int = 100) -> DataFrame:
+    """A page of an index's entries by (key, id), between two tokens and after a cursor; bounds reach the scan of stored entries."""
+    found = entries.filter(F.col("index") == index)
+    if low is not None:
+        found = found.filter(F.col("key") >= low)
+    if high is not None:
+        found = found.filter(F.col("key") <= high)
+    if after is not None:
+        key, i = after
+        found = found.filter(F.col("key") >= key).filter((F.col("key") > key) | (id_order(F.col("id")) > id_order(F.lit(i))))
+    return found.orderBy(id_order(F.col("key")), id_order(F.col("id"))).limit(limit)
+
+
+def rows_of(page: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows a page of entries stands for, in its order. A page has a limit, so it may be broadcast."""
+    p = page.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
+    return rows.join(F.broadcast(p), F.col(id_col) == F.col("_id")).orderBy(id_order(F.col("_key")), id_order(F.col("_id"))).drop("_key", "_id")
+
+
+def to_rebuild(stored: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
+    """Collections (keys) whose stored signature isn't the one declared now, or that have none: their entries are made anew."""
+    s = stored.select(*keys, F.col("signature").alias("_stored"))
+    return declared.join(s, keys, "left").filter(~F.col("signature").eqNullSafe(F.col("_stored"))).drop("_stored")
 
 
 def prefix_page(records: DataFrame, prefix: str, after: str | None, limit: int) -> DataFrame:

@@ -252,3 +252,58 @@ def batch_coalesce(spark, sf_dir):
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("long")
     requests = table(spark, sf_dir, "events").select("event_id", "event_type", slot.alias("slot"))
     return requests.withColumn("served", F.row_number().over(Window.partitionBy("slot", "event_type").orderBy("event_id")) == 1)
+
+
+@query(sql(ACCESS + " SELECT d.scope, d.id, d.version, d.deleted FROM docs d JOIN access a ON a.scope = d.scope AND a.id = d.id WHERE a.principal = 'p1' AND a.granted AND d.id IN ('u1', 'u2', 'u3', 'u4', 'u5', 'u6', 'u7', 'u8', 'u9') AND d.value > 0.2", "docs"))
+def membership_get(spark, sf_dir):
+    ids = [f"u{i}" for i in range(1, 10)]
+    return membership.get(derived.documents(spark, sf_dir), _access(spark, sf_dir), "p1", ids, ["scope", "id"], F.col("value") > 0.2).select("scope", "id", "version", "deleted")
+
+
+@query(sql(ACCESS + " SELECT d.id, d.version FROM docs d JOIN access a ON a.scope = d.scope AND a.id = d.id WHERE a.principal = 'p2' AND a.granted AND NOT d.deleted AND d.id > 'u1' AND d.event_type <> 'click' ORDER BY d.id LIMIT 30", "docs"))
+def membership_list(spark, sf_dir):
+    return membership.list_readable(derived.documents(spark, sf_dir), _access(spark, sf_dir), "p2", F.lit("u1"), 30, ["scope", "id"], F.col("event_type") != "click").select("id", "version")
+
+
+# A run of retention on the last day, with horizons of 10 days for tombstones and 15 for receipts; scope s3 was restored to a lower head.
+RETENTION = f"""{SAMPLES}{ACCESS},
+    today AS (SELECT datediff('day', DATE '1970-01-01', CAST(max(ts) AS DATE)) AS now_ FROM events),
+    f AS (SELECT scope, CASE WHEN scope = 's3' THEN max(version) // 3 ELSE max(version) END AS head, CASE WHEN scope = 's2' THEN 10000000 ELSE 7 END AS purged_through FROM changelog GROUP BY scope),
+    taken AS (SELECT scope, datediff('day', DATE '1970-01-01', day) AS moment, head FROM samples WHERE datediff('day', DATE '1970-01-01', day) % 2 = 0 UNION ALL SELECT scope, now_, head FROM f, today),
+    h AS (SELECT scope, arg_max(head, moment) FILTER (moment <= now_ - 10) AS t, arg_max(head, moment) FILTER (moment <= now_ - 15) AS r, max(moment) FILTER (moment <= now_ - 15) AS since FROM taken, today GROUP BY scope),
+    b AS (SELECT f.scope, f.purged_through, f.head, least(h.t, f.head) AS t, h.r, h.since FROM f LEFT JOIN h ON f.scope = h.scope)"""
+
+
+def _retained(spark, sf_dir, part):
+    log, last = derived.changelog(spark, sf_dir), table(spark, sf_dir, "events").agg(F.unix_date(F.to_date(F.max("ts")))).first()[0]
+    head = F.max("version")
+    feeds_ = log.groupBy("scope").agg(F.when(F.col("scope") == "s3", F.floor(head / 3)).otherwise(head).cast("long").alias("head")).withColumn("purged_through", F.when(F.col("scope") == "s2", 10_000_000).otherwise(7).cast("long"))
+    samples = _samples(spark, sf_dir).withColumn("at", F.unix_date("at").cast("long")).filter("at % 2 = 0")
+    k = F.col("version")
+    receipts = log.select("scope", derived.text("op", k).alias("operation_id"), F.when(k % 3 == 0, "conflict").otherwise("accepted").alias("kind"), k)
+    return feed.retention_run(derived.documents(spark, sf_dir), receipts, _access(spark, sf_dir), feeds_, samples, last, 10, 15)[part]
+
+
+@query(sql(RETENTION + " SELECT d.scope, d.id, d.version, d.deleted FROM docs d LEFT JOIN b ON d.scope = b.scope WHERE NOT coalesce(d.deleted AND d.version <= b.t, false)", "docs"))
+def retention_documents(spark, sf_dir):
+    return _retained(spark, sf_dir, "documents").select("scope", "id", "version", "deleted")
+
+
+@query(sql(RETENTION + " SELECT c.scope, 'op' || version AS operation_id FROM changelog c LEFT JOIN b ON c.scope = b.scope WHERE NOT coalesce(version % 3 <> 0 AND version <= b.r, false)", "docs"))
+def retention_receipts(spark, sf_dir):
+    return _retained(spark, sf_dir, "receipts").select("scope", "operation_id")
+
+
+@query(sql(RETENTION + " SELECT a.principal, a.scope, a.id FROM access a WHERE NOT EXISTS (SELECT 1 FROM docs d JOIN b ON d.scope = b.scope WHERE d.scope = a.scope AND d.id = a.id AND d.deleted AND d.version <= b.t)", "docs"))
+def retention_access(spark, sf_dir):
+    return _retained(spark, sf_dir, "access").select("principal", "scope", "id")
+
+
+@query(sql(RETENTION + " SELECT scope, head, greatest(purged_through, coalesce(t, 0)) AS purged_through FROM b", "docs"))
+def retention_feeds(spark, sf_dir):
+    return _retained(spark, sf_dir, "feeds")
+
+
+@query(sql(RETENTION + " SELECT t.scope, t.moment AS \"at\", t.head FROM taken t LEFT JOIN b ON t.scope = b.scope WHERE b.since IS NULL OR t.moment >= b.since", "docs"))
+def retention_samples(spark, sf_dir):
+    return _retained(spark, sf_dir, "samples")

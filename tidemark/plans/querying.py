@@ -74,6 +74,71 @@ def index_key_token(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k, F.lower(token).alias("token"))
 
 
+#: A double's bits in SQL, in the order of key tokens.
+_REAL = """CASE WHEN x IS NULL THEN '0' WHEN isnan(x) THEN '4ffffffffffffffff~' ELSE '4' || (SELECT string_agg(printf('%x', CAST(CAST(substr(o, i, 4) AS BIT) AS INTEGER)), '' ORDER BY i)
+        FROM (SELECT CASE WHEN x < 0 THEN translate(b, '01', '10') ELSE '1' || substr(b, 2) END AS o FROM (SELECT CAST(CAST(CASE WHEN x = 0 THEN 0 ELSE x END AS BIT) AS VARCHAR) AS b)), range(1, 65, 4) r(i)) END"""
+
+
+def _doubles():
+    """Prices and values over all magnitudes, with both infinities, NaN, zeros and the least double."""
+    k, v = F.col("event_id"), F.col("value")
+    odd = [float("inf"), float("-inf"), float("nan"), 0.0, -0.0, 5e-324, None]
+    found = F.when(k % 2 == 0, v * F.pow(F.lit(2.0), (k % 2000 - 1000).cast("double"))).otherwise(-v)
+    for i, x in enumerate(odd):
+        found = F.when(k % 50 == i, F.lit(x).cast("double")).otherwise(found)
+    return found
+
+
+_DOUBLES = "CASE event_id % 50 WHEN 6 THEN NULL WHEN 5 THEN 5e-324 WHEN 4 THEN -0.0::DOUBLE WHEN 3 THEN 0 WHEN 2 THEN 'nan'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 0 THEN 'inf'::DOUBLE ELSE CASE WHEN event_id % 2 = 0 THEN value * pow(2.0, event_id % 2000 - 1000) ELSE -value END END"
+
+
+@query(f"SELECT event_id, {_REAL} AS token FROM (SELECT event_id, {_DOUBLES} AS x FROM events)")
+def index_key_token_real(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", queries.key_token(_doubles(), "real").alias("token"))
+
+
+@query("""
+    SELECT event_id, '5' || printf('%016x', epoch_us(ts) * 10 + 621355968000000000) AS instant, '6' || printf('%08x', datediff('day', DATE '0001-01-01', CAST(ts AS DATE))) AS day,
+        CASE WHEN event_id % 9 = 0 THEN '0' ELSE 's' || event_type END AS text, CASE WHEN event_id % 3 = 0 THEN '11' ELSE '10' END AS flag FROM events
+""")
+def index_key_token_kinds(spark, sf_dir):
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        k, queries.key_token(F.col("ts"), "instant").alias("instant"), queries.key_token(F.to_date("ts"), "date").alias("day"),
+        queries.key_token(F.when(k % 9 != 0, F.col("event_type")), "text").alias("text"), queries.key_token(k % 3 == 0, "boolean").alias("flag"),
+    )
+
+
+def _entries(spark, sf_dir):
+    return queries.index_entries(_parts(spark, sf_dir), {"size": queries.key_token(F.col("size")), "price": queries.key_token(F.col("price"), "real"), "brand": queries.key_token(F.col("p_brand"), "text")})
+
+
+@query(f"""
+    WITH {PARTS} SELECT 'size' AS "index", CASE WHEN size IS NULL THEN '0' ELSE printf('28%015x', size) END AS key, id FROM parts WHERE NOT deleted
+    UNION ALL SELECT 'price', {_REAL.replace(" x", " price").replace("(x", "(price")}, id FROM parts WHERE NOT deleted UNION ALL SELECT 'brand', 's' || p_brand, id FROM parts WHERE NOT deleted
+""")
+def index_entries(spark, sf_dir):
+    return _entries(spark, sf_dir)
+
+
+@query(f"WITH {PARTS} SELECT id, size, price FROM parts WHERE NOT deleted AND (size > 12 OR (size = 12 AND id > 'p3')) AND size <= 40 ORDER BY size, id LIMIT 60")
+def index_entry_page(spark, sf_dir):
+    token = lambda n: f"28{n:015x}"
+    page = queries.entry_page(_entries(spark, sf_dir), "size", token(5), token(40), (token(12), "p3"), 60)
+    return queries.rows_of(page, _parts(spark, sf_dir)).select("id", "size", "price")
+
+
+@query("""
+    WITH s AS (SELECT p_brand, p_type AS name, p_size AS version FROM part GROUP BY ALL), g AS (SELECT p_brand, string_agg(name || '@' || version, ';' ORDER BY name || '@' || version) AS signature FROM s GROUP BY p_brand),
+    o AS (SELECT p_brand, string_agg(name || '@' || version, ';' ORDER BY name || '@' || version) AS old FROM s WHERE p_brand <> 'Brand#11' AND (p_brand < 'Brand#3' OR version <> 7) GROUP BY p_brand)
+    SELECT g.p_brand, signature FROM g LEFT JOIN o ON g.p_brand = o.p_brand WHERE old IS DISTINCT FROM signature
+""")
+def index_rebuild(spark, sf_dir):
+    indexes = table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("name"), F.col("p_size").alias("version")).distinct()
+    before = indexes.filter("p_brand <> 'Brand#11' and (p_brand < 'Brand#3' or version <> 7)")
+    return queries.to_rebuild(queries.index_signature(before, ["p_brand"]), queries.index_signature(indexes, ["p_brand"]), ["p_brand"])
+
+
 @query(_sql("p_brand <> 'Brand#11'", "price DESC, id", 25, 10))
 def query_order_skip_limit(spark, sf_dir):
     return queries.select(_parts(spark, sf_dir), F.col("p_brand") != "Brand#11", order=[F.col("price").desc()], skip=10, limit=25).select("id", "size")
