@@ -7,7 +7,7 @@ is a conflict, keeps the server's value and names its JSON-pointer path.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +80,55 @@ def three_way(kind: T.StructType, base: Column, local: Column, server: Column, b
     }
 
 
+def members(json: Column) -> Column:
+    """The members of a JSON object as JSON text each, of one form for equal values; a member that is null is the text null."""
+    return F.transform_values(F.from_json(json, "map<string,variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
+def _name(key: Column) -> Column:
+    """JSON text of a member's name."""
+    return F.regexp_extract(F.to_json(F.struct(key.alias("k"))), r"(?s)^\{.k.:(.*)\}$", 1)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def merge_members(base: Column, local: Column, server: Column, path: Column | None = None, depth: int = 4) -> Column:
+    """struct(json, conflicts): the merge of JSON objects whose members no schema names, null counting as {}.
+
+    Members come in the order of the server, the local side and the base, those of objects within by name. An absent member is not a null one, so one
+    side's removal is a change as any other. Objects on all three sides are merged member by member, `depth` levels deep; below that
+    they are values as any other.
+    """
+    at = F.lit("") if path is None else path
+    none = F.array().cast("array<string>")
+    plain = lambda value, fault: F.struct(value.alias("json"), fault.alias("conflicts"))
+
+    def slot(name: Column, v: Column) -> Column:
+        own = F.concat(at, F.lit("/"), F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+        both = plain(v["s"], F.array(own))
+        if depth > 1:
+            objects = F.coalesce(v["b"].startswith("{") & v["l"].startswith("{") & v["s"].startswith("{"), F.lit(False))
+            both = F.when(objects, merge_members(v["b"], v["l"], v["s"], own, depth - 1)).otherwise(both)
+        value = F.when(same(v["l"], v["s"]) | same(v["b"], v["s"]), plain(v["l"], none)).when(same(v["b"], v["l"]), plain(v["s"], none)).otherwise(both)
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    def whole(m: Column) -> Column:
+        names = F.array_distinct(F.concat(F.map_keys(m["s"]), F.map_keys(m["l"]), F.map_keys(m["b"])))
+        sides = lambda name: F.struct(*(F.try_element_at(m[side], name).alias(side) for side in "bls"))
+        return F.transform(names, lambda name: _let(sides(name), lambda v: slot(name, v)))
+
+    def text(slots: Column) -> Column:
+        present = F.filter(slots, lambda x: x["value"]["json"].isNotNull())
+        body = F.array_join(F.transform(present, lambda x: F.concat(_name(x["name"]), F.lit(":"), x["value"]["json"])), ",")
+        return plain(F.concat(F.lit("{"), body, F.lit("}")), F.flatten(F.transform(slots, lambda x: x["value"]["conflicts"])))
+
+    maps = F.struct(*(members(F.coalesce(side, F.lit("{}"))).alias(name) for name, side in (("b", base), ("l", local), ("s", server))))
+    return _let(_let(maps, whole), text)
+
+
 def last_write_wins(fork_at: Column, master_at: Column) -> Column:
     """keep-fork only if the fork's stamp is later; a tie goes to the master."""
     return F.when(fork_at > master_at, "keep-fork").otherwise("use-master")

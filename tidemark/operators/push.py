@@ -43,11 +43,12 @@ def malformed() -> Column:
     )
 
 
-def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: DataFrame, now_ms: int, can_write: Column | None = None, may_read: Column | None = None, validator: Column | None = None, handler: Column | None = None) -> DataFrame:
+def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: DataFrame, now_ms: int, can_write: Column | None = None, may_read: Column | None = None, validator: Column | None = None, handler: Column | None = None, canonical: Column | None = None, arguments: Column | None = None) -> DataFrame:
     """ops with kind, error_code, current version where one decides, and duplicate; accepted where nothing speaks against it.
 
     can_write, may_read, validator (an error code or null) and handler (null to accept, or struct(kind, error_code)) are
-    expressions over the operation's columns and `current_version`, `current_payload`.
+    expressions over the operation's columns and `current_version`, `current_payload`. So are canonical, the payload a handler
+    stores in place of an accepted one (null keeps it), and arguments, a map of texts that goes with a fresh refusal.
     """
     grouped = F.col("group").isNotNull()
     first = F.when(grouped, F.min("pos").over(members())).otherwise(F.col("pos"))
@@ -93,7 +94,13 @@ def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: D
     decided = joined.withColumn("_o", ladder.otherwise(outcome("accepted")))
     duplicate = ~F.col("invalid") & F.coalesce(same, F.lit(False))
     version = F.when(duplicate, F.col("r_version")).when(F.col("_o.kind") == "conflict", F.col("current_version"))
-    return decided.select(*ops.columns, "fingerprint", "first_pos", F.col("_o.kind").alias("kind"), F.col("_o.error_code").alias("error_code"), version.alias("version"), duplicate.alias("duplicate"), "invalid", F.coalesce("head", F.lit(0)).alias("head"))
+    fresh = lambda kind: ~duplicate & (F.col("_o.kind") == kind)
+    own = {c: F.col(c) for c in ops.columns}
+    if canonical is not None:
+        own["payload"] = F.when(fresh("accepted"), F.coalesce(canonical, "payload")).otherwise(F.col("payload")).alias("payload")
+    if arguments is not None:
+        own["arguments"] = F.when(fresh("rejected"), F.map_entries(arguments)).alias("arguments")  # a map can't be hashed
+    return decided.select(*own.values(), "fingerprint", "first_pos", F.col("_o.kind").alias("kind"), F.col("_o.error_code").alias("error_code"), version.alias("version"), duplicate.alias("duplicate"), "invalid", F.coalesce("head", F.lit(0)).alias("head"))
 
 
 def settle_groups(evaluated: DataFrame) -> DataFrame:
@@ -117,7 +124,8 @@ def assign_versions(settled: DataFrame) -> DataFrame:
 def push(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: DataFrame, now_ms: int, **rules) -> DataFrame:
     """Outcome of each operation: scope, pos, operation_id, document_id, kind, version, error_code, duplicate (and fingerprint)."""
     done = assign_versions(settle_groups(evaluate(ops, documents, receipts, feeds, now_ms, **rules)))
-    return done.select("scope", "pos", "operation_id", "document_id", "kind", "version", "error_code", "duplicate", "fingerprint", "payload", "invalid")
+    extra = [F.map_from_entries("arguments").alias("arguments")] if "arguments" in done.columns else []
+    return done.select("scope", "pos", "operation_id", "document_id", "kind", "version", "error_code", "duplicate", "fingerprint", "payload", "invalid", *extra)
 
 
 def new_receipts(outcomes: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def magnitude_bits(value: Column) -> Column:
     size = F.abs(value)
     near = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))  # the logarithm may be off by one
     power = F.pow(F.lit(2.0), near.cast("double"))
-    low, high = size < power, size / F.lit(2.0) >= power
+    low, high = size < power, size >= power * F.lit(2.0)
     exponent = near + F.when(low, -1).when(high, 1).otherwise(0)
     scale = F.when(low, power / F.lit(2.0)).when(high, power * F.lit(2.0)).otherwise(power)
     normal = (exponent + 1023) * F.lit(2**52) + ((size / scale - F.lit(1.0)) * F.lit(2.0**52)).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.ids import id_order
+
 
 def repeated_ids(rows: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -35,6 +37,30 @@ def active(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/generations/{_pointers(spark, path)[0]['generation']}")
 
 
+def page(spark: SparkSession, path: str, after: str | None, limit: int, id_col: str = "id") -> DataFrame:
+    """Rows of the active generation after an id, in id order."""
+    rows = active(spark, path)
+    if after is not None:
+        rows = rows.filter(id_order(F.col(id_col)) > id_order(F.lit(after)))
+    return rows.orderBy(id_order(F.col(id_col))).limit(limit)
+
+
+def retired(spark: SparkSession, path: str) -> list[str]:
+    """Generations that have been active and no longer are; one that is being built has no pointer yet and isn't among them."""
+    last = {r["generation"] for r in _pointers(spark, path)}
+    return sorted({r["generation"] for r in spark.read.parquet(f"{path}/pointer").select("generation").distinct().collect()} - last) if last else []
+
+
+def collect_retired(spark: SparkSession, path: str, most: int = 8) -> list[str]:
+    """Delete at most so many retired generations, as readers of the one before may still be at work; returns their names."""
+    found = []
+    for name in retired(spark, path):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/generations/{name}")
+        if len(found) < most and folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True):
+            found.append(name)
+    return found
+
+
 def storage(rows: DataFrame, payload: str, generation: str = "generation") -> DataFrame:
     """Rows and bytes (two a character) of each generation."""
     return rows.groupBy(generation).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(payload) * 2).cast("long").alias("n_bytes"))

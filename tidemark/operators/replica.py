@@ -331,3 +331,16 @@ def resolve_kept(records: DataFrame, resolved: DataFrame) -> DataFrame:
     hit = F.col("_r").isNotNull() & F.col("conflict").isNotNull()
     new = {"current": F.col("_d"), "is_dirty": F.lit(True), "local_revision": F.col("local_revision") + 1, "missing": F.lit(False)}
     return changed(both, hit, **new, **{c: null(c) for c in ("rejection", "conflict", "conflict_version")}).drop("_r", "_d")
+
+
+def updated(records: DataFrame, updates: DataFrame, keep: Column) -> DataFrame:
+    """The records after a set of updates, with `changed`: an update's row replaces or adds its record, unless keep leaves it as it is.
+
+    updates: the records' columns and those keep uses; an id that comes twice is refused before anything changes, as is a null one.
+    """
+    faulty = updates.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).collect()
+    if faulty:
+        raise ValueError(f"an update has each record id once, not {faulty[0]['id']!r}")
+    new = updates.filter(~F.coalesce(keep, F.lit(False))).select(F.struct(*records.columns).alias("_new"))
+    both = records.select(F.struct(*records.columns).alias("_old")).join(new, F.col("_old.id") == F.col("_new.id"), "full_outer")
+    return both.select(F.coalesce("_new", "_old").alias("_r"), F.col("_new").isNotNull().alias("changed")).select("_r.*", "changed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITY = ("idle", "syncing", "offline", "conflicted", "failed")  # worst last
@@ -25,10 +25,12 @@ def issue_counts(records: DataFrame) -> DataFrame:
 
 
 def issues(records: DataFrame, id_order_: Column, offset: int, limit: int) -> DataFrame:
-    """Conflicts, then rejected and blocked records, each by id; a page of them."""
+    """Conflicts, then rejected and blocked records, each by id: a page of them with the `total`; a page beyond them is one row of nulls with it."""
     conflicts = records.filter(F.col("conflict").isNotNull()).select(F.lit(0).alias("part"), "id", F.lit("conflict").alias("kind"))
     rejected = records.filter(F.col("is_dirty") & F.col("rejection").isNotNull()).select(F.lit(1).alias("part"), "id", F.when(F.col("rejection") == "group-failed", "blocked").otherwise("rejected").alias("kind"))
-    return conflicts.unionByName(rejected).orderBy("part", id_order_).offset(offset).limit(limit).select("id", "kind")
+    both = conflicts.unionByName(rejected)
+    page = both.orderBy("part", id_order_).offset(offset).limit(limit).select("id", "kind")
+    return both.agg(F.count(F.lit(1)).alias("total")).join(page, F.lit(True), "left").select("id", "kind", "total")  # one row, joined with a page
 
 
 def queue_gauges(records: DataFrame, keys: list[str], stamp_wall: str, now_ms: Column) -> DataFrame:
@@ -108,6 +110,20 @@ def diagnostic_export(records: DataFrame, prefixes: dict[str, str], now: Column)
     return kinds.groupBy("record_kind", "state").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(0), now - F.min("at")).cast("long").alias("oldest_age"))
 
 
+def diagnostic_report(records: DataFrame, prefixes: dict[str, str], limit: int) -> DataFrame:
+    """The first `limit` records by key: per kind and state how many, each row with scanned, unsupported and truncated of the whole.
+
+    A payload that isn't a JSON object makes its record unsupported; if more records follow, the counts are partial.
+    """
+    window = records.orderBy("key").limit(limit + 1).withColumn("_n", F.row_number().over(Window.orderBy("key")))  # limit + 1 rows
+    kind = classify(F.col("key"), prefixes)
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+    seen = window.select(kind.alias("record_kind"), F.coalesce(F.get_json_object("payload", "$.state"), F.lit("none")).alias("state"), (whole & (kind != "unsupported")).alias("_ok"), (F.col("_n") <= limit).alias("_in"))
+    facts = seen.agg(F.count_if("_in").alias("scanned"), F.count_if(F.col("_in") & ~F.col("_ok")).alias("unsupported"), F.coalesce(F.bool_or(~F.col("_in")), F.lit(False)).alias("truncated"))
+    counts = seen.filter("_in and _ok").groupBy("record_kind", "state").agg(F.count(F.lit(1)).alias("n"))
+    return facts.join(counts, F.lit(True), "left").select("record_kind", "state", "n", "scanned", "unsupported", "truncated")  # one row, joined with its kinds
+
+
 def intent_status(intents: DataFrame, transport: DataFrame, execution: DataFrame) -> DataFrame:
     """Where each command document stands: persisted, sent and answered, executed."""
     t = transport.select(F.col("id").alias("_t"), F.col("kind").alias("transport"))

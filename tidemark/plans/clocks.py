@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, wire
@@ -137,3 +139,43 @@ def wire_problem(spark, sf_dir):
     status = F.when(k % 7 == 0, 401).when(k % 7 == 1, 403).when(k % 7 == 2, 413).when(k % 7 == 3, 429).when(k % 7 == 4, 500).when(k % 7 == 5, 503).otherwise(404)
     code, transient = wire.problem(status, F.when(k % 5 == 0, "upgrade-required"))
     return table(spark, sf_dir, "events").select("event_id", code.alias("code"), transient.alias("transient"))
+
+
+@query("""
+    SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'json' WHEN 1 THEN 'checkpoint' WHEN 2 THEN 'checkpoint' WHEN 3 THEN 'limit' WHEN 4 THEN 'limit' WHEN 5 THEN 'limit' WHEN 6 THEN 'features' END AS fault FROM events
+""")
+def wire_pull_request(spark, sf_dir):
+    k = F.col("event_id")
+    at = F.when(k % 9 == 1, F.lit("")).when(k % 9 == 2, F.concat(F.lit('"checkpoint":'), k, F.lit(","))).when(k % 2 == 0, F.lit('"checkpoint":null,')).otherwise(F.concat(F.lit('"checkpoint":"e~h:'), k, F.lit('",')))
+    limit = F.when(k % 9 == 3, F.lit('"other":1')).when(k % 9 == 4, F.lit('"limit":"5"')).when(k % 9 == 5, F.lit('"limit":0')).otherwise(F.concat(F.lit('"limit":'), k + 1))
+    more = F.when(k % 9 == 6, F.lit(',"features":["removals",7]')).when(k % 9 == 7, F.lit(',"features":["removals"],"replica":"r"')).otherwise(F.lit(""))
+    raw = F.concat(F.when(k % 9 == 0, F.lit("[")).otherwise(F.lit("{")), at, limit, more, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", wire.pull_request_fault(raw).alias("fault"))
+
+
+@query("""
+    SELECT event_id, CASE event_id % 14 WHEN 0 THEN 'json' WHEN 1 THEN 'changes' WHEN 2 THEN 'checkpoint' WHEN 3 THEN 'has-more' WHEN 4 THEN 'version' WHEN 5 THEN 'version' WHEN 6 THEN 'version' WHEN 7 THEN 'version'
+        WHEN 8 THEN 'document' WHEN 9 THEN 'document' WHEN 10 THEN 'removals' WHEN 11 THEN 'server-time' WHEN 12 THEN 'retention-horizon' END AS fault FROM events
+""")
+def wire_pull_result(spark, sf_dir):
+    k = F.col("event_id")
+    case = lambda texts, otherwise: functools.reduce(lambda w, e: w.when(k % 14 == e[0], F.lit(e[1])), texts.items(), F.when(F.lit(False), F.lit(""))).otherwise(otherwise)
+    version = case({4: "7", 5: '"007"', 6: '"-1"', 7: '"9223372036854775808"'}, F.concat(F.lit('"'), k, F.lit('"')))
+    stamp = F.when(k % 14 == 8, F.lit("2026-01-01T00:00:00Z")).otherwise(clock.encode(derived.millis("ts"), F.lit(0), F.lit("n")))
+    deleted = case({9: '"no"'}, F.lit("false"))
+    change = F.concat(F.lit('{"document":{"id":"'), derived.text("u", F.col("user_id")), F.lit('","updatedAt":"'), stamp, F.lit('","deleted":'), deleted, F.lit(',"later":{"n":1}},"version":'), version, F.lit("}"))
+    changes = F.when(k % 14 == 1, F.lit("{}")).otherwise(F.concat(F.lit("["), change, F.when(k % 14 < 4, F.concat(F.lit(","), change)).otherwise(F.lit("")), F.lit("]")))
+    extra = case({10: ',"removals":[null]', 11: ',"serverTime":17', 12: ',"retentionHorizon":"x"'}, F.lit(',"removals":["a"],"serverTime":"17","retentionHorizon":null'))
+    at, more = case({2: ""}, F.lit(',"checkpoint":null')), case({3: ',"hasMore":"true"'}, F.lit(',"hasMore":true'))
+    raw = F.concat(F.lit('{"changes":'), changes, at, more, extra, F.when(k % 14 == 0, F.lit("")).otherwise(F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", wire.pull_result_fault(raw).alias("fault"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'outcomes' WHEN 1 THEN 'operation-id' WHEN 2 THEN 'kind' WHEN 3 THEN 'kind' WHEN 4 THEN 'version' END AS fault FROM events")
+def wire_push_result(spark, sf_dir):
+    k = F.col("event_id")
+    own = F.when(k % 6 == 1, F.lit("")).otherwise(F.concat(F.lit('"operationId":"op'), k, F.lit('",')))
+    kind = F.when(k % 6 == 2, F.lit("0")).when(k % 6 == 3, F.lit('"maybe"')).otherwise(F.concat(F.lit('"'), F.get(F.array(*map(F.lit, wire.OUTCOMES)), (k % 4).cast("int")), F.lit('"')))
+    version = F.when(k % 6 == 4, F.lit(',"version":5')).when(k % 4 == 0, F.lit(',"version":"5"')).otherwise(F.lit(""))
+    raw = F.concat(F.lit('{"outcomes":'), F.when(k % 6 == 0, F.lit("null")).otherwise(F.concat(F.lit("[{"), own, F.lit('"kind":'), kind, version, F.lit("}]"))), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", wire.push_result_fault(raw).alias("fault"))

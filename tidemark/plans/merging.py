@@ -123,3 +123,22 @@ def merge_conflict_paths(spark, sf_dir):
 def merge_handler(spark, sf_dir):
     k = F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", merge.merge_decision(k % 2 != 0, k % 3 != 0, k % 5 == 0, F.lit("defer")).alias("decision"))
+
+
+@query("""
+    WITH m AS (SELECT p_partkey AS k, p_size AS z FROM part)
+    SELECT k AS p_partkey, '{' || concat_ws(',', '"size":' || CASE WHEN k % 3 = 0 AND k % 4 <> 0 THEN z + 1 WHEN k % 4 = 0 THEN z + 2 ELSE z END,
+            CASE WHEN k % 7 = 0 THEN CASE WHEN k % 5 = 0 THEN '"note":"server"' END ELSE CASE WHEN k % 5 = 0 THEN '"note":"server"' ELSE '"note":null' END END,
+            '"place":{' || CASE WHEN k % 9 = 0 THEN '"a/b":[1,{"x":null}],' ELSE '' END || '"hall":' || CASE WHEN k % 8 = 0 AND k % 16 <> 0 THEN '"h1"' WHEN k % 16 = 0 THEN '"h2"' ELSE '"h0"' END || '}',
+            CASE WHEN k % 2 = 0 THEN '"mine":true' END) || '}' AS json,
+        concat_ws(',', CASE WHEN k % 12 = 0 THEN '/size' END, CASE WHEN k % 35 = 0 THEN '/note' END, CASE WHEN k % 16 = 0 THEN '/place/hall' END) AS conflicts FROM m
+""")
+def merge_unknown_members(spark, sf_dir):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    body = lambda size, note, hall, more: F.concat(F.lit('{"size":'), size, note, F.lit(',"place":{"hall":"'), hall, F.lit('"'), more[0], F.lit("}"), more[1], F.lit("}"))
+    none, null = F.lit(""), F.lit(',"note":null')
+    base = body(z, null, F.lit("h0"), (none, none))
+    local = body(z + F.when(k % 3 == 0, 1).otherwise(0), F.when(k % 7 == 0, none).otherwise(null), F.when(k % 8 == 0, "h1").otherwise("h0"), (none, F.when(k % 2 == 0, ',"mine":true').otherwise("")))
+    server = body(z + F.when(k % 4 == 0, 2).otherwise(0), F.when(k % 5 == 0, ',"note":"server"').otherwise(',"note": null'), F.when(k % 16 == 0, "h2").otherwise("h0"), (F.when(k % 9 == 0, ', "a/b": [1, {"x": null}]').otherwise(""), none))
+    merged = table(spark, sf_dir, "part").select(k, merge.merge_members(base, local, server).alias("m"))
+    return merged.select("p_partkey", F.col("m.json").alias("json"), F.array_join("m.conflicts", ",").alias("conflicts"))

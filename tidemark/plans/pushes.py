@@ -146,3 +146,12 @@ def outbox_drain(spark, sf_dir):
     k = F.col("o_orderkey")
     outbox = table(spark, sf_dir, "orders").select(k.alias("id"), (k % 7 == 0).alias("poisoned"), (k % 100).alias("retry_at"), F.col("o_orderdate").alias("requested_at"), (F.col("o_custkey") % 5).alias("tenant"))
     return publish.drain(outbox, F.lit(60), 50).select(F.col("id").alias("o_orderkey"))
+
+
+@query(sql("SELECT scope, pos, kind, error_code, CASE WHEN kind0 = 'accepted' AND NOT duplicate AND pos % 3 = 0 THEN upper(payload) ELSE payload END AS payload, CASE WHEN kind = 'rejected' AND NOT duplicate AND pos % 2 = 0 THEN payload END AS argument FROM pushed", "pushed"))
+def push_canonical(spark, sf_dir):
+    """What a handler stores in place of the payload, and the arguments of refusals."""
+    ops, k = derived.operations(spark, sf_dir), F.col("pos")
+    rules = _rules() | {"canonical": F.when(k % 3 == 0, F.upper("payload")), "arguments": F.create_map(F.lit("was"), F.when(k % 2 == 0, F.col("payload")))}
+    done = push.push(ops, derived.authority_documents(spark, sf_dir), derived.receipts(ops), derived.authority_feeds(spark, sf_dir), NOW_MS, **rules)
+    return done.select("scope", "pos", "kind", "error_code", "payload", F.col("arguments")["was"].alias("argument"))

@@ -287,11 +287,32 @@ def issue_counts(spark, sf_dir):
     return status.issue_counts(derived.records(spark, sf_dir))
 
 
-@query(sql("SELECT id, kind FROM (SELECT 0 AS part, id, 'conflict' AS kind FROM records WHERE conflict IS NOT NULL UNION ALL SELECT 1, id, CASE WHEN rejection = 'group-failed' THEN 'blocked' ELSE 'rejected' END FROM records WHERE is_dirty AND rejection IS NOT NULL) ORDER BY part, id LIMIT 100 OFFSET 40", "records"))
+def _issues_sql(limit: int, offset: int) -> str:
+    return sql(f""", i AS (SELECT 0 AS part, id, 'conflict' AS kind FROM records WHERE conflict IS NOT NULL UNION ALL SELECT 1, id, CASE WHEN rejection = 'group-failed' THEN 'blocked' ELSE 'rejected' END FROM records WHERE is_dirty AND rejection IS NOT NULL),
+        page AS (SELECT id, kind FROM i ORDER BY part, id LIMIT {limit} OFFSET {offset}) SELECT id, kind, total FROM (SELECT count(*) AS total FROM i) LEFT JOIN page ON true""", "records")
+
+
+@query(_issues_sql(100, 40))
 def issue_page(spark, sf_dir):
     return status.issues(derived.records(spark, sf_dir), id_order(F.col("id")), 40, 100)
 
 
+@query(_issues_sql(100, 10**6))
+def issue_page_beyond(spark, sf_dir):
+    return status.issues(derived.records(spark, sf_dir), id_order(F.col("id")), 10**6, 100)
+
+
+@query(sql("SELECT k AS n, id, CASE WHEN k % 5 = 0 THEN current WHEN k % 2 = 0 THEN 'upd' || k ELSE current END AS current, k % 5 <> 0 AND k % 2 = 0 AS changed FROM records UNION ALL SELECT o_orderkey, 'add' || o_orderkey, 'upd' || o_orderkey, true FROM orders WHERE o_orderkey % 37 = 0", "records"))
+def record_update(spark, sf_dir):
+    """Updates of known and new records; one in five decides to leave the record as it is."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    records = derived.records(spark, sf_dir).select("id", "current", F.substring("id", 2, 20).cast("long").alias("n"))
+    known = orders.filter((k % 2 == 0) | (k % 5 == 0)).select(derived.text("o", k).alias("id"), (k % 5 == 0).alias("keep"), derived.text("upd", k).alias("current"), k.alias("n"))
+    added = orders.filter(k % 37 == 0).select(derived.text("add", k).alias("id"), F.lit(False).alias("keep"), derived.text("upd", k).alias("current"), k.alias("n"))
+    return replica.updated(records, known.unionByName(added), F.col("keep"))
+
+
 @query(sql(show_sql("records") + f" WHERE {_EXPORTED}", "records"))
 def salvage(spark, sf_dir):
     """What a rebuilt store takes over from a damaged one."""

@@ -71,6 +71,15 @@ def diag_export(spark, sf_dir):
     return status.diagnostic_export(records, {"blob/": "blob", "job/": "transfer", "package/": "package"}, F.lit(100).cast("long"))
 
 
+@query(f"""WITH {_KV}, w AS (SELECT *, row_number() OVER (ORDER BY key) AS n FROM kv ORDER BY key LIMIT 601), s AS (SELECT *, moment % 11 = 0 OR starts_with(key, 'x/') AS odd FROM w WHERE n <= 600),
+    f AS (SELECT count(*) AS scanned, count(*) FILTER (odd) AS unsupported, (SELECT count(*) > 600 FROM w) AS truncated FROM s)
+    SELECT record_kind, state, n, scanned, unsupported, truncated FROM f LEFT JOIN (SELECT CASE WHEN starts_with(key, 'blob/') THEN 'blob' WHEN starts_with(key, 'job/') THEN 'transfer' ELSE 'package' END AS record_kind,
+        CASE WHEN moment % 3 = 0 THEN 'none' ELSE 's' || (moment % 3) END AS state, count(*) AS n FROM s WHERE NOT odd GROUP BY 1, 2) ON true""")
+def diag_report(spark, sf_dir):
+    payload = F.when(F.col("at") % 11 == 0, F.lit("[")).when(F.col("at") % 3 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"state":"s'), F.col("at") % 3, F.lit('"}')))
+    return status.diagnostic_report(_kv(spark, sf_dir).withColumn("payload", payload), {"blob/": "blob", "job/": "transfer", "package/": "package"}, 600)
+
+
 @query(f"""WITH {_KV} SELECT record_kind, CAST(least(sum(n), 9223372036854775807) AS BIGINT) AS n, max(oldest) AS oldest FROM
     (SELECT moment AS report, split_part(key, '/', 1) AS record_kind, count(*) AS n, max(revision) AS oldest FROM kv GROUP BY 1, 2) GROUP BY record_kind""")
 def report_gauges(spark, sf_dir):

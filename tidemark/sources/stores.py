@@ -68,3 +68,29 @@ def blob_files(spark: SparkSession, path: str) -> DataFrame:
 def write_feed(docs: DataFrame, path: str, scope: str = "scope", version: str = "version") -> None:
     """A feed laid out for pulling: a folder a scope, within files in version order, so a page reads few row groups."""
     docs.repartitionByRange(F.col(scope), F.col(version)).sortWithinPartitions(scope, version).write.partitionBy(scope).parquet(path)
+
+
+def commit_records(records: DataFrame, cursor: tuple[str, int], path: str) -> int:
+    """Store all records and the replica's cursor (checkpoint, generation) as one step; returns its number.
+
+    The cursor is written last, so a step without one never happened, and of two writers of one step the second fails.
+    """
+    spark = records.sparkSession
+    done = stored_records(spark, path)
+    number = 1 if done is None else done[2] + 1
+    records.write.mode("overwrite").parquet(f"{path}/records/step={number}")
+    spark.createDataFrame([cursor], "checkpoint string, generation long").coalesce(1).write.mode("errorifexists").parquet(f"{path}/cursors/step={number}")
+    return number
+
+
+def stored_records(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, int], int] | None:
+    """(records, cursor, number) of the last whole step, if there is any."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/cursors")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    steps = [int(s.getPath().getName()[5:]) for s in fs.listStatus(folder) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))] if fs.exists(folder) else []
+    if not steps:
+        return None
+    number = max(steps)
+    cursor = spark.read.parquet(f"{path}/cursors/step={number}").first()
+    return spark.read.parquet(f"{path}/records/step={number}"), (cursor["checkpoint"], cursor["generation"]), number
