@@ -98,3 +98,20 @@ def test_flat_records_and_blob_files(spark, tmp_path):
     assert (blob["id"], blob["size"], blob["sha256"][:8]) == ("x.bin", 3, "ba7816bf")
     write_feed(spark.range(10).select(F.col("id").alias("version"), (F.col("id") % 2).alias("scope")), f"{tmp_path}/feed")
     assert spark.read.parquet(f"{tmp_path}/feed").filter("scope = 1 and version > 5").count() == 2
+
+
+def test_runs_grow_by_levels(spark, tmp_path):
+    schema = spark.createDataFrame([], "scope string, id int, version long").schema
+    path, state = f"file://{tmp_path}/t", {}
+    for n in range(18):
+        rows = [("s", (n * 5 + i * 3) % 11, n * 100 + i) for i in range(6)]
+        for _ in range(2 if n in (0, 7, 9, 15) else 1):  # some batches are repeated
+            feeds.add_run(spark.createDataFrame(rows, schema).coalesce(1), path, schema, n, ["scope", "id"], "version")
+        before = dict(state)
+        for scope, i, version in rows:
+            state[scope, i] = max(version, state.get((scope, i), 0))
+        read = lambda below=None: {(r["scope"], r["id"]): r["version"] for r in feeds.newest(spark, path, schema, below).collect()}  # noqa: B023, E731
+        if n in (0, 6, 7, 8, 15, 17):
+            assert read() == state and read(n) == before
+    names = sorted(p.name for p in (tmp_path / "t").glob("run=*"))
+    assert names[0] == "run=000000000000-000000000007" and len(names) == 11  # 0-7, 8-14 one by one until later batches are sure of them, 8-15, 16, 17
