@@ -5,7 +5,8 @@ from itertools import combinations
 import corpus_pipeline
 import pytest
 
-from tidemark.llm.near_copies import link_run, near_copies, shingle_set
+from tidemark.llm.linking import link_run
+from tidemark.llm.near_copies import near_copies, shingle_set
 
 
 def plain_set(text):
@@ -71,6 +72,13 @@ def test_runs_are_verified_whole(texts):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, whole.values()))
 
 
+@pytest.mark.parametrize(("run_rows", "run_items"), [(5, 4_000_000), (2048, 2500)])
+def test_runs_beyond_a_task_are_split(spark, texts, run_rows, run_items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = near_copies(docs, run_rows=run_rows, run_items=run_items)
+    assert [r["class_id"] for r in got.orderBy("doc_id").collect()] == plain_classes(texts)
+
+
 def test_classes_of_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     classes, least = plain_classes([t for _, t in rows]), {}

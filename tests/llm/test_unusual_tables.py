@@ -3,8 +3,10 @@
 import pytest
 
 from tests.llm.conftest import DOCS, odd_rows
+from tests.llm.test_spelling import plain_counts, plain_variants
 from tidemark.llm.queries import QUERIES
 
+VECTORS = "vec_id long, embedding array<float>, id string, cluster string, x int"
 PAGES = "page_id long, url string, html string, digest string, id string"
 SAME = [(10 + i, "http://x.com/de/", "same", None, None) for i in range(200)]
 TABLES = {
@@ -21,7 +23,14 @@ def test_every_row_has_its_result(spark, tmp_path, name):
     docs, pages = TABLES[name]
     spark.createDataFrame(docs, DOCS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(pages, PAGES).repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [(i, None if i % 3 == 0 else [float(i % 7)] * 64, None, "c", 0) for i in range(len(docs) // 2)]
+    spark.createDataFrame(vectors, VECTORS).repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
     for query, run in QUERIES.items():
-        n = run(spark, str(tmp_path)).count()
-        want = len(pages if query in ("op5_url_filter", "op10_warc") else docs)
-        assert n == want or query == "op2_packing" and n >= want, query
+        rows = run(spark, str(tmp_path)).collect()
+        if query == "op13_spelling":
+            assert sorted(map(tuple, rows), key=repr) == plain_variants(plain_counts([r[:2] for r in docs])), query
+        elif query == "op11_clustering":
+            assert len(rows) == sum(v[1] is not None for v in vectors), query
+        else:
+            want = len(pages if query in ("op5_url_filter", "op10_warc") else docs)
+            assert len(rows) == want or query == "op2_packing" and len(rows) >= want, query

@@ -7,11 +7,12 @@ the shingles themselves, so no link rests on an estimate.
 
 Only distinct shingle sets take part, so copies cost nothing. A run of texts that meet on a band is searched breadth
 first over lists of the texts that hold a shingle: each reached text finds all its near copies in the run at once, and
-the search ends when none is left, so a cluster yields a link a member and no table of pairs. A task holds the shingles
-of one run; runs that have the same members as another are verified once.
+the search ends when none is left, so a cluster yields a link a member and no table of pairs. Runs that have the same
+members as another are verified once, and those beyond a bound are split (`linking`).
 
 Defined cases: null, empty and blank texts have the empty set and are copies of each other; a text of fewer than five
-words is one shingle; rows that repeat get the same class; null ids never name a class unless it has no other id.
+words is one shingle; rows that repeat get the same class; null ids never name a class unless it has no other id;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import broadcast_if_small, id_type, map_batches, stored
-from tidemark.llm.components import components
+from tidemark.llm.linking import RUN_ITEMS, RUN_ROWS, classes, links
 
 SHINGLE, BANDS, ROWS, SEED = 5, 40, 6, 42
-#: The least likeness as a fraction.
-NEAR, OF = 4, 5
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -74,51 +73,7 @@ def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
 
-def link_run(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (member, first of its class) among texts that met, by exact Jaccard of all of them."""
-    n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(names[1], names[0])] if OF * both >= NEAR * (sizes.sum() - both) else []
-    codes, where = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(n), sizes)[np.argsort(where, kind="stable")]
-    upto = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(codes)))))
-    own, left, out = np.split(where, np.cumsum(sizes)[:-1]), np.ones(n, dtype=bool), []
-    for first in range(n):
-        if not left[first]:
-            continue
-        left[first], reached = False, [first]
-        while reached and left.any():
-            i = reached.pop()
-            both = np.zeros(n, dtype=np.int64)
-            for k in range(0, len(own[i]), 1024):
-                a, b = upto[own[i][k : k + 1024]], upto[own[i][k : k + 1024] + 1]
-                at = np.arange(int((b - a).sum())) + np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a)
-                both += np.bincount(holders[at], minlength=n)
-            found = np.flatnonzero(left & (OF * both >= NEAR * (sizes[i] + sizes - both)))
-            left[found] = False
-            reached += found.tolist()
-            out += [(names[j], names[first]) for j in found.tolist()]
-    return out
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas function over rows (key, fp, shingles) sorted by key: links (a, b)."""
-    key, names, sets = None, [], []
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for k, fp, shingles in zip(batch["key"].tolist(), batch["fp"].tolist(), batch["shingles"], strict=True):
-            if k != key:
-                out += link_run(names, sets) if len(names) > 1 else []
-                key, names, sets = k, [], []
-            names.append(fp)
-            sets.append(np.frombuffer(shingles, dtype=np.uint64))
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    if len(names) > 1:
-        yield pd.DataFrame(link_run(names, sets), columns=["a", "b"], dtype="int64")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN_ROWS, run_items: int = RUN_ITEMS) -> DataFrame:
     """(id, fp, text_hash, class_fp, class_id) of each row: fp names the set of shingles, class_id is the least id reachable over links."""
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,9 +98,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = stored(members.select("fp").distinct().join(distinct, "fp").select("fp", F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash")), "met-sets")
     again = texts.join(broadcast_if_small(wanted, 1_000_000), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("fp", "text")
     sets = map_batches(again, laid_out, "fp long, shingles binary").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
-    together = members.join(stored(sets, "shingles"), "fp").repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "shingles")
-    roots = components(stored(map_batches(together, _verify, "a long, b long"), "near-copies"))
-    classed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("class"))
-    names = classed.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("class_id"))
-    by_fp = classed.join(names, F.col("class") == F.col("c")).select(F.col("fp").alias("f"), F.col("class").alias("class_fp"), "class_id")
-    return own.join(by_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "text_hash", "class_fp", "class_id")
+    sets = stored(sets.select("fp", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles"), "shingles")
+    found = classes(own.select("id", "fp", "text_hash"), distinct, links(members, sets, run_rows, run_items))
+    return found.select(F.col("id").alias(id_col), "fp", "text_hash", "class_fp", "class_id")

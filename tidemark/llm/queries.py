@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, minhash, mixing, mpeg_audio, packing, pseudo_likelihood, sharding, simhash, url_filter, warc
+from tidemark.llm import clustering, langid, minhash, mixing, mpeg_audio, packing, pseudo_likelihood, sharding, signature_join, simhash, spelling, url_filter, warc
 
 # Fixed values of the URL query: rules and their verdicts.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
+# Fixed values of the clustering query.
+CLUSTERS, CLUSTER_ROUNDS, DIM = 40, 5, 64
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -81,14 +84,92 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "place")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = clustering.cluster(table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=CLUSTER_ROUNDS, seed=2, dim=DIM)
+    digests = clustering.centroid_digests(centroids)
+    digest = F.element_at(F.array(*map(F.lit, digests)), F.col("cluster") + 1) if digests else F.lit(None).cast("string")
+    return found.withColumn("centroid_sha256", digest)
+
+
+def op12_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signature_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pseudo_likelihood, op2_packing, op3_mpeg_audio, op4_minhash, op5_url_filter, op6_mixing, op7_simhash, op8_sharding, op9_langid, op10_warc)
+    for f in (op1_pseudo_likelihood, op2_packing, op3_mpeg_audio, op4_minhash, op5_url_filter, op6_mixing, op7_simhash, op8_sharding, op9_langid, op10_warc, op11_clustering, op12_signature_join, op13_spelling)
 }
 
+
+def _nearest(centroids: str) -> str:
+    return f"""SELECT v.vec_id, v.x, min({{'d': CAST(v.xx - 2 * list_inner_product(v.x, c.c) + list_inner_product(c.c, c.c) AS BIGINT), 'cluster': c.cluster}}) AS best
+        FROM vectors v CROSS JOIN {centroids} c GROUP BY v.vec_id, v.x"""
+
+
+def _cluster_sql(rounds: int) -> str:
+    """Rounds of assigning and moving, spelled out."""
+    steps = [f"""vectors AS MATERIALIZED (SELECT vec_id, x, list_inner_product(x, x) AS xx FROM (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+            WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {DIM})),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS INTEGER) AS cluster, x AS c FROM vectors
+            ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x LIMIT {CLUSTERS})"""]
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({_nearest(f"c{r}")}),
+        s{r} AS (SELECT best.cluster AS cluster, unnest(x) AS e, unnest(range({DIM})) AS pos FROM a{r}),
+        m{r} AS (SELECT cluster, pos, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM s{r} GROUP BY cluster, pos),
+        c{r + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN
+            (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY pos) AS c FROM m{r} GROUP BY cluster) m ON o.cluster = m.cluster)""")
+    return f"""WITH {", ".join(steps)}, final AS MATERIALIZED ({_nearest(f"c{rounds}")})
+        SELECT f.vec_id, f.best.cluster AS cluster, f.best.d AS distance, CAST(sum(f.best.d) OVER (PARTITION BY f.best.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(f.best.d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(list_transform(c.c, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM final f JOIN c{rounds} c ON f.best.cluster = c.cluster"""
+
+
+def _crc_table() -> str:
+    """What four bits do to a CRC-32, for each of their values."""
+    values = list(range(16))
+    for _ in range(4):
+        values = [v >> 1 ^ (0xEDB88320 if v & 1 else 0) for v in values]
+    return str(values)
+
+
 _RULES = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_spelling": f"""
+        WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00c0-\u00ff]+')) AS run FROM documents),
+        own AS (SELECT run, count(*) AS times, hex(encode(id || ':' || run)) AS hx FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+        fours AS (SELECT run, times, list_transform(range(0, length(hx)), lambda i: CAST('0x' || substr(hx, i + 2 - 2 * (i % 2), 1) AS BIGINT)) AS b FROM own),
+        hashed AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 4, {_crc_table()}[(xor(c, x) & 15) + 1])), 4294967295::BIGINT) AS h FROM fours),
+        spelled AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+        words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+        cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        longer AS MATERIALIZED (SELECT DISTINCT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cut c JOIN words w ON c.rest = w.word),
+        near AS (SELECT c.word AS a, d.word AS b, d.n AS bn FROM cut c JOIN cut d ON c.i = d.i AND c.rest = d.rest AND c.word <> d.word UNION ALL SELECT a, b, bn FROM longer UNION ALL SELECT b, a, an FROM longer),
+        best AS (SELECT a, count(*) AS n_near, min({{'m': -bn, 'b': b}}) AS first FROM near GROUP BY a),
+        forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -first.m >= 5 * w.n THEN first.b END AS form, CASE WHEN -first.m >= 5 * w.n THEN -first.m END AS form_n FROM words w LEFT JOIN best ON w.word = a),
+        chain(word, via, depth) AS (SELECT word, word, 0 FROM words UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN forms f ON c.via = f.word WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(via, depth) AS root FROM chain GROUP BY word)
+        SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN ends e ON f.word = e.word
+    """,
+    "op11_clustering": _cluster_sql(CLUSTER_ROUNDS),
+    "op12_signature_join": r"""
+        WITH RECURSIVE spelled AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        own AS MATERIALIZED (SELECT doc_id, list_sort(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM spelled),
+        sets AS MATERIALIZED (SELECT s, min(doc_id) AS least, len(s) AS n FROM own WHERE len(s) > 0 GROUP BY s),
+        held AS MATERIALIZED (SELECT least, n, unnest(s) AS g FROM sets),
+        near AS MATERIALIZED (SELECT a.least AS x, b.least AS y FROM held a JOIN held b ON a.g = b.g AND a.least < b.least AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+            GROUP BY a.least, b.least, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+        reach(node, seen) AS (SELECT least, least FROM sets UNION SELECT r.node, e.y FROM reach r JOIN both_ways e ON r.seen = e.x),
+        roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
+        SELECT o.doc_id, len(o.s) AS n_shingles, coalesce(r.root, o.doc_id) AS component_id, o.doc_id = coalesce(r.root, o.doc_id) AS kept
+        FROM own o LEFT JOIN sets s ON o.s = s.s LEFT JOIN roots r ON s.least = r.node
+    """,
     "op5_url_filter": f"""
         WITH rules(rhost, rpath, rule, verdict) AS (VALUES {_RULES}),
         rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
