@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import mix, mix_plan
@@ -100,3 +101,13 @@ def test_probability_is_the_fraction_whatever_the_size(spark):
     assert {f for f, _ in seen} == {0.6, 0.4} and len(seen) == 10
     for (f, k), n in seen.items():
         assert abs(extra[f, k] / n - f) < 3.5 * math.sqrt(f * (1 - f) / n), (f, k, extra[f, k] / n)
+
+
+@pytest.mark.parametrize("sources", [1, 2, 6, 400])
+def test_sources_of_equal_ratio(spark, sources):
+    """Where several sources have the same size for their weight, or the same size at all, the targets still share everything."""
+    docs = spark.createDataFrame([(i, "w " * 20, f"s{i:04}") for i in range(sources)], "doc_id long, text string, source string")
+    targets = [r["target"] for r in mix_plan(docs).select("target", "doc_id").join(docs, "doc_id").orderBy("source").collect()]
+    weights = [i % 3 + 1 for i in range(sources)]
+    assert sum(targets) == pytest.approx(20 * sources)
+    assert targets == pytest.approx([20 * sources * w / sum(weights) for w in weights])

@@ -57,9 +57,10 @@ def source_rates(sized: DataFrame, weight: Callable[[Column], Column] = cycling_
         .withColumn("capped", capped)
         .withColumn("open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("own_level", level)
+        .withColumn("place", F.row_number().over(by_ratio))
     )
     # The level is that of the first source, in this order, which stays below its own cap.
-    free = F.when(F.col("own_level") * F.col("weight") <= F.lit(max_rate) * F.col("source_size"), F.struct(F.col("source_size") / F.col("weight"), F.col("own_level")))
+    free = F.when(F.col("own_level") * F.col("weight") <= F.lit(max_rate) * F.col("source_size"), F.struct("place", "own_level"))
     target = F.least(F.lit(max_rate) * F.col("source_size"), F.col("level") * F.col("weight"))
     return (
         leveled.withColumn("level", F.min(free).over(everything)["own_level"])

@@ -181,15 +181,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND f.n = 1
     """,
     "op6_mixing": r"""
-        WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        WITH RECURSIVE sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
             md5('23:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest FROM documents),
         own AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
         weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM own),
-        leveled AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - 3.0 * CAST(coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
-            / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own_level FROM weighed),
-        level AS (SELECT own_level AS level FROM leveled WHERE own_level * weight <= 3.0 * source_size ORDER BY source_size / weight, own_level LIMIT 1),
-        rates AS (SELECT source, source_size, coalesce(least(3.0 * source_size, level * weight), 0.0)::DOUBLE AS target FROM leveled LEFT JOIN level ON true),
+        shares(n, source, source_size, weight, full_) AS (SELECT 0, source, source_size, weight, false FROM weighed UNION ALL
+            SELECT n + 1, source, source_size, weight, full_ OR weight * ((total - 3.0 * held) / open) > 3.0 * source_size FROM (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+                CAST(sum(CASE WHEN full_ THEN source_size ELSE 0 END) OVER () AS DOUBLE) AS held, sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER () AS open, count(*) OVER () AS sources FROM shares) x WHERE n < sources),
+        rates AS (SELECT source, source_size, CASE WHEN full_ THEN 3.0 * source_size ELSE weight * ((CAST(sum(source_size) OVER () AS DOUBLE) - 3.0 * CAST(sum(CASE WHEN full_ THEN source_size ELSE 0 END) OVER () AS DOUBLE))
+            / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ()) END::DOUBLE AS target FROM shares WHERE n = (SELECT max(n) FROM shares)),
         rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END::DOUBLE AS rate FROM rates),
         strata AS (SELECT *, lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 4) AS stratum FROM sized),
         counts AS (SELECT source, stratum, sum(count(*)) OVER (PARTITION BY source ORDER BY stratum ROWS UNBOUNDED PRECEDING) AS upto, count(*) AS n FROM strata GROUP BY source, stratum),
