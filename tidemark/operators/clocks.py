@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
-from tidemark.operators.numbering import lot_of, number_rows, running_max
+from tidemark.operators.numbering import NOWHERE, group_keys, lot_of
 
 
 def now_stamps(events: DataFrame, node: str, seq: str, physical: str, counters: int = clock.MOST_COUNTER + 1) -> DataFrame:
@@ -14,11 +14,19 @@ def now_stamps(events: DataFrame, node: str, seq: str, physical: str, counters:
 
     Wall and counter as one number, wall * counters + counter, which each event raises by one or to its physical time: what
     the clock's step-by-step rule gives, its carry included. So the n-th event of a node has n plus the running maximum of
-    (physical * counters - n), and a node's events spread over lots of seq, also while its clock stands still.
+    (physical * counters - n), and a node's events spread over lots of seq, also while its clock stands still. A lot counts from one;
+    how many events were before it, and their greatest difference, follow from one row a lot. An event without a seq comes first.
     """
-    numbered = number_rows(events, [node], [seq], lot_of(F.col(seq)), "_n")
-    ahead = F.col(physical).cast("long") * counters - F.col("_n")
-    ticks = running_max(numbered, [node], [seq], lot_of(F.col(seq)), ahead, "_t").withColumn("_t", F.col("_t") + F.col("_n"))
+    by = ["_g0", "_lot"]
+    laid = events.withColumns({**group_keys([node]), "_lot": F.coalesce(lot_of(F.col(seq)), F.lit(NOWHERE))})
+    inside = Window.partitionBy(*by).orderBy(seq, physical).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = laid.withColumn("_n", F.row_number().over(inside).cast("long")).withColumn("_a", F.col(physical).cast("long") * counters - F.col("_n"))
+    lots = numbered.groupBy(*by).agg(F.max("_n").alias("_many"), F.max("_a").alias("_most"))
+    before = Window.partitionBy("_g0").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lots.withColumn("_start", F.coalesce(F.sum("_many").over(before), F.lit(0)))
+    starts = starts.select(*by, "_start", F.max(F.col("_most") - F.col("_start")).over(before).alias("_before"))
+    own = numbered.withColumn("_m", F.max("_a").over(inside)).join(starts, by)
+    ticks = own.withColumn("_t", F.col("_n") + F.col("_start") + F.greatest("_before", F.col("_m") - F.col("_start"))).drop(*by, "_a", "_m", "_start", "_before")
     split = ticks.withColumn("wall", F.floor(F.expr(f"_t div {counters}"))).withColumn("counter", F.col("_t") % counters).drop("_t", "_n")
     return split.withColumn("stamp", clock.encode(F.col("wall"), F.col("counter"), F.col(node).cast("string")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.numbering import lot_of, running_total
+from tidemark.operators.numbering import lot_of, running
 
 #: Transfer states that may run, and those that end.
 RUNNABLE = ("queued", "waiting", "interrupted")
@@ -30,14 +30,21 @@ def size_conflicts(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys, "sha256").agg(F.countDistinct("size").alias("sizes")).filter("sizes > 1")
 
 
+def age_lot() -> Column:
+    """Lots in the order of (accessed, sha256), without an access time first and by the digest's first digits."""
+    digits = F.conv(F.substring("sha256", 1, 3), 16, 10).cast("long")
+    return F.coalesce(lot_of(F.col("accessed")), F.coalesce(digits, F.lit(-1)) - (1 << 60))
+
+
 def evict(files: DataFrame, budget: int, keep: Column) -> DataFrame:
     """The files to delete, least recently used first, until the total is within the budget; kept ones count but stay.
 
-    files: sha256, length, accessed (a number). The running sum is spread over lots of the access time.
+    files: sha256, length, accessed (a number; a file that was never used goes first). The running sum is spread over
+    lots of the access time, or of the digest where there is none.
     """
     total = files.agg(F.sum("length").alias("_total"))
     loose = files.filter(~keep).withColumn("_all", F.lit(0))
-    summed = running_total(loose, ["_all"], ["accessed", "sha256"], lot_of(F.col("accessed")), F.col("length").cast("long"), "_upto")
+    summed = running(loose, ["_all"], ["accessed", "sha256"], age_lot(), sums={"_upto": F.col("length").cast("long")})
     gone = summed.crossJoin(F.broadcast(total)).filter(F.col("_total") - (F.col("_upto") - F.col("length")) > budget)  # total is one row
     return gone.select("sha256", "length", "accessed")
 
@@ -51,8 +58,7 @@ def reserve(entries: DataFrame, additional: int, soft: int, hard: int, page: int
     sized = entries.withColumn("bytes", F.greatest("reserved", "stored")).withColumn("_all", F.lit(0))
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_total"))
     loose = sized.filter((F.size("pins") == 0) & (F.col("bytes") > 0))
-    summed = running_total(loose, ["_all"], ["accessed", "sha256"], lot_of(F.col("accessed")), F.col("bytes").cast("long"), "_upto")
-    numbered = running_total(summed, ["_all"], ["accessed", "sha256"], lot_of(F.col("accessed")), F.lit(1).cast("long"), "_n")
+    numbered = running(loose, ["_all"], ["accessed", "sha256"], age_lot(), sums={"_upto": F.col("bytes").cast("long"), "_n": F.lit(1)})
     placed = numbered.crossJoin(F.broadcast(total)).withColumn("_left", F.col("_total") - (F.col("_upto") - F.col("bytes")))
     # A pass is needed while its start is above the hard budget (the first is always made); in it, go down to the soft one.
     per_pass = placed.withColumn("_pass", F.floor((F.col("_n") - 1) / page))

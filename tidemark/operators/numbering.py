@@ -1,4 +1,10 @@
-"""Gapless numbers for the rows of large groups, without a group in one task."""
+"""Gapless numbers and running folds for the rows of large groups, without a group in one task.
+
+A group's rows are dealt into lots of the order's range. Folds run within a lot by a window, and a lot starts with the fold of those
+before it; only the lots' own folds, one row each, meet by group. These come from partial aggregates over the columns they
+need, so the rows are laid out once. A row without a group belongs to the group of all such rows, one without a place in the order comes
+first: none is lost.
+"""
 
 from __future__ import annotations
 
@@ -7,58 +13,43 @@ from pyspark.sql import functions as F
 
 #: Width of a lot in a range of versions or positions, which are dense.
 LOT = 65_536
+#: The lot of rows without a place.
+NOWHERE = -(1 << 62)
 
 
 def lot_of(number: Column) -> Column:
     return F.floor(number / LOT)
 
 
-def _dealt(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """rows dealt by lots. The window within a lot and the lots' totals read the same exchange, so that rows are made once.
-
-    Rows without a group or lot would find no total; dropped here, they leave nothing for the join to filter below one side alone.
-    """
-    known = F.lit(True)
-    for c in (*groups, "_lot"):
-        known &= F.col(c).isNotNull()
-    return rows.filter(known).repartition(*groups, "_lot")
+def group_keys(groups: list[str]) -> dict[str, Column]:
+    """Columns that stand for the groups, never null, so that windows and joins by them share one partitioning."""
+    return {f"_g{i}": F.when(F.col(g).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(g).cast("string"))) for i, g in enumerate(groups)}
 
 
-def _all(rows: DataFrame) -> Column:
-    """An aggregate that needs every column, as the window does: only equal exchanges are shared."""
-    return F.max(F.xxhash64(*rows.columns)).alias("_seen")
+def running(rows: DataFrame, groups: list[str], order: list, lot: Column, sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:
+    """rows with sums and maxima by name, over the rows of the group up to and with each by `order`, all in one pass.
 
-
-def _once(totals: DataFrame) -> DataFrame:
-    return totals.filter(F.col("_seen").isNotNull()).drop("_seen")
+    order is unique within a group, and lot must not decrease along it.
+    """
+    folds = {n: (F.sum, v, lambda start, own: F.coalesce(start, F.lit(0)) + own) for n, v in (sums or {}).items()}
+    folds |= {n: (F.max, v, F.greatest) for n, v in (maxes or {}).items()}
+    keys = group_keys(groups)
+    laid = rows.withColumns({**keys, "_lot": F.coalesce(lot.cast("long"), F.lit(NOWHERE)), **{f"_v_{n}": v for n, (_, v, _) in folds.items()}})
+    by = [*keys, "_lot"]
+    totals = laid.groupBy(*by).agg(*(fold(f"_v_{n}").alias(f"_t_{n}") for n, (fold, _, _) in folds.items()))
+    before = Window.partitionBy(*keys).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, *(fold(f"_t_{n}").over(before).alias(f"_s_{n}") for n, (fold, _, _) in folds.items()))
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = laid.withColumns({f"_i_{n}": fold(f"_v_{n}").over(inside) for n, (fold, _, _) in folds.items()})
+    found = {n: both(F.col(f"_s_{n}"), F.col(f"_i_{n}")) for n, (_, _, both) in folds.items()}
+    return within.join(starts, by).withColumns(found).drop(*by, *(f"_{p}_{n}" for n in folds for p in "vis"))
 
 
 def running_total(rows: DataFrame, groups: list[str], order: list, lot: Column, value: Column, name: str) -> DataFrame:
-    """rows with the sum of `value` over the rows of the group up to and with each, by `order`, which is unique there.
-
-    lot must not decrease along the order. Sums run within a lot, and a lot starts at the total of those before it; only
-    these totals, one row a lot, meet in a window by group.
-    """
-    laid = _dealt(rows.withColumn("_lot", lot).withColumn("_value", value), groups)
-    totals = _once(laid.groupBy(*groups, "_lot").agg(F.sum("_value").alias("_n"), _all(laid)))
-    before = Window.partitionBy(*groups).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*groups, "_lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = laid.withColumn("_sum", F.sum("_value").over(inside)).join(starts, [*groups, "_lot"])
-    return joined.withColumn(name, (F.col("_start") + F.col("_sum")).cast("long")).drop("_lot", "_value", "_sum", "_start")
+    """rows with the sum of `value` over the rows of the group up to and with each; see running."""
+    return running(rows, groups, order, lot, sums={name: value.cast("long")})
 
 
 def number_rows(rows: DataFrame, groups: list[str], order: list, lot: Column, name: str = "number") -> DataFrame:
-    """rows with their number (from 1) in each group by `order`; see running_total."""
-    return running_total(rows, groups, order, lot, F.lit(1).cast("long"), name)
-
-
-def running_max(rows: DataFrame, groups: list[str], order: list, lot: Column, value: Column, name: str) -> DataFrame:
-    """rows with the greatest `value` of the group up to and with each, in the way of running_total."""
-    laid = _dealt(rows.withColumn("_lot", lot).withColumn("_value", value), groups)
-    most = _once(laid.groupBy(*groups, "_lot").agg(F.max("_value").alias("_m"), _all(laid)))
-    before = Window.partitionBy(*groups).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = most.withColumn("_start", F.max("_m").over(before)).drop("_m")
-    inside = Window.partitionBy(*groups, "_lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = laid.withColumn("_max", F.max("_value").over(inside)).join(starts, [*groups, "_lot"])
-    return joined.withColumn(name, F.greatest("_start", "_max")).drop("_lot", "_value", "_max", "_start")
+    """rows with their number (from 1) in each group by `order`; see running."""
+    return running_total(rows, groups, order, lot, F.lit(1), name)

@@ -12,19 +12,21 @@ def publish(rows: DataFrame, documents: DataFrame, feeds: DataFrame, content: st
     """Upsert: rows (scope, id, pos, content, deleted) against documents; unchanged content makes no version.
 
     A delete of what doesn't exist is `none`, of a tombstone `unchanged`. Content excludes the timestamp. Repeated
-    ids in rows are to be resolved by the caller. Returns scope, id, action, version.
+    ids in rows are to be resolved by the caller. A row without a scope or an id is `invalid`; one without a position comes first.
+    Returns scope, id, action, version.
     """
     d = documents.select(F.col("scope").alias("_s"), F.col("id").alias("_i"), F.col(content).alias("_c"), F.col("deleted").alias("_d"), F.col("version").alias("_v"))
     joined = rows.join(d, (F.col("scope") == F.col("_s")) & (F.col("id") == F.col("_i")), "left")
     action = (
-        F.when(F.col("deleted") & F.col("_i").isNull(), "none")
+        F.when(F.col("scope").isNull() | F.col("id").isNull(), "invalid")
+        .when(F.col("deleted") & F.col("_i").isNull(), "none")
         .when(F.col("deleted") & F.col("_d"), "unchanged")
         .when(F.col("deleted"), "deleted")
         .when(~F.coalesce("_d", F.lit(False)) & F.col("_c").eqNullSafe(F.col(content)) & F.col("_i").isNotNull(), "unchanged")
         .otherwise("written")
     )
     decided = joined.withColumn("action", action)
-    fresh = number_rows(decided.filter(F.col("action").isin("written", "deleted")), ["scope"], ["pos"], lot_of(F.col("pos")), "_n")
+    fresh = number_rows(decided.filter(F.col("action").isin("written", "deleted")), ["scope"], ["pos", "id"], lot_of(F.col("pos")), "_n")
     versioned = fresh.join(feeds.select("scope", "head"), "scope", "left").select("scope", "id", "action", (F.coalesce("head", F.lit(0)) + F.col("_n")).alias("version"))
     return versioned.unionByName(decided.filter(~F.col("action").isin("written", "deleted")).select("scope", "id", "action", F.col("_v").alias("version")))
 

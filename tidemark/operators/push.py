@@ -4,6 +4,8 @@ Operations (ops): scope, pos (place in the request), operation_id, document_id,
 document), updated_at, payload, group, group_size. Documents: scope, id, version, payload. Receipts: operation_id,
 fingerprint, kind, version, error_code. Feeds: scope, head, purged_through.
 
+An operation without a scope or a position is malformed as any other, and answered `invalid`.
+
 A request holds one deciding operation per document, so no decision depends on another's effect: joins find what
 exists, one ladder of conditions decides, windows over a group or a document settle what members share.
 """
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.functions.ids import id_valid, utf16_units
-from tidemark.operators.numbering import lot_of, running_total
+from tidemark.operators.numbering import lot_of, number_rows
+from tidemark.sources.scratch import stored
 
 MOST_SKEW_MS = 300_000
 
@@ -33,13 +36,13 @@ def members() -> WindowSpec:
 
 
 def solo() -> Column:
-    return F.when(F.col("group").isNull(), F.col("pos"))
+    return F.when(F.col("group").isNull(), F.coalesce(F.col("pos"), F.xxhash64("operation_id", "document_id", "payload")))
 
 
 def malformed() -> Column:
     return (
         ~id_valid(F.col("operation_id")) | ~id_valid(F.col("document_id")) | F.col("payload").isNull() | ~F.col("body_id").eqNullSafe(F.col("document_id"))
-        | F.coalesce(F.col("base_version") < 1, F.lit(False))
+        | F.coalesce(F.col("base_version") < 1, F.lit(False)) | F.col("scope").isNull() | F.col("pos").isNull()
     )
 
 
@@ -58,7 +61,7 @@ def evaluate(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: D
     # Documents are claimed in processing order by operations that are well formed; these come first in the window. The
     # window and the join with the documents share one exchange, as do the receipts' join and the window by operation id.
     # Ids of malformed operations, which may all be empty, get a key of their own.
-    own = lambda c, wrong: F.when(F.col(wrong), F.concat(F.lit("\u0000"), F.col("pos").cast("string"))).otherwise(F.col(c))
+    own = lambda c, wrong: F.when(F.col(wrong), F.concat(F.lit("\u0000"), F.coalesce("pos", F.xxhash64("operation_id", "document_id", "payload")).cast("string"))).otherwise(F.col(c))
     bad = bad.withColumn("_claim", own("document_id", "malformed"))
     claims = Window.partitionBy("scope", "_claim").orderBy("malformed", *order)
     d = documents.select(F.col("scope").alias("d_scope"), F.col("id").alias("d_id"), F.col("version").alias("current_version"), F.col("payload").alias("current_payload"))
@@ -113,12 +116,16 @@ def settle_groups(evaluated: DataFrame) -> DataFrame:
 
 
 def assign_versions(settled: DataFrame) -> DataFrame:
-    """Fresh accepted operations get the feed's next versions: independent ones in request order, then groups by first member."""
+    """Fresh accepted operations get the feed's next versions: independent ones in request order, then groups by first member.
+
+    The decisions are stored before, since numbering reads them twice; the others pass by it.
+    """
+    settled = stored(settled, "decided")
     fresh = (F.col("kind") == "accepted") & ~F.col("duplicate")
     grouped = F.col("group").isNotNull()
     lot = grouped.cast("long") * F.lit(1 << 40) + lot_of(F.col("first_pos"))
-    counted = running_total(settled, ["scope"], [grouped, "first_pos", "pos"], lot, fresh.cast("long"), "_n")
-    return counted.withColumn("version", F.when(fresh, F.col("head") + F.col("_n")).otherwise(F.col("version"))).drop("_n")
+    counted = number_rows(settled.filter(fresh), ["scope"], [grouped, "first_pos", "pos"], lot, "_n")
+    return counted.withColumn("version", F.col("head") + F.col("_n")).drop("_n").unionByName(settled.filter(~F.coalesce(fresh, F.lit(False))))
 
 
 def push(ops: DataFrame, documents: DataFrame, receipts: DataFrame, feeds: DataFrame, now_ms: int, **rules) -> DataFrame:
