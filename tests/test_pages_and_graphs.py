@@ -5,12 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, wire
-from tidemark.operators import clocks, feed, numbering, queries, readmodel, replica, status
+from tidemark.operators import graphs, clocks, feed, numbering, queries, readmodel, replica, status
 from tidemark.sources import stores
 
 
 def order_of(spark, nodes, edges):
-    rows = status.ancestors_first(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "node string, needs string")).collect()
+    rows = graphs.ancestors_first(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "node string, needs string")).collect()
     return {r["node"]: r["depth"] for r in rows}
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import feed, packages, readmodel
-from tidemark.streaming import feeds
+from tidemark.streaming import feeds, stateful
 
 OPS = "scope string, pos long, operation_id string, document_id string, base_version long, body_id string, updated_at string, payload string, `group` string, group_size int"
 
@@ -30,12 +30,13 @@ def test_streamed_changes_compact_to_the_latest(spark, sf, tmp_path):
     events.repartition(5).write.parquet(str(source))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     feeds.compacted(stream, f"file://{tmp_path}/out", ["scope", "id"], f"{tmp_path}/cp").awaitTermination(300)
-    got = feeds.newest(spark, f"file://{tmp_path}/out", events.schema)
+    got = feeds.newest(spark, f"file://{tmp_path}/out", ["scope", "id"]).select(*events.columns)
     want = feed.latest(events, ["scope", "id"]).select(*events.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_streamed_pushes_are_decided_once(spark, tmp_path):
+    stateful.use_state_store(spark)
     stamp = "000000000000001:000000:n"
     op = lambda pos, o, d, base, payload: ("s", pos, o, d, base, d, stamp, payload, None, 0)
     batches = [
@@ -43,18 +44,24 @@ def test_streamed_pushes_are_decided_once(spark, tmp_path):
         [op(1, "op1", "a", None, "a1"), op(2, "op3", "b", 2, "b2"), op(3, "op4", "c", None, "c1")],
         [op(1, "op5", "a", None, "a2"), op(2, "op3", "b", 2, "b2")],
     ]
-    source = tmp_path / "in"
-    source.mkdir()
     for i, rows in enumerate(batches):
-        part = tmp_path / f"p{i}"
-        spark.createDataFrame(rows, OPS).coalesce(1).write.parquet(str(part))
-        next(part.glob("*.parquet")).rename(source / f"{i}.parquet")
-        stream = spark.readStream.schema(OPS).parquet(str(source))
-        feeds.pushed(stream, f"file://{tmp_path}/state", f"{tmp_path}/cp", 0).awaitTermination(300)
-    docs = {r["id"]: (r["version"], r["payload"]) for r in feeds.newest(spark, f"file://{tmp_path}/state/documents", spark.createDataFrame([], feeds.DOCUMENTS).schema).collect()}
-    assert docs == {"a": (1, "a1"), "b": (3, "b2"), "c": (4, "c1")}
-    last = spark.read.parquet(feeds.versioned(f"file://{tmp_path}/state/outcomes", 2)).collect()
-    assert {(r["operation_id"], r["kind"], r["duplicate"]) for r in last} == {("op5", "conflict", False), ("op3", "accepted", True)}
+        spark.createDataFrame(rows, OPS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(OPS).parquet(f"{tmp_path}/in/*")
+        feeds.kept(stateful.pushed(stream, 0), f"file://{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(300)
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(r["document_id"], r["version"]) for r in out if r["kind"] == "accepted"} == {("a", 1), ("b", 2), ("b", 3), ("c", 4)}
+    last = max(r["batch"] for r in out)
+    assert {(r["operation_id"], r["kind"], r["duplicate"]) for r in out if r["batch"] == last} == {("op5", "conflict", False), ("op3", "accepted", True)}
+
+
+def test_late_commits_raise_no_hint(spark, tmp_path):
+    rows = [[("2024-01-01 00:00:01", "s", 1)], [("2024-01-01 01:00:00", "s", 2)], [("2024-01-01 00:00:02", "s", 3), ("2024-01-01 01:00:01", "s", 4)]]
+    for i, r in enumerate(rows):
+        spark.createDataFrame(r, "at string, scope string, version long").withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema("at timestamp, scope string, version long").parquet(f"{tmp_path}/in/*")
+        feeds.kept(feeds.hints(stream, "at"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(300)
+    out = spark.read.parquet(f"{tmp_path}/out").groupBy("at").agg(F.max("version").alias("v"), F.max("n").alias("n")).orderBy("at").collect()
+    assert [(r["v"], r["n"]) for r in out] == [(1, 1), (4, 2)]
 
 
 def test_hints_coalesce(spark, tmp_path):
@@ -98,20 +105,3 @@ def test_flat_records_and_blob_files(spark, tmp_path):
     assert (blob["id"], blob["size"], blob["sha256"][:8]) == ("x.bin", 3, "ba7816bf")
     write_feed(spark.range(10).select(F.col("id").alias("version"), (F.col("id") % 2).alias("scope")), f"{tmp_path}/feed")
     assert spark.read.parquet(f"{tmp_path}/feed").filter("scope = 1 and version > 5").count() == 2
-
-
-def test_runs_grow_by_levels(spark, tmp_path):
-    schema = spark.createDataFrame([], "scope string, id int, version long").schema
-    path, state = f"file://{tmp_path}/t", {}
-    for n in range(18):
-        rows = [("s", (n * 5 + i * 3) % 11, n * 100 + i) for i in range(6)]
-        for _ in range(2 if n in (0, 7, 9, 15) else 1):  # some batches are repeated
-            feeds.add_run(spark.createDataFrame(rows, schema).coalesce(1), path, schema, n, ["scope", "id"], "version")
-        before = dict(state)
-        for scope, i, version in rows:
-            state[scope, i] = max(version, state.get((scope, i), 0))
-        read = lambda below=None: {(r["scope"], r["id"]): r["version"] for r in feeds.newest(spark, path, schema, below).collect()}  # noqa: B023, E731
-        if n in (0, 6, 7, 8, 15, 17):
-            assert read() == state and read(n) == before
-    names = sorted(p.name for p in (tmp_path / "t").glob("run=*"))
-    assert names[0] == "run=000000000000-000000000007" and len(names) == 11  # 0-7, 8-14 one by one until later batches are sure of them, 8-15, 16, 17

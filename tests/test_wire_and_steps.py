@@ -104,3 +104,18 @@ def test_retention_refuses_short_receipts(spark):
     for horizons in ((0, None), (10, 9)):
         with pytest.raises(ValueError):
             feed.retention_run(empty, empty, empty, empty, empty, 1, *horizons)
+
+
+def test_two_writers_of_one_step(spark, tmp_path, monkeypatch):
+    """The second writer looked before the first was done: it gets an error, and the first one's records stay."""
+    from tidemark.sources import stores
+
+    path = f"{tmp_path}/records"
+    assert stores.commit_records(spark.range(3), ("e~:1", 1), path) == 1
+    seen, look = stores.stored_records(spark, path), stores.stored_records
+    assert stores.commit_records(spark.range(5), ("e~:2", 1), path) == 2
+    monkeypatch.setattr(stores, "stored_records", lambda *_: seen)
+    with pytest.raises(Exception, match="(?i)exist"):
+        stores.commit_records(spark.range(9), ("e~:3", 1), path)
+    rows, cursor, number = look(spark, path)
+    assert (rows.count(), cursor, number) == (5, ("e~:2", 1), 2)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import id_order, id_valid
-from tidemark.operators.numbering import lot_of, number_rows
+from tidemark.operators.numbering import lot_of, number_rows, running
 
 
 def latest(changelog: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
@@ -78,6 +78,21 @@ def horizon_as_of(samples: DataFrame, cutoff: Column, keys: list[str], at: str =
     return samples.filter(F.col(at) <= cutoff).groupBy(*keys).agg(F.max_by(F.col(head), F.col(at)).alias("horizon"))
 
 
+def as_of(probes: DataFrame, samples: DataFrame, keys: list[str], at: str, value: str, lot: Column, name: str) -> DataFrame:
+    """probes with the value of the last sample of their keys at or before each one's own time; of samples at one time the greatest.
+
+    Samples and probes are one sequence by time, in which a probe takes the last sample seen: a running maximum of (time, value),
+    in lots of the time, so a key's history doesn't meet in one task and there is no join by range. lot: a number that
+    doesn't decrease with `at`. A probe without a time, or before all samples, gets null.
+    """
+    own = F.struct(*(F.col(c) for c in probes.columns))
+    asked = probes.select(*keys, F.col(at).alias("_at"), lot.alias("_l"), F.lit(None).cast(samples.schema[value].dataType).alias("_v"), F.lit(1).alias("_asked"), own.alias("_row"))
+    seen = samples.filter(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_at"), lot.alias("_l"), F.col(value).alias("_v"), F.lit(0).alias("_asked"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    last = F.when(F.col("_asked") == 0, F.struct("_at", "_v"))
+    found = running(seen.unionByName(asked), keys, ["_at", "_asked"], F.col("_l"), maxes={"_last": last}).filter("_asked = 1")
+    return found.select("_row.*", F.when(F.col("_at").isNotNull(), F.col("_last._v")).alias(name))
+
+
 def purge_tombstones(documents: DataFrame, horizons: DataFrame, scope: str = "scope") -> DataFrame:
     """The documents that stay: tombstones at or below the horizon of their scope go."""
     joined = documents.join(horizons.select(F.col(scope).alias("_s"), F.col("horizon").alias("_h")), F.col(scope) == F.col("_s"), "left")

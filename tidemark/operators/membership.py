@@ -25,6 +25,25 @@ def access_rows(writes: DataFrame, keys: list[str], readers: str = "readers", ve
     return rows.groupBy(F.col("a.principal").alias("principal"), *keys).agg(F.max(version).alias(version), F.max_by(F.col("a.granted"), F.col(version)).alias("granted"))
 
 
+def access_changes(access: DataFrame, writes: DataFrame, keys: list[str], readers: str = "readers", version: str = "version", deleted: str = "deleted") -> DataFrame:
+    """The access rows that a batch of writes changes or adds, from the access rows so far instead of all writes before.
+
+    Of the documents written, those who may read now stand for what was before the batch; so the work follows the batch and
+    the readers of its documents. Batches come in the order of versions. `merge_access` folds the result into the rows.
+    """
+    touched = writes.select(*keys).distinct()
+    known = access.filter("granted").join(touched, keys, "left_semi").groupBy(*keys).agg(F.collect_set("principal").alias(readers))
+    before = known.select(*keys, F.lit(-(1 << 62)).alias(version), F.lit(False).alias(deleted), readers)
+    both = before.unionByName(writes.select(*keys, F.col(version).cast("long").alias(version), deleted, readers))
+    return access_rows(both, keys, readers, version, deleted).filter(F.col(version) > -(1 << 62))
+
+
+def merge_access(access: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The access rows after changes: those named by a change give way to it."""
+    named = ["principal", *keys]
+    return access.join(changes.select(*named), named, "left_anti").unionByName(changes.select(*access.columns))
+
+
 def membership_page(access: DataFrame, documents: DataFrame, principal: str, since: int, limit: int, keys: list[str], removals: bool = True, can_read: Column | None = None) -> DataFrame:
     """A page of a principal's feed with `has_more` and `checkpoint`: changes where access is granted, removals where it was revoked.
 

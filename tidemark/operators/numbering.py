@@ -34,9 +34,10 @@ def running(rows: DataFrame, groups: list[str], order: list, lot: Column, sums:
     folds = {n: (F.sum, v, lambda start, own: F.coalesce(start, F.lit(0)) + own) for n, v in (sums or {}).items()}
     folds |= {n: (F.max, v, F.greatest) for n, v in (maxes or {}).items()}
     keys = group_keys(groups)
-    laid = rows.withColumns({**keys, "_lot": F.coalesce(lot.cast("long"), F.lit(NOWHERE)), **{f"_v_{n}": v for n, (_, v, _) in folds.items()}})
     by = [*keys, "_lot"]
-    totals = laid.groupBy(*by).agg(*(fold(f"_v_{n}").alias(f"_t_{n}") for n, (fold, _, _) in folds.items()))
+    laid = rows.withColumns({**keys, "_lot": F.coalesce(lot.cast("long"), F.lit(NOWHERE)), **{f"_v_{n}": v for n, (_, v, _) in folds.items()}}).repartition(*by)
+    every = F.max(F.xxhash64(*laid.columns)).alias("_every")
+    totals = laid.groupBy(*by).agg(*(fold(f"_v_{n}").alias(f"_t_{n}") for n, (fold, _, _) in folds.items()), every).filter("_every IS NOT NULL")
     before = Window.partitionBy(*keys).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, *(fold(f"_t_{n}").over(before).alias(f"_s_{n}") for n, (fold, _, _) in folds.items()))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -135,22 +135,23 @@ def index_entries(rows: DataFrame, tokens: dict[str, Column], id_col: str = "id"
 
 
 def entry_page(entries: DataFrame, index: str, low: str | None = None, high: str | None = None, after: tuple[str, str] | None = None, limit: int = 100) -> DataFrame:
-    """A page of an index's entries by (key, id), between two tokens and after a cursor; bounds reach the scan of stored entries."""
+    """A page of an index's entries by (key, id), between two tokens and after a cursor, all in ordinal order. `sources.layouts` stores entries so that bounds prune."""
     found = entries.filter(F.col("index") == index)
+    own, at = id_order(F.col("key")), lambda text: id_order(F.lit(text))
     if low is not None:
-        found = found.filter(F.col("key") >= low)
+        found = found.filter(own >= at(low))
     if high is not None:
-        found = found.filter(F.col("key") <= high)
+        found = found.filter(own <= at(high))
     if after is not None:
         key, i = after
-        found = found.filter(F.col("key") >= key).filter((F.col("key") > key) | (id_order(F.col("id")) > id_order(F.lit(i))))
+        found = found.filter((own > at(key)) | ((own == at(key)) & (id_order(F.col("id")) > at(i))))
     return found.orderBy(id_order(F.col("key")), id_order(F.col("id"))).limit(limit)
 
 
 def rows_of(page: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """The rows a page of entries stands for, in its order. A page has a limit, so it may be broadcast."""
+    """The rows a page of entries stands for, in its order."""
     p = page.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
-    return rows.join(F.broadcast(p), F.col(id_col) == F.col("_id")).orderBy(id_order(F.col("_key")), id_order(F.col("_id"))).drop("_key", "_id")
+    return rows.join(p, F.col(id_col) == F.col("_id")).orderBy(id_order(F.col("_key")), id_order(F.col("_id"))).drop("_key", "_id")
 
 
 def to_rebuild(stored: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,11 +161,11 @@ def to_rebuild(stored: DataFrame, declared: DataFrame, keys: list[str]) -> DataF
 
 
 def prefix_page(records: DataFrame, prefix: str, after: str | None, limit: int) -> DataFrame:
-    """A page of the keys that start with a prefix."""
+    """A page of the keys that start with a prefix, in ordinal order."""
     found = records.filter(F.col("key").startswith(prefix))
     if after is not None:
-        found = found.filter(F.col("key") > after)
-    return found.orderBy("key").limit(limit)
+        found = found.filter(id_order(F.col("key")) > id_order(F.lit(after)))
+    return found.orderBy(id_order(F.col("key"))).limit(limit)
 
 
 def compare_and_set(records: DataFrame, mutations: DataFrame, fence: Column) -> DataFrame:

@@ -59,28 +59,6 @@ def coordinator(status: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ancestors_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, depth): collections in an order in which each follows all that it depends on; depth null where a cycle forbids any.
-
-    edges: node, needs. The depth is the longest chain below a node. A set of collections is small, so the graph is one row;
-    each pass sets every node's depth from those of what it needs, no path is walked twice, and whatever still rises
-    after as many passes as there are nodes is on a cycle or above one.
-    """
-    known = nodes.select("node").distinct()
-    pairs = edges.select(F.col("node").alias("_n"), F.col("needs").alias("_m")).distinct().join(known.select(F.col("node").alias("_k")), F.col("_m") == F.col("_k"), "left_semi")
-    needs = pairs.groupBy("_n").agg(F.collect_list("_m").alias("_ms"))
-    each = known.join(needs, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_ms", F.array()).alias("needs"))
-    graph = each.agg(F.array_sort(F.collect_list(F.struct("node", "needs"))).alias("g")).withColumn("names", F.transform("g", lambda x: x["node"]))
-    graph = graph.withColumn("below", F.transform("g", lambda x: F.transform(x["needs"], lambda m: F.array_position("names", m).cast("int") - 1))).withColumn("n", F.size("g"))
-    zero = F.transform("g", lambda x: F.lit(0))
-    # A depth beyond the number of nodes says no more, so it stays there.
-    deeper = lambda depths, below: F.when(F.size(below) == 0, F.lit(0)).otherwise(F.least(F.col("n"), F.array_max(F.transform(below, lambda i: F.get(depths, i))) + 1))
-    passes = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))
-    found = graph.withColumn("depths", F.aggregate(passes, zero, lambda depths, _: F.transform("below", lambda below: deeper(depths, below))))
-    rows = found.select("n", F.explode(F.arrays_zip("names", "depths")).alias("r"))
-    return rows.select(F.col("r.names").alias("node"), F.when(F.col("r.depths") < F.col("n"), F.col("r.depths")).alias("depth"))
-
-
 def stale(last_pulled: Column, now: Column, threshold: Column) -> Column:
     return last_pulled.isNull() | (now - last_pulled > threshold)
 

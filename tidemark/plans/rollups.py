@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import status
+from tidemark.operators import graphs, status
 from tidemark.plans.querying import _KV, _kv
 from tidemark.plans.registry import query
 from tidemark.sources import derived
@@ -42,7 +42,7 @@ def coordinator_status(spark, sf_dir):
 def dag_order(spark, sf_dir):
     n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
     edges = n.filter(k > 0).select(k.alias("node"), F.floor(k / 2).cast("int").alias("needs")).unionByName(n.filter((k % 3 == 1) & (k > 1)).select(k.alias("node"), F.floor(k / 3).cast("int").alias("needs")))
-    return status.ancestors_first(n.select(k.alias("node")), edges)
+    return graphs.ancestors_first(n.select(k.alias("node")), edges)
 
 
 @query("SELECT c_custkey, c_custkey % 9 = 0 OR 100 - c_custkey % 100 > 60 AS stale FROM customer")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,27 +73,38 @@ def write_feed(docs: DataFrame, path: str, scope: str = "scope", version: str =
     docs.repartitionByRange(F.col(scope), F.col(version)).sortWithinPartitions(scope, version).write.partitionBy(scope).parquet(path)
 
 
+def _cursors(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/cursors")
+    return hadoop, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def commit_records(records: DataFrame, cursor: tuple[str, int], path: str) -> int:
     """Store all records and the replica's cursor (checkpoint, generation) as one step; returns its number.
 
-    The cursor is written last, so a step without one never happened, and of two writers of one step the second fails.
+    Records go to a folder of a fresh name, which the cursor names. The cursor is one small file that is created last and never
+    overwritten: a step without one never happened, and of two writers of one step the second gets an error and leaves nothing
+    that is read. That holds as far as the store creates files exclusively, as HDFS does.
     """
     spark = records.sparkSession
     done = stored_records(spark, path)
     number = 1 if done is None else done[2] + 1
-    records.write.mode("overwrite").parquet(f"{path}/records/step={number}")
-    spark.createDataFrame([cursor], "checkpoint string, generation long").coalesce(1).write.mode("errorifexists").parquet(f"{path}/cursors/step={number}")
+    folder = f"records/{uuid.uuid4().hex}"
+    records.write.parquet(f"{path}/{folder}")
+    hadoop, cursors, fs = _cursors(spark, path)
+    target = hadoop.Path(cursors, f"step={number:012d}.json")
+    out = fs.create(target, False)
+    out.write(bytearray(json.dumps({"checkpoint": cursor[0], "generation": cursor[1], "records": folder}).encode()))
+    out.close()
     return number
 
 
 def stored_records(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, int], int] | None:
     """(records, cursor, number) of the last whole step, if there is any."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{path}/cursors")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    steps = [int(s.getPath().getName()[5:]) for s in fs.listStatus(folder) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))] if fs.exists(folder) else []
-    if not steps:
-        return None
-    number = max(steps)
-    cursor = spark.read.parquet(f"{path}/cursors/step={number}").first()
-    return spark.read.parquet(f"{path}/records/step={number}"), (cursor["checkpoint"], cursor["generation"]), number
+    _, folder, fs = _cursors(spark, path)
+    steps = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    for name in reversed(steps):
+        row = spark.read.schema("checkpoint string, generation long, records string").json(f"{path}/cursors/{name}").first()
+        if row is not None and row["records"] is not None:  # a writer that died while creating it left an empty file
+            return spark.read.parquet(f"{path}/{row['records']}"), (row["checkpoint"], row["generation"]), int(name[5:17])
+    return None
