@@ -102,3 +102,17 @@ def test_empty(none):
 def test_crc(odd):
     got = pack(odd, PATH).select("ids", F.crc32("ids").alias("c")).first()
     assert got["c"] == zlib.crc32(bytes(got["ids"]))
+
+
+def test_copies_spread_alike_however_rows_are_split(spark):
+    """Rows that repeat, some of them very often, get the same groups over any partitioning."""
+    rows = [(7, "same text under one id")] * 3000 + [(i % 40, f"text {i % 80}") for i in range(1000)] + [(None, "no id")] * 50 + [(None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def packed(parts):
+        pieces = pack(docs.repartition(parts), PATH, group_bytes=4096)
+        return sorted((tuple(r) for r in pieces.select("doc_id", "start", "length", "sequence_id", "offset").collect()), key=repr)
+
+    one = packed(1)
+    assert len({r[3] // 1 for r in one if r[0] == 7}) > 5
+    assert packed(7) == one

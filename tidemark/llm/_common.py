@@ -85,3 +85,25 @@ def id_type(df: DataFrame, name: str) -> str:
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """Hint a broadcast only after counting rows; df should be a stored table, whose count is cheap."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def numbered_copies(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(rows (id string, text, copy), bytes of all texts and 8 a row): rows that repeat an id with its text are told apart by a number from 0.
+
+    The numbers follow from the rows alone, however these are split: digests that occur more than once are counted, their
+    rows become one each with a count, and are repeated with numbers. All other rows pass as they are, without a shuffle.
+    """
+    own = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    key = F.xxhash64("id", "text")
+    counts = own.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("bytes"))
+    counts = stored(counts, "row-counts")
+    total = counts.agg(F.sum("bytes")).first()[0] or 0
+    several = counts.filter("n > 1").select("key")
+    once = own.withColumn("copy", F.lit(0).cast("long"))
+    if several.limit(1).count() == 0:
+        return once, total
+    several = broadcast_if_small(several, 1_000_000)
+    keyed = own.withColumn("key", key)
+    repeated = keyed.join(several, "key", "left_semi").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
+    copies = repeated.select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return keyed.withColumn("copy", F.lit(0).cast("long")).join(several, "key", "left_anti").select("id", "text", "copy").unionByName(copies), total

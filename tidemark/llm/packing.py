@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import id_type, map_batches
+from tidemark.llm._common import id_type, map_batches, numbered_copies
 
 # Fixed value: how byte-level BPE vocabularies of this family cut text into words before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,32 +127,28 @@ def top_up(sizes: np.ndarray, where: np.ndarray, at: np.ndarray, capacity: int,
     return tuple(np.concatenate([whole, np.array(parts, dtype=np.int64).reshape(-1, 5).T], axis=1))
 
 
-def token_streams(docs: DataFrame, vocabulary: str, groups: int, seed: int, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, grp, ids): the ids of each document and its random group. ids are little-endian, 2 bytes each if the vocabulary allows."""
+def token_streams(rows: DataFrame, vocabulary: str, groups: int, seed: int, separator: int = 0) -> DataFrame:
+    """(id, grp, ids) of rows (id, text, copy): the ids of each document and its random group; copies spread over the groups, too. ids are little-endian, 2 bytes each if the vocabulary allows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         encode = encoder(vocabulary)
-        kind, repeats = "<u2" if encode.size <= 1 << 16 else "<u4", Counter()
+        kind = "<u2" if encode.size <= 1 << 16 else "<u4"
         names = ["id", "grp", "width", "ids"]
         rows, held = [], 0
         for batch in batches:
-            for i, t in zip(batch["id"], batch["text"], strict=True):
+            for i, t, copy in zip(batch["id"], batch["text"], batch["copy"], strict=True):
                 ids = np.array([*encode(t or ""), separator], dtype=kind).tobytes()
                 key = xxhash.xxh64_intdigest(ids, xxhash.xxh64_intdigest(str(i).encode(), seed))
-                repeats[key] += 1  # rows that repeat spread over the groups, too
-                rows.append((i, xxhash.xxh64_intdigest(f"{key} {repeats[key]}".encode(), seed) % groups, int(kind[-1]), ids))
+                rows.append((i, xxhash.xxh64_intdigest(f"{key} {copy + 1}".encode(), seed) % groups, int(kind[-1]), ids))
                 held += len(ids)
                 if held >= FLUSH_BYTES:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
-            if len(repeats) > 500_000:
-                repeats = Counter({k: v for k, v in repeats.items() if v > 1})
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as strings, null ids stay apart from numbers
     return map_batches(rows, run, "id string, grp long, width int, ids binary")
 
 
@@ -163,8 +158,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_bytes: in
     group_bytes: text in a group, which bounds what a task holds; a group always takes whole documents. least_gap: padding
     of at least that many tokens is filled with cut pieces of the emptiest sequences where that saves sequences.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long") + 8)).first()[0] or 0
-    streams = token_streams(docs, vocabulary, max(1, -(-total // group_bytes)), seed, separator, id_col, text_col)
+    rows, total = numbered_copies(docs, id_col, text_col)  # ids as strings: null ones stay apart from numbers
+    streams = token_streams(rows, vocabulary, max(1, -(-total // group_bytes)), seed, separator)
     kind = id_type(docs, id_col)
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

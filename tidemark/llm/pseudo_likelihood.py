@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import id_type, map_batches, stored
+from tidemark.llm._common import id_type, map_batches, numbered_copies, stored
 
 WINDOW, CLASSES, MEMBERS, WIDTH = 2, 128, 128, 16
 #: Hash buckets of rare words, as context; and of the two bytes before a byte, in spelling.
@@ -326,7 +326,7 @@ def untrained(counts: DataFrame, seed: int) -> tuple[Model, int]:
 def laid_out(docs: DataFrame, model: Model, tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(lot, names, sizes, spelled, ids): the encoded documents in lots, stored. tokens: how many there are, about.
 
-    Rows that repeat (under one id, or under none) are numbered as a task meets them, and so spread over the lots, too.
+    Rows that repeat (under one id, or under none) are numbered, and so spread over the lots, too.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.net.words, model.spelling))  # of bounded size
     lots = max(1, -(-tokens // LOT_TOKENS))
@@ -334,23 +334,20 @@ def laid_out(docs: DataFrame, model: Model, tokens: int, id_col: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        known, repeats = Tokens(*shared.value), Counter()
+        known = Tokens(*shared.value)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
                 found = known.encode(part["text"].tolist())
-                repeats.update(part["hash"].tolist())
-                order = [xxhash.xxh64_intdigest(f"{h} {repeats[h]}") >> 1 for h in part["hash"].tolist()]
+                order = [xxhash.xxh64_intdigest(f"{h} {copy + 1}") >> 1 for h, copy in zip(part["hash"].tolist(), part["copy"].tolist(), strict=True)]
                 yield pd.DataFrame({"lot": [x % lots for x in order], "place": order, "id": part["id"].to_numpy(), "spelled": [x for _, x in found], "ids": [x.tobytes() for x, _ in found]})
-            if len(repeats) > 500_000:
-                repeats = Counter({k: v for k, v in repeats.items() if v > 1})
 
     def together(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "spelled"])
         sizes = [len(x) // 2 for x in rows["ids"]]
         return pd.DataFrame({"lot": rows["lot"].iloc[:1], "names": [rows["id"].tolist()], "sizes": [sizes], "spelled": [rows["spelled"].tolist()], "ids": [b"".join(rows["ids"])]})
 
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("hash"))
+    texts = numbered_copies(docs, id_col, text_col)[0].withColumn("hash", F.xxhash64("id", "text"))
     dealt = map_batches(texts, run, "lot long, place long, id string, spelled double, ids binary")
     return stored(dealt.groupBy("lot").applyInPandas(together, "lot long, names array<string>, sizes array<int>, spelled array<double>, ids binary"), "lots")
 
