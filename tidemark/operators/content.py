@@ -87,6 +87,88 @@ def reconcile(metadata: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("sha256", state.alias("state"))
 
 
+#: Owners that last as long as a lock is held, those of packages and of transfers, the host's own, and that of what nobody recognises.
+LIFETIME = r"^(?:reader-v2|snapshot-v2)/([0-9a-f]{64})$"
+PACKAGE = r"^package/([0-9a-f]{64})/([0-9a-f]{64})$"
+TRANSFER = r"^transfers/[0-9a-f]{64}/(up|down)/([0-9a-f]{64})$"
+HOST, RECOVERED = "app/", "recovered/unknown"
+
+
+def inventory(entries: DataFrame, files: DataFrame, lifetimes: DataFrame) -> DataFrame:
+    """The entries (sha256, bytes, owners) after both inventories were compared: those known, and those of whole files without an entry.
+
+    entries: sha256, bytes, owners (array); files: sha256, size (null: not whole), partial (bytes of an unfinished one);
+    lifetimes: name of each lock that is held. Owners whose lock nobody holds are removed, bytes become those on disk
+    (not fewer than before while readers remain), and a file that no entry knows gets an owner that keeps it.
+    """
+    each = entries.select("sha256", F.posexplode("owners").alias("_at", "_owner"), F.regexp_extract(F.col("_owner"), LIFETIME, 1).alias("_name"))
+    held = lifetimes.select(F.col("name").alias("_held")).distinct()
+    timed = each.filter("_name != ''").join(held, F.col("_name") == F.col("_held"), "left_semi")
+    kept = each.filter("_name = ''").unionByName(timed).groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("_at", "_owner"))).getField("_owner").alias("_owners"))
+    known = entries.select("sha256", F.col("bytes").alias("_bytes"), F.lit(True).alias("_known")).join(kept, "sha256", "left")
+    both = known.join(files.select("sha256", F.col("size").alias("_size"), F.col("partial").alias("_partial")), "sha256", "full_outer").filter("_known OR _size IS NOT NULL")
+    owners = F.when(F.col("_known"), F.coalesce("_owners", F.array().cast("array<string>"))).otherwise(F.array(F.lit(RECOVERED)))
+    on_disk = (F.coalesce("_size", F.lit(0)) + F.coalesce("_partial", F.lit(0))).cast("long")
+    read = F.exists("owners", lambda o: o.startswith("reader-v2/"))
+    return both.withColumn("owners", owners).select("sha256", F.when(read, F.greatest(on_disk, F.col("_bytes"))).otherwise(on_disk).cast("long").alias("bytes"), "owners")
+
+
+def owner_states(entries: DataFrame, lifetimes: DataFrame, manifests: DataFrame, pointers: DataFrame, transfers: DataFrame, cleanups: DataFrame, repairs: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(sha256, owner, resolution) of every owner of the entries: live, released, unknown or unavailable.
+
+    manifests: package, revision (digests of the record's key), package_id, revision_id, items (array of digests; null: unreadable);
+    pointers: package, payload (a revision's name); transfers: key, sha256, size, direction, schema; cleanups: key, payload;
+    repairs: key, sha256, state, schema; hosts: sha256, owner, resolution. Only what is proven gone is released. Each kind of
+    owner meets its own table alone, so those of other kinds don't pile up under an empty key.
+    """
+    each = entries.select("sha256", F.explode("owners").alias("owner"))
+    owner = F.col("owner")
+    kind = F.when(owner.rlike(LIFETIME), "lifetime").when(owner.rlike(PACKAGE), "package").when(owner.rlike(TRANSFER) & owner.endswith(F.col("sha256")), "transfer").when(owner.startswith(HOST), "host").otherwise("other")
+    of = lambda k: each.filter(kind == k)
+    told = lambda found: found.select("sha256", "owner", F.col("resolution"))
+
+    held = lifetimes.select(F.col("name").alias("_name"), F.lit(True).alias("_held")).distinct()
+    timed = of("lifetime").join(held, F.regexp_extract(owner, LIFETIME, 1) == F.col("_name"), "left")
+    timed = timed.withColumn("resolution", F.when(F.col("_held"), "live").otherwise("released"))
+
+    at = {"_package": F.regexp_extract(owner, PACKAGE, 1), "_revision": F.regexp_extract(owner, PACKAGE, 2)}
+    m = manifests.select(F.col("package").alias("_package"), F.col("revision").alias("_revision"), F.lit(True).alias("_there"), "items", ((F.sha2("package_id", 256) == F.col("package")) & (F.sha2("revision_id", 256) == F.col("revision"))).alias("_true"))
+    text = F.col("payload")
+    p = pointers.groupBy(F.col("package").alias("_package")).agg(F.bool_or(text.isNull() | (F.trim(text) == "") | (F.length(text) > 256)).alias("_odd"), F.collect_set(F.sha2(text, 256)).alias("_named"))
+    packed = of("package").withColumns(at).join(m, ["_package", "_revision"], "left").join(p, ["_package"], "left")
+    named = F.coalesce(F.col("_odd") | F.array_contains("_named", F.col("_revision")), F.lit(False))
+    packed = packed.withColumn("resolution", F.when(F.col("_there"), F.when(F.col("_true") & F.array_contains("items", F.col("sha256")), "live").otherwise("unknown")).when(named, "unknown").otherwise("released"))
+
+    t = transfers.select(F.col("key").alias("owner"), F.struct("sha256", "size", "direction", "schema").alias("_job"))
+    c = cleanups.select(F.col("key").alias("owner"), F.struct("payload").alias("_cleanup"))
+    r = repairs.select(F.col("key").alias("owner"), F.struct("sha256", "state", "schema").alias("_repair"))
+    sent = of("transfer").join(t, "owner", "left").join(c, "owner", "left").join(r, "owner", "left")
+    job, repair = (lambda f: F.col(f"_job.{f}")), (lambda f: F.col(f"_repair.{f}"))
+    sound = (job("schema") == 1) & (job("sha256") == F.col("sha256")) & (job("size") >= 0) & (job("direction") == F.regexp_extract(owner, TRANSFER, 1))
+    mended = (repair("schema") == 1) & (repair("state") == "completed") & (repair("sha256") == F.col("sha256"))
+    uncertain = F.col("_cleanup").isNotNull() & ~F.col("_cleanup.payload").eqNullSafe(F.lit("1"))
+    sent = sent.withColumn("resolution", F.when(F.col("_job").isNotNull(), F.when(sound, "live").otherwise("unknown")).when(uncertain, "unknown").when(F.col("_repair").isNull() | mended, "released").otherwise("unknown"))
+
+    asked = of("host").join(hosts.select("sha256", "owner", "resolution"), ["sha256", "owner"], "left").withColumn("resolution", F.coalesce("resolution", F.lit("unknown")))
+    rest = of("other").withColumn("resolution", F.lit("unknown"))
+    return told(timed).unionByName(told(packed)).unionByName(told(sent)).unionByName(told(asked)).unionByName(told(rest))
+
+
+def maintained(entries: DataFrame, states: DataFrame) -> DataFrame:
+    """The entries without the owners that are released, in their order."""
+    gone = states.filter("resolution = 'released'").groupBy("sha256").agg(F.collect_set("owner").alias("_gone"))
+    left = F.array_except("owners", F.coalesce("_gone", F.array().cast("array<string>")))
+    return entries.join(gone, "sha256", "left").withColumn("owners", F.when(F.col("_gone").isNull(), F.col("owners")).otherwise(left)).drop("_gone")
+
+
+def maintenance_totals(entries: DataFrame, states: DataFrame) -> DataFrame:
+    """One row: owners by resolution, and the bytes of entries that some owner still protects."""
+    n = lambda r: F.count_if(F.col("resolution") == r)
+    counts = states.agg(F.count(F.lit(1)).alias("examined"), n("live").alias("live"), n("released").alias("released"), n("unknown").alias("unknown"), n("unavailable").alias("unavailable"))
+    kept = maintained(entries, states).agg(F.coalesce(F.sum(F.when(F.size("owners") > 0, F.col("bytes"))), F.lit(0)).alias("protected_bytes"))
+    return counts.crossJoin(F.broadcast(kept))  # one row each
+
+
 def chunks(blobs: DataFrame, content: str, chunk_bytes: int) -> DataFrame:
     """Chunks of each blob: id, chunk (from 0), bytes, sha256. An empty blob has none. Chunks are cut and hashed in the blob's row, so none is multiplied."""
     data = F.col(content).cast("binary")

@@ -23,14 +23,20 @@ def latest(changelog: DataFrame, keys: list[str], version: str = "version") -> D
 def page_with_facts(window: DataFrame, since: int, limit: int, ok: Column, version: str = "version") -> DataFrame:
     """The rows of a page that are ok, each with the page's `has_more` and `checkpoint`; without any, one row of nulls with these.
 
-    window: the limit + 1 rows after the position at most; they meet in one row, so that the facts outlive all of them.
+    window: the limit + 1 rows after the position at most. A row of nulls is added that comes last and stays only where no other
+    does; the facts are folds over all of them, so payloads never meet in one row and a page may be of any size.
     """
-    by_version = lambda a, b: F.when(a["_v"] < b["_v"], -1).when(a["_v"] > b["_v"], 1).otherwise(0)
-    packed = window.select(F.struct(F.col(version).alias("_v"), F.coalesce(ok, F.lit(False)).alias("_ok"), F.struct("*").alias("_row")).alias("_r")).agg(F.array_sort(F.collect_list("_r"), by_version).alias("_p"))
-    page = F.slice("_p", 1, limit)
-    facts = packed.select(page.alias("_page"), (F.size("_p") > limit).alias("has_more"), F.coalesce(F.get(page, F.size(page) - 1)["_v"], F.lit(since).cast("long")).alias("checkpoint"))
-    rows = facts.select(F.explode_outer(F.filter("_page", lambda r: r["_ok"])).alias("_r"), "has_more", "checkpoint")
-    return rows.select(*(F.col(f"_r._row.`{c}`").alias(c) for c in window.columns), "has_more", "checkpoint")
+    own = window.columns
+    rows = window.select(*own, F.coalesce(ok, F.lit(False)).alias("_ok"), F.lit(False).alias("_end"))
+    end = window.sparkSession.range(1).select(*(F.lit(None).cast(window.schema[c].dataType).alias(c) for c in own), F.lit(False).alias("_ok"), F.lit(True).alias("_end"))
+    by_place, whole = Window.orderBy("_end", version), Window.orderBy("_end", version).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = rows.unionByName(end).withColumn("_in", ~F.col("_end") & (F.row_number().over(by_place) <= limit))
+    facts = {
+        "has_more": F.count_if(~F.col("_end")).over(whole) > limit,
+        "checkpoint": F.coalesce(F.max(F.when(F.col("_in"), F.col(version))).over(whole).cast("long"), F.lit(since).cast("long")),
+        "_shown": F.count_if(F.col("_in") & F.col("_ok")).over(whole),
+    }
+    return placed.withColumns(facts).filter((F.col("_in") & F.col("_ok")) | (F.col("_end") & (F.col("_shown") == 0))).select(*own, "has_more", "checkpoint")
 
 
 def pull_page(feed: DataFrame, since: int, limit: int, can_read: Column | None = None, version: str = "version") -> DataFrame:

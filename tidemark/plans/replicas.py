@@ -8,8 +8,9 @@ from tidemark.functions import clock
 from tidemark.functions.ids import id_order
 from tidemark.operators import replica, status
 from tidemark.plans.registry import query
-from tidemark.sources import derived
+from tidemark.sources import derived, device_stores
 from tidemark.sources.derived import sql
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import table
 
 GENERATION = 2
@@ -338,3 +339,28 @@ def conflict_resolve_kept(spark, sf_dir):
     k = F.col("o_orderkey")
     resolved = table(spark, sf_dir, "orders").filter(k % 4 == 1).select(derived.text("o", k).alias("id"), derived.text("res", k).alias("document"))
     return shown(replica.resolve_kept(derived.records(spark, sf_dir), resolved))
+
+
+_DEVICES = "dev AS (SELECT *, 'd' || (k // 2000) AS device FROM records)"
+
+
+def _device_stores(spark, sf_dir):
+    """The records as stores of devices with 2000 keys each, of which the second's are of a newer schema and the third's cut off."""
+    r = derived.records(spark, sf_dir)
+    k = F.substring("id", 2, 20).cast("long")
+    made = device_stores.to_device_stores(r.withColumns({"device": derived.text("d", F.floor(k / 2000)), "kind": F.lit("orders")}), "device", "kind", 150)
+    newer = F.concat(F.substring("content", 1, 60), F.lit(bytearray(b"\0\0\0\7")), F.expr("substring(content, 65)"))
+    content = F.when(F.col("device") == "d1", newer).when(F.col("device") == "d2", F.substring("content", 1, 5000)).otherwise(F.col("content"))
+    return stored(made.select(F.concat_ws("/", "device", "part").alias("path"), content.alias("content"), F.col("n").alias("_n")), "device-stores")
+
+
+@query(sql(f", {_DEVICES} SELECT device, {', '.join(replica.COLUMNS)} FROM dev WHERE device NOT IN ('d1', 'd2')", "records"))
+def device_store_records(spark, sf_dir):
+    found = device_stores.device_records(_device_stores(spark, sf_dir))
+    return found.select(F.substring_index("path", "/", 1).alias("device"), *replica.COLUMNS)
+
+
+@query(sql(f", {_DEVICES} SELECT device, CASE device WHEN 'd1' THEN 'newer' WHEN 'd2' THEN 'unreadable' ELSE 'ok' END AS state, CASE WHEN device NOT IN ('d1', 'd2') THEN count(*) END AS n FROM dev GROUP BY device", "records"))
+def device_store_states(spark, sf_dir):
+    found = device_stores.device_states(_device_stores(spark, sf_dir))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("device")).agg(F.max("state").alias("state"), F.sum("n").alias("n"))
