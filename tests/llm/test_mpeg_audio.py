@@ -102,3 +102,72 @@ def test_durations_and_offsets_are_stored(odd):
     for r in store_media(odd).collect():
         found = probe(bytes(r["media"]))
         assert (r["samples"], r["sample_rate"], r["seek"]) == (found["samples"], found["rate"], found["offsets"]) and r["samples"] == 1152 * len(r["seek"])
+
+
+def free_frames(n, length, head=b"\xff\xfb\x00\xc0", every=3, slot=1):
+    """Frames of free format, every third padded by a slot; their bytes hold single 0xFF and headers of other kinds."""
+    out = []
+    for i in range(n):
+        padded = i % every == 1
+        h = bytes([head[0], head[1], head[2] | (2 if padded else 0), head[3]])
+        body = b"\0" * 40 + (b"\xff\x00\xff\xfb\x90\x64" + bytes([i])) * (length // 8)
+        out.append(h + body[: length - 4 + slot * padded].ljust(length - 4 + slot * padded, b"\0"))
+    return out
+
+
+@pytest.mark.parametrize("head, layer, slot, length", [(b"\xff\xfb\x00\xc0", 3, 1, 700), (b"\xff\xf3\x04\x40", 3, 1, 131), (b"\xff\xff\x08\xc0", 1, 4, 400), (b"\xff\xfd\x04\xc0", 2, 1, 1500)])
+def test_free_format(head, layer, slot, length):
+    frames = free_frames(9, length, head, slot=slot)
+    found = probe(b"".join(frames))
+    starts = [sum(map(len, frames[:i])) for i in range(9)]
+    assert (found["frames"], found["layer"], found["offsets"], found["skipped"]) == (9, layer, starts, 0)
+    per = {1: 384, 2: 1152, 3: 1152 if found["version"] == "1" else 576}[layer]
+    assert found["samples"] == found["heard"] == 9 * per
+    assert found["kbits"][0] == round(length * found["rate"] / per / 125)
+    # Lost bytes are skipped until two headers of the known length follow; tags at either end don't count.
+    hurt = b"ID3\x04\0\0\0\0\0\x00" + b"".join(frames[:4]) + b"junk\xff" + b"".join(frames[4:]) + b"TAG" + b"\0" * 125
+    again = probe(hurt)
+    assert (again["frames"], again["skipped"], again["resyncs"]) == (9, 5, 1)
+    assert probe(frames[0])["frames"] == 0  # alone it has no length
+
+
+def test_checksum_in_free_format():
+    head, rest = b"\xff\xfa\x00\xc0", b"\0" * 17
+    frame = (head + crc16(head[2:] + rest).to_bytes(2, "big") + rest).ljust(500, b"\1")
+    found = probe(frame * 4)
+    assert (found["frames"], found["crc_ok"], found["crc_bad"]) == (4, 4, 0)
+    assert probe(frame * 3 + frame[:8] + b"\7" + frame[9:])["crc_bad"] == 1
+
+
+def test_delay_and_padding_of_an_encoder():
+    head = b"\xff\xfb\x90\x64"  # 417 bytes, 32 of side information
+    info = b"Info" + (15).to_bytes(4, "big") + (3).to_bytes(4, "big") + (9).to_bytes(4, "big") + bytes(100) + bytes(4)
+    told = b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    stream = lambda tag: (head + bytes(32) + info + tag).ljust(417, b"\0") + (head.ljust(417, b"\0")) * 3
+    found = probe(stream(told))
+    assert (found["frames"], found["samples"], found["heard"], found["delay"], found["padding"]) == (3, 3456, 3456 - 1576, 576, 1000)
+    other = probe(stream(b"other".ljust(24, b"\1")))
+    assert (other["heard"], other["delay"], other["padding"], other["table"]["frames"]) == (3456, 0, 0, 3)
+
+
+@pytest.mark.parametrize("width, scale", [(1, 100), (2, 3), (4, 1)])
+def test_seek_table_of_vbri(width, scale):
+    head = b"\xff\xfb\x90\x64"
+    steps = [5, 9, 200, 1]
+    number = lambda v, n: v.to_bytes(n, "big")
+    table = b"VBRI" + number(1, 2) + number(1105, 2) + number(75, 2) + number(1668, 4) + number(3, 4) + number(4, 2) + number(scale, 2) + number(width, 2) + number(1, 2)
+    whole = (head + bytes(32) + table + b"".join(number(v, width) for v in steps)).ljust(417, b"\0")
+    found = probe(whole + head.ljust(417, b"\0") * 3)
+    assert found["table"] == {"kind": "VBRI", "bytes": 1668, "frames": 3, "delay": 1105, "every": 1, "seek": [5 * scale, 14 * scale, 214 * scale, 215 * scale]}
+    assert found["heard"] == 3 * 1152 - 1105
+    broken = whole[:54] + number(60000, 2) + whole[56:]  # claims more entries than the frame holds
+    assert len(probe(broken + head.ljust(417, b"\0") * 3)["table"]["seek"]) == (417 - 62) // width
+    none = whole[:58] + number(9, 2) + whole[60:]
+    assert probe(none + head.ljust(417, b"\0") * 3)["table"]["seek"] == []
+
+
+def test_foreign_streams_as_rows(spark):
+    rows = [(1, b"".join(free_frames(5, 300))), (2, None), (3, b"\xff\xfb\x00\xc0"), (4, write_stream(b"a" * 192))]
+    found = {r["doc_id"]: r for r in read_media(spark.createDataFrame(rows, "doc_id long, media binary"), keep=()).collect()}
+    assert found[1]["frames"] == 5 and found[1]["duration_s"] == 5 * 1152 / 44100 and found[2]["frames"] == found[3]["frames"] == 0
+    assert bytes(found[4]["payload"]) == b"a" * 192 and (found[4]["delay"], found[4]["padding"], found[4]["table_seek"]) == (0, 0, [])

@@ -4,8 +4,9 @@ The reader finds frames by their headers and, where the bytes don't continue wit
 the stream, searches for the next pair of agreeing headers (resynchronisation, with the skipped bytes counted).
 It parses ID3v2, ID3v1 and APE tags and the Xing, Info and VBRI tables, verifies each protected frame's CRC-16 (over the
 side information in layer III, the bit allocation in layer I, and that with the scale factor selection in layer II)
-and gives the duration as a whole number of samples and the byte offset of every frame. Streams of free format, whose
-headers name no bit rate, are out of scope: they give zero frames.
+and gives the duration as a whole number of samples, without what the encoder says it put before and after, and the byte
+offset of every frame. In streams of free format, whose headers name no bit rate, the distance of the first three headers that
+agree gives the frames' length.
 
 The writer carries bytes losslessly: each frame's main data is a run of payload bytes whose extent the
 granules' part2_3_length fields state. All frames but the last have the highest bit rate, the last the lowest
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,9 @@ KBITS = {
 RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
 SAMPLES = {("1", 1): 384, ("1", 2): 1152, ("1", 3): 1152, ("2", 1): 384, ("2", 2): 1152, ("2", 3): 576}
 CRC_POLYNOMIAL = 0x8005
+# What encoders that state delay and padding begin their name with, and how long a frame of free format may be.
+ENCODERS = (b"LAME", b"Lavf", b"Lavc")
+MOST_FREE = 8192
 # Of layer II, how many subbands in turn have how many bits of allocation, by table.
 ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 
@@ -84,6 +89,8 @@ def protected_bits(head: dict, body: bytes) -> int:
     each = head["kbit"] // channels
     if head["version"] != "1":
         table = "low"
+    elif head["free"]:
+        table = "a" if head["rate"] == 48000 else "b"
     elif each <= 48:
         table = "d" if head["rate"] == 32000 else "c"
     else:
@@ -115,7 +122,33 @@ def parse_header(head: bytes) -> dict | None:
     samples = SAMPLES[low, layer]
     length = (12000 * kbit // rate + padded) * 4 if layer == 1 else samples * 125 * kbit // rate + padded
     side = 0 if layer < 3 else (17 if mono else 32) if low == "1" else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbit": kbit, "rate": rate, "samples": samples, "length": length, "side": side, "protected": not head[1] & 1, "mono": mono, "bound": 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == 1 else 32, "same": (version, layer, rate)}
+    return {"version": version, "layer": layer, "kbit": kbit, "rate": rate, "samples": samples, "length": length, "side": side, "protected": not head[1] & 1, "mono": mono, "bound": 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == 1 else 32, "same": (version, layer, rate), "free": False}
+
+
+def free_header(data: bytes, pos: int, end: int, slots: int | None = None) -> dict | None:
+    """A header of free format at pos, and the frame's length by its bytes without padding (slots), or else by the next two headers that agree.
+
+    The end of the stream stands for the third header. Found lengths are up to MOST_FREE bytes.
+    """
+    if pos + 4 > end or data[pos] != 0xFF or data[pos + 2] >> 4:
+        return None
+    likely = lambda at: parse_header(bytes([data[at], data[at + 1], data[at + 2] | 0x10, data[at + 3]])) if at + 4 <= end and data[at + 2] >> 4 == 0 else None
+    head = likely(pos)
+    if head is None:
+        return None
+    padding = lambda at: (data[at + 2] >> 1 & 1) * (4 if head["layer"] == 1 else 1)
+    alike = lambda at: (other := likely(at)) is not None and (other["same"], other["mono"], other["protected"]) == (head["same"], head["mono"], head["protected"])
+    at = pos + 4 + 2 * head["protected"] + head["side"]
+    while slots is None:
+        at = data.find(b"\xff", at, min(end, pos + MOST_FREE))
+        if at < 0:
+            return None
+        after = at + (at - pos - padding(pos)) + (padding(at) if at + 4 <= end else 0)
+        if alike(at) and (after == end or alike(after)):
+            slots = at - pos - padding(pos)
+        at += 1
+    per_kbit = 12000 * 4 if head["layer"] == 1 else 125 * head["samples"]
+    return head | {"free": True, "length": slots + padding(pos), "slots": slots, "kbit": round(slots * head["rate"] / per_kbit), "same": (*head["same"], "free", slots)}
 
 
 @lru_cache(65536)
@@ -154,7 +187,11 @@ def parse_tags(data: bytes) -> tuple[int, int, dict[str, str]]:
 
 
 def parse_table(frame: bytes, head: dict) -> dict | None:
-    """A Xing, Info or VBRI table, if the frame is one."""
+    """A Xing, Info or VBRI table, if the frame is one: what it claims, with delay and padding in samples where an encoder states them, and its seek points.
+
+    toc: of Xing, a hundredth of the duration each, in 256ths of the bytes; seek: of VBRI, bytes from the first frame to each entry's end,
+    one for every `every` frames.
+    """
     for at in (4 + head["side"], 6 + head["side"]):
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags, p, out = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8, {"kind": frame[at : at + 4].decode()}
@@ -162,9 +199,16 @@ def parse_table(frame: bytes, head: dict) -> dict | None:
                 if flags & bit:
                     out[name] = list(frame[p : p + n]) if name == "toc" else int.from_bytes(frame[p : p + n], "big")
                     p += n
+            if frame[p : p + 4] in ENCODERS and len(frame) >= p + 24:
+                both = int.from_bytes(frame[p + 21 : p + 24], "big")
+                out |= {"delay": both >> 12, "padding": both & 0xFFF}
             return out
     if frame[36:40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        part = lambda at, n: int.from_bytes(frame[at : at + n], "big")
+        count, scale, width = part(54, 2), part(56, 2), part(58, 2)
+        told = min(count, max(0, len(frame) - 62) // width) if 1 <= width <= 4 else 0  # a table that is cut off ends early
+        seek = list(accumulate(part(62 + i * width, width) * scale for i in range(told)))
+        return {"kind": "VBRI", "bytes": part(46, 4), "frames": part(50, 4), "delay": part(42, 2), "every": part(60, 2), "seek": seek}
     return None
 
 
@@ -172,13 +216,15 @@ def probe(data: bytes) -> dict:
     """Everything the reader knows of a stream; see the module's text."""
     start, end, tags = parse_tags(data)
     out = {"frames": 0, "samples": 0, "rate": 0, "crc_ok": 0, "crc_bad": 0, "skipped": 0, "resyncs": 0, "table": None, "tags": tags, "version": "", "layer": 0}
-    offsets, rates, payload, pos, same, first = [], [], [], start, None, True
+    offsets, rates, payload, pos, same, first, slots = [], [], [], start, None, True, None
     while pos + 4 <= end:
         head = parse_header(data[pos : pos + 4])
+        if head is None and (same is None or slots is not None):
+            head = free_header(data, pos, end, slots)
         fits = head is not None and pos + head["length"] <= end and (same is None or head["same"] == same)
         if fits and (same is None or out["lost"]):  # a first header counts only if the next one agrees
             after = pos + head["length"]
-            following = parse_header(data[after : after + 4])
+            following = free_header(data, after, end, head["slots"]) if head["free"] else parse_header(data[after : after + 4])
             fits = after == end or following is not None and following["same"] == head["same"]
         if not fits:
             out["resyncs"] += not out.get("lost")
@@ -187,7 +233,7 @@ def probe(data: bytes) -> dict:
             out["skipped"] += (at if at >= 0 else end) - pos
             pos = at if at >= 0 else end
             continue
-        out["lost"], same = False, head["same"]
+        out["lost"], same, slots = False, head["same"], head.get("slots")
         body, length = pos + 4 + 2 * head["protected"], head["length"]
         side = data[body : body + head["side"]]
         if head["protected"]:
@@ -215,7 +261,8 @@ def probe(data: bytes) -> dict:
     out.pop("lost", None)
     if same:
         out |= {"version": same[0], "layer": same[1], "rate": same[2]}
-    return out | {"offsets": offsets, "kbits": rates, "payload": b"".join(payload), "start": start, "end": end}
+    delay, padding = ((out["table"] or {}).get(k, 0) for k in ("delay", "padding"))
+    return out | {"heard": max(0, out["samples"] - delay - padding), "delay": delay, "padding": padding, "offsets": offsets, "kbits": rates, "payload": b"".join(payload), "start": start, "end": end}
 
 
 _RATE_AT, _SIDE = 1, 17  # 48000 Hz; side information of one channel
@@ -299,24 +346,24 @@ def store_media(docs: DataFrame, **options) -> DataFrame:
 
 FOUND = (
     "payload binary, frames long, samples long, sample_rate long, duration_s double, crc_ok long, crc_bad long, skipped_bytes long, resyncs long, "
-    "table_frames long, table_bytes long, kbit_min long, kbit_max long, frame_offsets array<long>, payload_claimed long"
+    "table_frames long, table_bytes long, kbit_min long, kbit_max long, frame_offsets array<long>, payload_claimed long, delay long, padding long, table_seek array<long>"
 )
 
 
 def _row(found: dict) -> tuple:
     table, kbits, rate, claimed = found["table"] or {}, found["kbits"], found["rate"], found["tags"].get("TXXX:payload_bytes", "")
-    seconds = found["samples"] / rate if rate else 0.0
+    seconds = found["heard"] / rate if rate else 0.0
     return (
         found["payload"], found["frames"], found["samples"], rate, seconds, found["crc_ok"], found["crc_bad"], found["skipped"], found["resyncs"],
         table.get("frames", -1), table.get("bytes", -1), min(kbits, default=0), max(kbits, default=0), found["offsets"],
-        int(claimed) if re.fullmatch("[0-9]{1,18}", claimed) else -1,
+        int(claimed) if re.fullmatch("[0-9]{1,18}", claimed) else -1, found["delay"], found["padding"], table.get("seek", []),
     )
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
     """What the stored bytes of each row hold: id, the columns to keep, media, and the columns of FOUND.
 
-    duration_s is samples over rate; table_frames and table_bytes are what the variable-bitrate table claims (-1: no
+    duration_s is samples without delay and padding over rate; table_seek has the seek points of a VBRI table; table_frames and table_bytes are what the variable-bitrate table claims (-1: no
     table); frame_offsets is where each audio frame starts; payload_claimed is the payload's size by its tag (-1: no tag).
     """
     names = ["id", *keep, "media", *(c.split()[0] for c in FOUND.split(", "))]

@@ -138,6 +138,8 @@ def shard(rows: DataFrame, key: Column, size: Column, shards: int = 24, keep: di
     """(keep..., size, shard, slot) of each row; key and size are expressions over rows.
 
     The rows' digests and sizes are stored once, slim; everything that follows reads that table.
+    Shards follow from the rows alone. Slots follow the order in which tasks read them, so a rerun over other file splits may
+    number the rows of a shard in another order; a lost task's rerun within one job reads the stored numbers.
     """
     keep = keep or {}
     slim = stored(rows.select(*(v.alias(k) for k, v in keep.items()), digest(key).alias("_key"), size.cast("long").alias("size"), F.monotonically_increasing_id().alias("_at")), "shard-rows")
