@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from tidemark.llm import minhash
 from tidemark.llm.minhash import BINS, PROBES, fingerprint, fingerprint_edits, likeness, probe_orders, shingle_hashes, signature, with_next
 
 
@@ -96,3 +99,48 @@ def test_string_ids(spark):
     got = {r["id"]: r["following"] for r in dealt.withColumn("following", F.lead("text").over(window)).filter("not guard").collect()}
     down = sorted((i, t) for i, t in rows if i)[::-1] + [rows[-1]]
     assert got == {i: down[(k + 1) % len(down)][1] for k, (i, _) in enumerate(down)}
+
+
+def plain_next(rows, many):
+    """Counts of (id, text, next text): by descending id, nulls last, equal ids by text, those with `many` rows or more by the text's digest."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    counts = Counter(i for i, _ in rows)
+    tie = lambda i, t: (signed(xxhash.xxh64_intdigest(t.encode(), 42)) if counts[i] >= many else 0, t.encode())
+    order = sorted(rows, key=lambda r: (r[0] is None, 0 if r[0] is None else -r[0], tie(*r)))
+    return Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+
+
+@pytest.mark.parametrize("case", ["null", "least", "greatest", "all", "several"])
+def test_crowded_ids(spark, case):
+    """A third of the rows and more under one id, or none, half of them the same row: parts stay small, and no row is lost."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(100, 400), f"t{i}") for i in range(400)]
+    crowds = {"null": [None], "least": [5], "greatest": [900], "all": [None, 5, 200, 900], "several": [200, 201, 250]}[case]
+    for x in crowds:
+        rows += [(x, f"own {i}") for i in range(150)] + [(x, "same")] * 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (10, 40):
+        dealt, window = with_next(docs, {"text": F.col("text")}, "doc_id", bucket_rows=n)
+        placed = dealt.withColumn("next", F.lead("text").over(window)).filter("not guard").collect()
+        assert Counter((r["id"], r["text"], r["next"]) for r in placed) == plain_next(rows, 3 * max(n, -(-len(rows) // -(-len(rows) // n))))
+        sizes = Counter((r["bucket"], r["sub"], r["copy"]) for r in placed)
+        assert max(sizes.values()) <= 5 * n
+
+
+def test_only_one_id(spark):
+    for x in (None, 7):
+        rows = [(x, "a"), (x, "b")] * 30
+        dealt, window = with_next(spark.createDataFrame(rows, "doc_id long, text string"), {"text": F.col("text")}, "doc_id", bucket_rows=5)
+        got = Counter((r["id"], r["text"], r["next"]) for r in dealt.withColumn("next", F.lead("text").over(window)).filter("not guard").collect())
+        assert got == plain_next(rows, 15)
+
+
+def test_edits_of_crowded_ids(spark, monkeypatch):
+    """Whole results where rows without an id crowd, against the texts that follow."""
+    monkeypatch.setattr(minhash, "CROWDED", 0)
+    rows = [(i, f"text {i} " + "word " * i) for i in range(40)] + [(None, f"no id {i % 9} of several") for i in range(60)]
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_text"]) for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter()
+    for (i, t, n), k in plain_next(rows, 41).items():
+        want[i, len(t), t[: len(t) - len(t) // 3] + n[: len(t) // 3]] += k
+    assert got == want

@@ -8,20 +8,26 @@ two fingerprints is the share of equal bins, corrected for the 2^-bits of bins t
 
 A text of fewer than five words is one shingle. Texts without words share the fingerprint of no shingle, all
 zero digits, whose likeness is 1 with itself and 0 with any other. Equal texts have equal fingerprints. Rows
-that repeat are fingerprinted each; other columns are ignored; an empty table gives an empty result.
+that repeat are fingerprinted each; other columns are ignored; an empty table gives an empty result. Rows without an id come
+last, and rows of one id in the order of their texts (of a crowded id, see with_next: of their digests).
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import LongType, NumericType
 
-from tidemark.llm._common import GAP, let
+from tidemark.llm._common import GAP, let, stored
 
 BINS, BITS, SHINGLE, PROBES = 128, 8, 5, 8
+#: An id with as many ranges' rows holds at least two of the ranges' bounds, however these are estimated.
+CROWDED = 3
+#: Columns that with_next adds: range of ids, part of a crowded id, lot of equal rows, and the order of a crowded id's rows.
+PLACE = ["bucket", "sub", "copy", "tie"]
 
 
 def words(text: Column) -> Column:
@@ -110,35 +116,80 @@ def _bucket(x: Column, bounds: list) -> Column:
     return F.when(x.isNull(), F.lit(-1)).otherwise(found)
 
 
+def _quantiles(docs: DataFrame, id_col: str, n: int, buckets: int) -> list:
+    """Bounds of about equal counts, sorted; an id that holds several of them is there as often."""
+    cuts = [i / buckets for i in range(1, buckets)]
+    if isinstance(docs.schema[id_col].dataType, NumericType):
+        got = docs.select(F.percentile_approx(id_col, cuts, max(10_000, 10 * buckets))).first()[0] or []
+    else:  # where ids aren't numbers, the ranges' bounds come from a sample; the rows are all there
+        drawn = sorted(x[0] for x in docs.select(id_col).sample(min(1.0, 10 * buckets / n), seed=5).collect() if x[0] is not None)
+        got = [drawn[int(c * len(drawn))] for c in cuts] if drawn else []
+    return sorted(x for x in got if x is not None)
+
+
 def with_next(docs: DataFrame, values: dict[str, Column], id_col: str, bucket_rows: int = 2048, most_buckets: int = 20_000) -> tuple[DataFrame, WindowSpec]:
-    """The rows (id, values, guard, bucket), and the window in which lead() gives the next row by descending id.
+    """The rows (id, values, guard, place), and the window in which lead() gives the next row by descending id.
 
     The rows are dealt by ranges of ids of about equal counts (quantiles of the ids), at most most_buckets, in one
     shuffle. Each range ends with a guard: a copy of the first row of the range that follows; after the last comes the
     first. Drop the guards at the end. Rows of one id are in the order of the values.
+
+    An id is crowded if it has CROWDED ranges' rows or more (so has null, where as many rows lack an id). Its rows come in the
+    order of a digest of the values, and are split by ranges of that. Those that repeat follow themselves, all but the last of
+    them: they are counted, and laid out in lots of bucket_rows that end with themselves. So no range grows with an id.
     """
-    rows = docs.select(F.col(id_col).alias("id"), *(v.alias(k) for k, v in values.items()))
-    n = docs.select(id_col).count()
+    n, filled = docs.select(F.count(F.lit(1)), F.count(id_col)).first()
     buckets = max(1, min(most_buckets, -(-n // bucket_rows)))
-    bounds: list = []
-    if buckets > 1:
-        cuts = [i / buckets for i in range(1, buckets)]
-        if isinstance(docs.schema[id_col].dataType, NumericType):
-            got = docs.select(F.percentile_approx(id_col, cuts, max(10_000, 10 * buckets))).first()[0] or []
-        else:  # where ids aren't numbers, the ranges' bounds come from a sample; the rows are all there
-            drawn = sorted(x[0] for x in docs.select(id_col).sample(min(1.0, 10 * buckets / n), seed=5).collect() if x[0] is not None)
-            got = [drawn[int(c * len(drawn))] for c in cuts] if drawn else []
-        bounds = sorted({x for x in got if x is not None})
-    bucket = _bucket(F.col("id"), bounds)
-    firsts = {b: x for b, x in docs.select(F.col(id_col).alias("id")).groupBy(bucket.alias("b")).agg(F.max("id")).collect()}
-    downward = sorted(firsts, reverse=True)
-    before = {b: downward[i - 1] for i, b in enumerate(downward)}  # of the first: the last
-    target = _literal([before.get(b, 0) for b in range(-1, len(bounds) + 1)])
-    heads = F.col("id").isin([x for x in firsts.values() if x is not None]) | (F.col("id").isNull() if None in firsts.values() else F.lit(False))
-    least = rows.filter(heads).groupBy("id").agg(F.min(F.struct(*values)).alias("v"))
-    guards = least.select("id", *(F.col("v")[k].alias(k) for k in values), F.lit(True).alias("guard"), F.get(target, bucket + 1).alias("bucket"))
-    dealt = rows.select("*", F.lit(False).alias("guard"), bucket.alias("bucket")).unionByName(guards)
-    return dealt, Window.partitionBy("bucket").orderBy("guard", F.col("id").desc_nulls_last(), *values)
+    got = _quantiles(docs, id_col, n, buckets) if buckets > 1 else []
+    bounds = sorted(set(got))
+    many = CROWDED * max(bucket_rows, -(-n // buckets))
+    several = [x for x, k in Counter(got).items() if k > 1]
+    crowded = [x for x, k in docs.filter(F.col(id_col).isin(several)).groupBy(id_col).count().collect() if k >= many] if several else []
+    many_null = n - filled >= many
+    in_crowd = lambda x: F.when(x.isNull(), F.lit(many_null)).otherwise(x.isin(crowded) if crowded else F.lit(False))
+    # Ranges by descending id are numbered 0, 2, 4 ..., null last; a crowded id is the least of its range and has a place after it.
+    last = 2 * (len(bounds) + 1)
+    bucket = F.lit(last - 2) - 2 * _bucket(F.col("id"), bounds)
+    some = bool(crowded) or many_null
+    part_of = lambda sub: [sub.cast("long").alias("sub"), F.lit("").alias("copy"), F.lit(0).cast("long").alias("tie")] if some else []
+
+    rows = docs.select(F.col(id_col).alias("id"), *(v.alias(k) for k, v in values.items()))
+    ids = docs.select(F.col(id_col).alias("id"))
+    if some:
+        rows, ids, crowd = rows.filter(~in_crowd(F.col("id"))), ids.filter(~in_crowd(F.col("id"))), rows.filter(in_crowd(F.col("id")))
+    firsts = {b: x for b, x in ids.groupBy(bucket.alias("b")).agg(F.max("id")).collect()}
+    ends = dict.fromkeys(firsts, 0)  # the last part of each place
+    if some:
+        crowd = stored(crowd.groupBy("id", *values).agg(F.count(F.lit(1)).alias("times")).withColumn("tie", F.xxhash64(*values)), "crowd")
+        sizes = crowd.groupBy(F.col("id").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("parts"))  # a row a crowded id, at most most_buckets
+        part = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("parts")), F.col("parts") - 1)
+        crowd = crowd.join(F.broadcast(sizes), F.col("id").eqNullSafe(F.col("_of"))).select("id", *values, "times", (bucket + 1).alias("bucket"), part.cast("long").alias("sub"), "tie")
+        heads = stored(crowd.groupBy("bucket", "sub").agg(F.max("id").alias("id"), F.min(F.struct("tie", *values)).alias("v")), "crowd-heads")
+        ends |= {b: e for b, e in heads.groupBy("bucket").agg(F.max("sub")).collect()}
+    order = sorted(ends)
+    before = {b: order[i - 1] for i, b in enumerate(order)}  # of the first: the last
+    of = lambda found: F.get(_literal([found.get(b, 0) for b in range(last + 2)]), F.col("own"))
+    before_bucket, before_end = of(before), of({b: ends[x] for b, x in before.items()})
+
+    starts = F.col("id").isin([x for x in firsts.values() if x is not None]) | (F.col("id").isNull() if None in firsts.values() else F.lit(False))
+    least = rows.filter(starts).groupBy("id").agg(F.min(F.struct(*values)).alias("v")).withColumn("own", bucket)
+    unpacked = ["id", *(F.col("v")[k].alias(k) for k in values), F.lit(True).alias("guard")]
+    dealt = rows.select("*", F.lit(False).alias("guard"), bucket.alias("bucket"), *part_of(F.lit(0)))
+    dealt = dealt.unionByName(least.select(*unpacked, before_bucket.alias("bucket"), *part_of(before_end)))
+    if some:
+        parts = Window.partitionBy("own").orderBy("sub")  # slim: a row for bucket_rows rows
+        prior = heads.select(F.col("bucket").alias("own"), "sub").withColumn("prior", F.lag("sub").over(parts))
+        led = heads.withColumnRenamed("bucket", "own").join(prior, ["own", "sub"])
+        led = led.select(*unpacked, F.when(F.col("prior").isNull(), before_bucket).otherwise(F.col("own")).alias("bucket"), *part_of(F.coalesce("prior", before_end)))
+        once = crowd.select("id", *values, F.lit(False).alias("guard"), "bucket", "sub", F.lit("").alias("copy"), "tie")
+        lot = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 2) / bucket_rows)))
+        named = F.md5(F.to_json(F.struct("id", *values)).cast("binary"))
+        lots = crowd.filter("times > 1").withColumn("name", named).withColumn("lot", lot).withColumn("copy", F.concat_ws(":", "name", "lot")).repartition("copy")
+        held = F.least(F.lit(bucket_rows), F.col("times") - 1 - F.col("lot") * bucket_rows).cast("int")
+        again = lots.select("id", *values, F.explode(F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), held))).alias("guard"), "bucket", "sub", "copy", "tie")
+        dealt = dealt.unionByName(led).unionByName(once).unionByName(again)
+    tie = ["tie"] if some else []
+    return dealt, Window.partitionBy("bucket", *(["sub", "copy"] if some else [])).orderBy("guard", F.col("id").desc_nulls_last(), *tie, *values)
 
 
 def fingerprint_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,12 +201,13 @@ def fingerprint_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, shing
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     dealt, window = with_next(docs, {"text": text}, id_col)
+    place = [c for c in dealt.columns if c in PLACE]
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("following"), F.lit(1), third))
     marked = (
         dealt.withColumn("following", F.lead("text").over(window))
         .select("*", edited.alias("edited_text"), F.length("text").cast("long").alias("n_chars"))
-        .select("id", "guard", "bucket", "text", "n_chars", "edited_text", fingerprint(F.col("text"), bins, bits, shingle).alias("fingerprint"), F.when(~F.col("guard"), fingerprint(F.col("edited_text"), bins, bits, shingle)).alias("edited_fingerprint"))
+        .select("id", "guard", *place, "text", "n_chars", "edited_text", fingerprint(F.col("text"), bins, bits, shingle).alias("fingerprint"), F.when(~F.col("guard"), fingerprint(F.col("edited_text"), bins, bits, shingle)).alias("edited_fingerprint"))
         .withColumn("next_fingerprint", F.lead("fingerprint").over(window))
     )
     near = lambda other: likeness(F.col("fingerprint"), F.col(other), bins, bits)
