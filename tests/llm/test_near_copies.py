@@ -88,3 +88,15 @@ def test_classes_of_odd_rows(odd, none):
     want = sorted((str(i), str(least.get(c))) for c, (i, _) in zip(classes, rows, strict=True))
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_copies(odd).collect()) == want
     assert near_copies(none).count() == 0
+
+
+def test_runs_that_share_texts_are_united(spark):
+    """A text is sent once where what hangs together is within the bounds; beyond them runs stay as they were."""
+    from tidemark.llm.linking import united
+
+    rows = [(1, 10, 5), (1, 11, 5), (2, 11, 5), (2, 12, 5), (3, 10, 5), (3, 12, 5), (4, 20, 5), (4, 21, 5)] + [(k, 30 + k + d, 5) for k in range(5, 10) for d in (0, 1)]
+    sized = spark.createDataFrame(rows, "key long, fp long, items long")
+    groups = defaultdict(list)
+    for r in united(sized, 4, 100).collect():
+        groups[r["key"]].append(r["fp"])
+    assert sorted(map(sorted, groups.values())) == [[10, 11, 12], [20, 21], *([30 + k, 31 + k] for k in range(5, 10))]

@@ -1,6 +1,7 @@
 """Verify texts that met on keys: links whose components are those of all pairs of a Jaccard of `NEAR / OF` or more.
 
-A run is what met on one key. Runs within a bound (`run_rows` texts, `run_items` shingles in all) are verified by one task
+A run is what met on one key. Near copies meet on many keys, with other company on each, so runs that share texts are united as
+long as what hangs together stays within the bound, and a text's shingles are sent once. Runs within a bound (`run_rows` texts, `run_items` shingles in all) are verified by one task
 each, over lists of the texts that hold a shingle. A longer run never meets in one task:
 
 1. In a few rounds every long run is held against one of its texts, the pivot. What is near the pivot is one class.
@@ -161,15 +162,34 @@ def _long(members: DataFrame, sets: DataFrame, links: DataFrame, run_items: int,
     return links.union(map_batches(blocks, _by_key(_blocks), "a long, b long"))
 
 
+def united(sized: DataFrame, run_rows: int, run_items: int) -> DataFrame:
+    """(key, fp): runs that share texts are one where all that hangs together is within the bounds, and as they were elsewhere."""
+    least = sized.groupBy("key").agg(F.min("fp").alias("least"))
+    roots = components(sized.join(least, "key").select(F.col("fp").alias("a"), F.col("least").alias("b")))
+    whole = stored(sized.select("fp", "items").distinct().join(roots, F.col("fp") == F.col("node")).select("root", "fp", "items"), "united-runs")
+    beyond = whole.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("items").alias("total")).filter((F.col("n") > run_rows) | (F.col("total") > run_items)).select("root")
+    beyond = stored(whole.join(beyond, "root", "left_semi").select("fp", "root"), "beyond-a-run")
+    if beyond.limit(1).count() == 0:
+        return whole.select(F.col("root").alias("key"), "fp")
+    heads = broadcast_if_small(beyond.select("root").distinct(), 1_000_000)
+    return whole.join(heads, "root", "left_anti").select(F.col("root").alias("key"), "fp").unionByName(sized.select("key", "fp").join(beyond.select("fp"), "fp", "left_semi"))
+
+
 def links(members: DataFrame, sets: DataFrame, run_rows: int = RUN_ROWS, run_items: int = RUN_ITEMS, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b): links among what met. members: (key, fp); sets: (fp, n, shingles), n sorted 64-bit hashes as bytes. Both stored, each row once."""
-    sized = members.join(sets.select("fp", F.col("n").alias("items")), "fp")
+    """(a, b): links among what met. members: (key, fp), and items (a set's n) if known; sets: (fp, n, shingles), n sorted 64-bit hashes as bytes.
+
+    Members are stored, each row once. With items the sets are read once unless runs are long, so they may be laid out on the way.
+    """
+    sized = members if "items" in members.columns else stored(members.join(sets.select("fp", F.col("n").alias("items")), "fp"), "members-sized")
     runs = stored(sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("items").alias("total")), "runs-sized")
     bounds = (F.col("n") <= run_rows) & (F.col("total") <= run_items)
     long = runs.filter(~bounds)
     some = long.limit(1).count() > 0
-    whole = members.join(broadcast_if_small(long.select("key"), 1_000_000), "key", "left_anti") if some else members
-    together = whole.join(sets, "fp").repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "shingles")
+    if some:
+        sets = stored(sets, "sets-of-runs")
+    whole = sized.join(broadcast_if_small(long.select("key"), 1_000_000), "key", "left_anti") if some else sized
+    placed = broadcast_if_small(stored(united(whole, run_rows, run_items), "placed"), 1_000_000)
+    together = sets.select("fp", "shingles").join(placed, "fp").repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "shingles")
     found = stored(map_batches(together, _by_key(_whole), "a long, b long"), "near-copies")
     if not some:
         return found

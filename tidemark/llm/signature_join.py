@@ -134,12 +134,15 @@ def collided(least: int, run_rows: int):
 def meeting(distinct: DataFrame, least: int = LEAST, run_rows: int = RUN_ROWS) -> DataFrame:
     """(key, fp): groups within which all pairs of at least `least` collisions are. distinct: (fp, signature), each set once."""
     signed = distinct.filter("signature IS NOT NULL").select("fp", "signature")
-    tokens = stored(map_batches(signed, _exploded, "fp long, token long"), "tokens")
+    tokens = map_batches(signed, _exploded, "fp long, token long")  # read twice: laid out anew, they take no disk
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranked = tokens.join(shared, "token").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))  # 64 tokens at most
+    held = tokens.join(shared, "token").select("fp", "n", "token").repartition("fp")  # as rows: lists of one task's few tokens take more
+    ranked = held.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))  # 64 tokens at most
     prefix = ranked.filter(F.size("held") >= least).select("fp", F.explode(F.slice("held", F.lit(1), F.size("held") - least + 1)["token"]).alias("token"))
     posts = stored(prefix, "posts")
-    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    # Near copies share many lists; of those with the same members one is compared.
+    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who")).filter("n > 1")
+    lists = stored(lists.groupBy("who", "n").agg(F.min("token").alias("token")).select("token"), "lists")
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,18 +158,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"fp": batch["fp"], "shingles": [shingle_set(t, SHINGLE).tobytes() for t in batch["text"]]})
+            sets = [shingle_set(t, SHINGLE) for t in batch["text"]]
+            yield pd.DataFrame({"fp": batch["fp"], "n": np.array([len(x) for x in sets], dtype=np.int64), "shingles": [x.tobytes() for x in sets]})
 
     kind = id_type(docs, id_col)
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     own = stored(map_batches(texts, _described, "id string, text_hash long, fp long, n long, signature binary").withColumn("id", F.col("id").cast(kind)), "signed-texts")
     one = F.min(F.struct(F.col("id").cast("string").alias("id"), "text_hash")).alias("one")
-    distinct = stored(own.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"), one, F.any_value("signature").alias("signature")), "distinct-sets")
-    members = stored(meeting(distinct, run_rows=run_rows), "candidates")
+    distinct = stored(own.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"), one, F.any_value("n").alias("n"), F.any_value("signature").alias("signature")), "distinct-sets")
+    members = stored(meeting(distinct, run_rows=run_rows).join(distinct.select("fp", F.col("n").alias("items")), "fp"), "candidates")
     wanted = stored(members.select("fp").distinct().join(distinct, "fp").select("fp", F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash")), "met-sets")
-    again = texts.join(broadcast_if_small(wanted, 1_000_000), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("fp", "text")
-    sets = map_batches(again, laid_out, "fp long, shingles binary").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
-    sets = stored(sets.select("fp", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles"), "shingles")
+    named = broadcast_if_small(wanted, 1_000_000)
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    sets = map_batches(texts.join(named, same).select("fp", "text"), laid_out, "fp long, n long, shingles binary")
+    if own.select(F.col("id").cast("string").alias("id"), "text_hash").join(named, same).count() > wanted.count():  # rows that repeat
+        sets = sets.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
     slim = own.select("id", "n", "fp", "text_hash")
     found = classes(slim.filter("n > 0"), distinct.select("fp", "least"), links(members, sets, run_rows, run_items))
     alone = slim.filter("n = 0").withColumns({"class_fp": F.col("fp"), "class_id": F.col("id")})
