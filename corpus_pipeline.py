@@ -27,6 +27,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By SimHash, as op7, with what meets checked by Jaccard; texts that are near by Jaccard but not by 4 bits meet on bands as well."""
     return simhash.keep_one(docs, find=near_copies.near_copies)
 
 

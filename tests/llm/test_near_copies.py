@@ -90,6 +90,34 @@ def test_classes_of_odd_rows(odd, none):
     assert near_copies(none).count() == 0
 
 
+def plain_simhash(text):
+    import xxhash
+
+    hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in plain_set(text)]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+@pytest.mark.parametrize("run_rows", [2048, 3])
+def test_simhash_brings_texts_together(spark, texts, run_rows):
+    """Without bands, the links are those of op7's method alone: SimHashes within 4 bits, likeness of 0.8 or more."""
+    sets, sims, root = [plain_set(t) for t in texts], [plain_simhash(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] and sets[j] and (sims[i] ^ sims[j]).bit_count() <= 4]
+    reached = list(range(len(texts)))
+    for i, j in near:
+        a, b = sorted((reached[i], reached[j]))
+        reached = [a if r == b else r for r in reached]
+    # What hangs together by bits is checked as a whole.
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or reached[i] == reached[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = [r["class_id"] for r in near_copies(docs, run_rows=run_rows, bands=0).orderBy("doc_id").collect()]
+    assert got == root
+    assert sum(c != i and sets[i] != sets[c] for i, c in enumerate(got)) > 3
+
+
 def test_runs_that_share_texts_are_united(spark):
     """A text is sent once where what hangs together is within the bounds; beyond them runs stay as they were."""
     from tidemark.llm.linking import united

@@ -29,6 +29,14 @@ from tidemark.llm.components import components
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
 
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """SimHash of 64-bit hashes: a bit is set if more than half of them have it; zero if there are none."""
+    votes = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), step):
+        votes += np.unpackbits(hashes[i : i + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the word shingles of a text, A-Z lower-cased: a bit is set if more than half of the shingles' XXH64 have it."""
     import xxhash
